@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 from ..session import table
-from . import mixing, packing, quality
+from . import langid, mixing, neardup, packing, quality
 
 MIXTURE = mixing.Mixture(weights={"src0": 3.0, "src1": 2.0, "src2": 2.0, "src3": 0.5}, default_weight=1.0)
 PACKING = packing.Packing(buckets=16, token_budget=65_536)
 
 
+def op1_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 def op2_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), PACKING)
 
 
+def op4_minhash_neardup(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), MIXTURE)
 
@@ -21,5 +30,5 @@ def op9_quality(spark, sf_dir):
     return quality.compression_quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_packing": op2_packing, "op6_mixing": op6_mixing, "op9_quality": op9_quality}
+QUERIES = {"op1_language_id": op1_language_id, "op2_packing": op2_packing, "op4_minhash_neardup": op4_minhash_neardup, "op6_mixing": op6_mixing, "op9_quality": op9_quality}
 ORACLE = {"op2_packing": packing.pack_sql(PACKING), "op6_mixing": mixing.mix_sql(MIXTURE)}
