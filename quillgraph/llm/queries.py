@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import langid, mixing, neardup, packing, quality
+from . import langid, mixing, neardup, packing, pii, quality
 
 MIXTURE = mixing.Mixture(weights={"src0": 3.0, "src1": 2.0, "src2": 2.0, "src3": 0.5}, default_weight=1.0)
 PACKING = packing.Packing(buckets=16, token_budget=65_536)
@@ -26,9 +26,19 @@ def op6_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), MIXTURE)
 
 
+def op8_pii(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark, sf_dir):
     return quality.compression_quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_packing": op2_packing, "op4_minhash_neardup": op4_minhash_neardup, "op6_mixing": op6_mixing, "op9_quality": op9_quality}
+def pipeline(spark, sf_dir):
+    import corpus_pipeline  # it imports this module's parameters
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op2_packing": op2_packing, "op4_minhash_neardup": op4_minhash_neardup, "op6_mixing": op6_mixing, "op8_pii": op8_pii, "op9_quality": op9_quality, "pipeline": pipeline}
 ORACLE = {"op2_packing": packing.pack_sql(PACKING), "op6_mixing": mixing.mix_sql(MIXTURE)}
