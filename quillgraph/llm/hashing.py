@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 60
@@ -16,3 +17,15 @@ def id_hash(column: Column) -> Column:
 
 def id_hash_sql(column: str) -> str:
     return f"('0x' || substr(md5(coalesce(cast({column} AS VARCHAR), '')), 1, 15))::BIGINT"
+
+
+def lowest_hashed(rows: DataFrame, key: str, n: int, total: int) -> pa.Table:
+    """At most n of `rows`, of about `total`: those whose `key` hashes lowest, ties by all columns.
+
+    About 2n rows are let through by their hash alone, so that no partition sends n of its own.
+    """
+    h = F.xxhash64(key)
+    bound = -(1 << 63) + int(min(1.0, 2.0 * n / max(1, total)) * ((1 << 64) - 1))
+    names = [c for c in rows.columns if c != key]
+    some = rows.where(h <= F.lit(min(bound, (1 << 63) - 1)).cast("bigint")).select(h.alias("_h"), *names)
+    return some.orderBy("_h", *names).limit(n).drop("_h").toArrow()

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
+from .hashing import lowest_hashed
 
 SCHEMA = (
     "doc_id bigint, lang string, lang_share double, n_words int, mean_score double, n_spans int, keep boolean,"
@@ -131,14 +132,8 @@ def trigrams(data: np.ndarray, script: np.ndarray, starts: np.ndarray, ends: np.
 
 def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Fit on at most `train_rows` labelled rows of `docs` (doc_id, text, lang)."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = F.xxhash64("doc_id")
-    total = max(1, labelled.select("lang").count())
-    # Twice the rows wanted are let through by hash, then the lowest hashes are taken exactly.
-    least = -(1 << 63)
-    bound = least + int(min(1.0, 2.0 * settings.train_rows / total) * ((1 << 64) - 1))
-    rows = labelled.where(order <= F.lit(min(bound, (1 << 63) - 1)).cast("bigint")).select(order.alias("h"), "lang", "text")
-    sample = rows.orderBy("h", "lang", "text").limit(settings.train_rows).drop("h").toArrow()
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    sample = lowest_hashed(labelled, "doc_id", settings.train_rows, docs.where(F.col("lang").isNotNull()).count())
     return fit(sample.column("text").to_pylist(), sample.column("lang").to_pylist(), settings)
 
 
