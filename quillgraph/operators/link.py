@@ -22,9 +22,17 @@ NPMI_TYPES = ("org", "person", "place", "project", "topic")
 KNN_TYPES = ("org", "place", "project", "topic")
 
 
-def word_grams(text: Column, longest: int) -> Column:
-    """The distinct runs of 1 to `longest` words of a text, lower-cased, words of letters and digits."""
-    words = F.split(fn.normalize(text), " ")
+def with_words(df: DataFrame, text: str) -> DataFrame:
+    """`df` with its text's words as the column `words`.
+
+    A lambda would evaluate the expression again for each element; a generator is a barrier
+    that computes it once a row.
+    """
+    return df.select("*", F.explode(F.array(F.split(fn.normalize(F.col(text)), " "))).alias("words"))
+
+
+def word_grams(words: Column, longest: int) -> Column:
+    """The distinct runs of 1 to `longest` words."""
 
     def of_length(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (n - 1)))
@@ -41,7 +49,7 @@ def alias_scan(episode: DataFrame, names: DataFrame, longest: int = 4) -> DataFr
     comparing each text with each name.  `names` is (name, node_id), at most `longest` words each.
     """
     wanted = names.select(fn.normalize(F.col("name")).alias("gram"), "node_id").where(F.char_length("gram") >= 3)
-    runs = episode.select("episode_id", F.explode(word_grams(F.col("body"), longest)).alias("gram"))
+    runs = with_words(episode.select("episode_id", "body"), "body").select("episode_id", F.explode(word_grams(F.col("words"), longest)).alias("gram"))
     return runs.join(wanted, "gram").select("episode_id", "node_id").distinct()
 
 
