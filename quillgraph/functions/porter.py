@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _STEP2 = dict(ational="ate", tional="tion", enci="ence", anci="ance", izer="ize", abli="able", alli="al", entli="ent", eli="e", ousli="ous", ization="ize",
@@ -79,6 +80,10 @@ def stem(w: str) -> str:
     return w
 
 
-@F.pandas_udf("array<string>")
-def porter(words: pd.Series) -> pd.Series:
+def _stems(words: pd.Series) -> pd.Series:
     return words.map(lambda ws: None if ws is None else [stem(w) for w in ws])
+
+
+def porter(words: Column) -> Column:
+    """The stems of an array of words."""
+    return F.pandas_udf(_stems, "array<string>")(words)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
+from ..session import written
 from .aggregates import centroids
 
 NPMI_TYPES = ("org", "person", "place", "project", "topic")
@@ -290,7 +291,8 @@ def neighborhood(fact: DataFrame, seeds: list[str], depth: int, predicates: list
     """(node_id, depth, via) within `depth` steps of the seeds, either way along edges.
 
     `via` is the fact by which a node is first reached: outgoing before incoming, then the least
-    fact_id.  The steps are unrolled into one plan, whose frontier is joined with the edges.
+    fact_id.  Two steps are one plan; further frontiers are written, so that no step computes
+    those before it again.
     """
     e = edges_of(fact)
     if predicates:
@@ -303,6 +305,8 @@ def neighborhood(fact: DataFrame, seeds: list[str], depth: int, predicates: list
     for d in range(1, depth + 1):
         reached = frontier.select(F.col("node_id").alias("from")).join(steps, "from").join(seen.select(F.col("node_id").alias("to")), "to", "left_anti")
         frontier = reached.groupBy(F.col("to").alias("node_id")).agg(F.min_by("fact_id", F.struct("way", "fact_id")).alias("via")).select("node_id", F.lit(d).alias("depth"), "via")
+        if d > 1 and d < depth:
+            frontier = written(frontier, "frontier")
         seen = seen.union(frontier)
     return seen.where("depth > 0").orderBy("depth", "node_id").limit(limit)
 
@@ -310,13 +314,13 @@ def neighborhood(fact: DataFrame, seeds: list[str], depth: int, predicates: list
 def scope_chain(parent: DataFrame, node_id: str, most: int = 10) -> DataFrame:
     """(node_id, level) from the root (the greatest level) to the node (0); cycles end the walk."""
     spark = parent.sparkSession
-    chain = spark.createDataFrame([(node_id, 0)], "node_id string, level int")
-    last = chain
+    last = spark.createDataFrame([(node_id, 0, [node_id])], "node_id string, level int, path array<string>")
+    levels = [last]
     for k in range(1, most):
-        up = last.join(parent, "node_id").select(F.col("parent_id").alias("node_id"), F.lit(k).alias("level"))
-        last = up.join(chain.select("node_id"), "node_id", "left_anti")
-        chain = chain.union(last)
-    return chain
+        up = last.select(F.col("node_id").alias("child"), "path").join(parent.select(F.col("node_id").alias("child"), "parent_id"), "child").where(~F.array_contains("path", F.col("parent_id")))
+        last = up.select(F.col("parent_id").alias("node_id"), F.lit(k).alias("level"), F.concat("path", F.array("parent_id")).alias("path"))
+        levels.append(last)
+    return reduce(DataFrame.union, levels).select("node_id", "level")
 
 
 def rank_within(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import email
 import email.policy
+from datetime import UTC
 from email.utils import getaddresses, parsedate_to_datetime
 
 import pandas as pd
@@ -41,7 +42,7 @@ def parse(raw: str) -> dict:
     at = None
     try:
         stamp = parsedate_to_datetime(message.get("Date"))
-        at = stamp.astimezone(tz=__import__("datetime").timezone.utc).replace(tzinfo=None) if stamp.tzinfo else stamp
+        at = stamp.astimezone(UTC).replace(tzinfo=None) if stamp.tzinfo else stamp
     except (TypeError, ValueError):
         pass
     bulk = bool(message.get("List-Unsubscribe") or message.get("List-Id") or (message.get("Precedence") or "").strip().lower() == "bulk")
@@ -51,16 +52,20 @@ def parse(raw: str) -> dict:
     }
 
 
-@F.pandas_udf(MESSAGE)
-def parse_message(raw: pd.Series) -> pd.DataFrame:
+def _messages(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse(r or "") for r in raw], columns=[c.split()[0] for c in ("id", "parent", "subject", "at", "people", "text", "bulk")])
 
 
+def parse_message(raw: Column) -> Column:
+    return F.pandas_udf(_messages, MESSAGE)(raw)
+
+
 def without_quotes(text: Column) -> Column:
     """The lines before the first that quotes or introduces a quotation."""
     lines = F.split(F.regexp_replace(text, "\r", ""), "\n")
     quoted = F.array_position(F.transform(lines, lambda x: F.startswith(F.ltrim(x), F.lit(">")) | F.startswith(x, F.lit("On "))), True)
-    return F.trim(F.array_join(F.when(quoted > 0, F.slice(lines, F.lit(1), (quoted - 1).cast("int"))).otherwise(lines), "\n"))
+    kept = F.when(quoted > 0, F.slice(lines, F.lit(1), (quoted - 1).cast("int"))).otherwise(lines)
+    return F.regexp_replace(F.array_join(kept, "\n"), r"^\s+|\s+$", "")
 
 
 class Mbox(Source):
@@ -74,7 +79,7 @@ class Mbox(Source):
 
     def messages(self, spark: SparkSession) -> DataFrame:
         raw = whole_texts(spark, self.path).select(F.explode(split_mbox(F.col("value"))).alias("raw"))
-        m = raw.select(parse_message("raw").alias("m")).select("m.*").where("NOT bulk")
+        m = raw.select(parse_message(F.col("raw")).alias("m")).select("m.*").where("NOT bulk")
         root = F.coalesce("parent", "id", F.concat(F.lit("subject:"), normalize_subject(F.col("subject"))))
         return m.withColumn("root", root)
 

@@ -42,7 +42,8 @@ class Notes(Source):
 
 def section(text: Column, heading: str) -> Column:
     """The text under a heading of any level up to the next heading."""
-    return F.nullif(F.trim(F.regexp_extract(text, rf"(?ms)^#+ {heading}\s*\n(.*?)(?=^#|\z)", 1)), F.lit(""))
+    found = F.regexp_extract(text, rf"(?ms)^#+ {heading}\s*\n(.*?)(?=^#|\z)", 1)
+    return F.nullif(F.regexp_replace(found, r"^\s+|\s+$", ""), F.lit(""))
 
 
 class Conversations(Source):
