@@ -48,12 +48,12 @@ SCRIPTS = {
     5: ("Arabic", "ar", [(0x600, 0x700), (0x750, 0x780)]),
     6: ("Devanagari", "hi", [(0x900, 0x980)]),
     7: ("Thai", "th", [(0xE00, 0xE80)]),
-    8: ("Kana", "ja", [(0x3040, 0x3100)]),
-    9: ("Han", "zh", [(0x3400, 0x4DC0), (0x4E00, 0xA000)]),
+    8: ("Han", "zh", [(0x3400, 0x4DC0), (0x4E00, 0xA000)]),
+    9: ("Kana", "ja", [(0x3040, 0x3100)]),
     10: ("Hangul", "ko", [(0x1100, 0x1200), (0xAC00, 0xD7B0)]),
 }
 #: A default language may also write in these scripts: Japanese uses Han beside Kana.
-ALSO = {"ja": [9]}
+ALSO = {"ja": [8]}
 NEVER = -60.0
 
 
@@ -179,7 +179,7 @@ def word_scores(data: np.ndarray, offsets: np.ndarray, model: Model):
     if n == 0:
         return starts, ends, doc, np.zeros(0, bool), np.zeros((0, len(model.langs)), np.float32)
     # Trigram 0 scores nothing, so what follows a word may be summed with it.
-    most = np.maximum.reduceat(script, starts)  # the word's script: its rarest one
+    most = np.maximum.reduceat(script, starts)  # the word's script; of several the last, so that one of Han and Kana is Japanese
     lettered = most > 0
     # Where all letters are Latin, the languages of other scripts, which come last, are no candidates.
     n_langs = n_trained if n_trained and most.max() <= 1 else len(model.langs)

@@ -188,7 +188,7 @@ def matching_pairs(entries: DataFrame, settings: Settings) -> DataFrame:
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """(id, root) of the connected components of pairs (a, b); `root` is the smallest id.
+    """(id, root) of the connected components of pairs (a, b); `root` is the smallest id, itself not listed as an id.
 
     Alternates large-star and small-star steps, which halve paths; each round is written to the
     shared folder, so that a lost executor costs no more than its part of one round.
@@ -218,6 +218,7 @@ def assignments(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     entries = sigs.join(same.select("s1", "s2", "id"), key).where("doc_id = id").select("id", "sig").dropDuplicates(["id"])
     # Rows of one doc_id with different texts have several signatures, yet are one document.
     roots = components(matching_pairs(written(entries, "neardup-entries"), settings))
+    roots = roots.union(roots.select("root", "root").distinct())
     member = sigs.select("doc_id", *key).join(same, key).join(roots, "id", "left")
     grouped = member.select("doc_id", F.coalesce("root", "id").alias("group_id"), (F.col("root").isNotNull() | (F.col("n") > 1)).alias("shared"))
     return grouped.where("shared").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
