@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import textvec
+
 SCHEMA = (
     "{key} bigint, frame int, start_ms bigint, delay_ms int, width int, height int, image_left int, image_top int, image_width int, image_height int,"
     " disposal int, interlaced boolean, loops int, rgba binary, histogram array<int>, n_transparent int, error string"
@@ -247,7 +249,7 @@ def frames(media: DataFrame, key: str = "page_id", column: str = "gif", most_pix
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-        for batch in batches:
+        for batch in textvec.pieces(batches, 1):
             rows, held = [], 0
             for owner, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found, loops, (width, height), error = decode(data, most_pixels) if data is not None else ([], None, (None, None), "null")
@@ -340,7 +342,7 @@ def page_media(pages: DataFrame) -> DataFrame:
     """(page_id, gif): the test tables have no media, so each page gets :func:`page_animation`."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textvec.pieces(batches, 1):
             made = [None if h is None else page_animation(int(p or 0), h.encode()) for p, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(made, pa.binary())], names=["page_id", "gif"])
 

@@ -239,7 +239,7 @@ def _labelled(batch: pa.RecordBatch, model: Model) -> Iterator[pa.RecordBatch]:
     plain, plain_offsets = textvec.utf8(batch.column(1))
     names = np.array([*model.langs, "und"])
     n_langs = len(model.langs)
-    for lo, hi in textvec.chunks(offsets, 4 * textvec.CHUNK_BYTES):
+    for lo, hi in textvec.chunks(offsets):
         n_docs = hi - lo
         part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         starts, ends, doc, lettered, score = word_scores(part, at, model)
@@ -286,7 +286,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """One row for each row of `docs` (doc_id, text): a map over partitions, without a shuffle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textvec.pieces(batches, 1):
             yield from _labelled(batch, model)
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
@@ -298,7 +298,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     text_at, id_at = names.index("text"), names.index("doc_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textvec.pieces(batches, text_at):
             pair = pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), batch.column(text_at)], names=["doc_id", "text"])
             keep = pa.concat_arrays([x.column("keep") for x in _labelled(pair, model)]) if len(batch) else pa.array([], pa.bool_())
             yield batch.filter(keep)

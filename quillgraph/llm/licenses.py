@@ -268,7 +268,7 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
     """One row for each licence paragraph of `docs` (doc_id, text): a map over partitions, no shuffle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textvec.pieces(batches, 1):
             yield from _notices(batch, model)
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -106,7 +106,7 @@ def signatures(docs: DataFrame, settings: Settings) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.Generator(np.random.PCG64(11))
         salt = rng.integers(0, 1 << 63, (2, settings.coordinates), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        for batch in batches:
+        for batch in textvec.pieces(batches, 1):
             at, sig = signatures_of(batch.column(1), settings)
             s = [textvec.mixed((textvec.mixed(sig) * salt[k]).sum(1, dtype=np.uint64)).view(np.int64) for k in (0, 1)]
             ends = pa.array(np.arange(len(at) + 1, dtype=np.int32) * settings.coordinates)

@@ -31,6 +31,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from . import textvec
+
 SCHEMA = "doc_id bigint, kind string, start bigint, end bigint, source_text string, normalised string"
 PRIORITY = ("secret", "email", "iban", "card", "ssn", "ipv4", "phone")
 
@@ -259,7 +261,7 @@ def find(docs: DataFrame) -> DataFrame:
     """One row for each identifier in `docs` (doc_id, text): a map over partitions, no shuffle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textvec.pieces(batches, 1):
             texts, rows = batch.column(1), []
             ids = batch.column(0)
             for i in suspects(texts):
@@ -282,7 +284,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textvec.pieces(batches, text_at):
             texts = batch.column(text_at)
             changed = {i: new for i in suspects(texts) if (new := masked(old := texts[i].as_py())) != old}
             if changed:

@@ -106,7 +106,7 @@ def compression_quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=bands.level)
-        for batch in batches:
+        for batch in textvec.pieces(batches, 1):
             yield _verdicts(batch, bands, squeeze)
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -89,7 +89,7 @@ def anchor_of(words: Words, settings: Settings) -> tuple[np.ndarray, np.ndarray,
 
 def _anchors(settings: Settings):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textvec.pieces(batches, 2):
             data, offsets = textvec.utf8(batch.column(2))
             for lo, hi in textvec.chunks(offsets):
                 words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
@@ -107,7 +107,7 @@ def _slices(settings: Settings):
     """For each anchor of `shared`, the suffixes that belong to it: their common slice of text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textvec.pieces(batches, 2):
             data, offsets = textvec.utf8(batch.column("text"))
             lists = batch.column("shared")
             for lo, hi in textvec.chunks(offsets):
@@ -306,7 +306,7 @@ def _verified(words: Words, suffixes: Suffixes, slice_of: np.ndarray, a: np.ndar
     return out
 
 
-def _sorted_parts(settings: Settings, most_rows: int = 8_000):
+def _sorted_parts(settings: Settings, most_rows: int = 4_000):
     """mapInArrow over slices ordered by anchor; slices of one anchor are kept together."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

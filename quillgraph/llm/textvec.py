@@ -6,13 +6,14 @@ buffer of an Arrow batch with numpy, so that no Python loop runs per word or per
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled at once, so that helper arrays stay small whatever a batch holds.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Odd multiplier of the polynomial hash, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
@@ -43,6 +44,19 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
+def pieces(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut by the bytes of their column `at`, as :func:`chunks` cuts documents.
+
+    A batch has a fixed number of rows, whatever their size; what is done to a piece at once (a
+    cast, a copy in lower case) then takes little memory beside the batch itself.
+    """
+    for batch in batches:
+        column = batch.column(at)
+        size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        for lo, hi in chunks(np.concatenate([[0], np.cumsum(size, dtype=np.int64)])):
+            yield batch.slice(lo, hi - lo)
+
+
 def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of documents of at most `most` bytes together, or of one longer document."""
     lo, n = 0, len(offsets) - 1

@@ -106,7 +106,7 @@ def section_tokens(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """One row for each section of each row of `docs` (doc_id, text): a map over partitions."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textvec.pieces(batches, 1):
             yield from _counted(batch, tokenizer)
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
