@@ -67,7 +67,7 @@ def test_models_are_injected(spark):
 
     got = sorted((r.episode_id, r.subject or "", r.error or "") for r in enrich.extract(episode, done, "v1", model, 10).collect())
     assert got == [(1, "a", ""), (1, "b", ""), (2, "", "poison")]
-    base = enrich.hash_embedder(64)
+    base = enrich.hash_embedder(61)
 
     def picky(texts):
         if len(texts) > 1:
