@@ -49,7 +49,7 @@ def _(g):
     return shown(retrieval.nearest(_vectors(g), _query_vectors(g), 10))
 
 
-@query("ret6_hybrid_rrf", _BM25 + _VEC + """, arms AS (SELECT query_id, id, rank, 'bm25' AS arm FROM lex WHERE rank <= 30 UNION ALL SELECT query_id, id, rank, 'vector' FROM vec WHERE rank <= 30 AND id IN (SELECT doc_id FROM documents)),
+@query("ret6_hybrid_rrf", _BM25 + _VEC + """, arms AS (SELECT query_id, id, rank, 'bm25' AS arm FROM lex WHERE rank <= 30 UNION ALL SELECT query_id, id, rank, 'vector' FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank FROM v WHERE id IN (SELECT doc_id FROM documents)) WHERE rank <= 30),
  fused AS (SELECT query_id, id, sum(1 / (60 + rank::DOUBLE)) AS score, CASE WHEN count(DISTINCT arm) = 2 THEN 'both' ELSE max(arm) END AS via FROM arms GROUP BY ALL)
  SELECT query_id, id, round(score, 6) AS score, via, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM fused) WHERE rank <= 10""")
 def _(g):
