@@ -264,7 +264,7 @@ def frames(media: DataFrame, key: str = "page_id", column: str = "gif", most_pix
                     rows, held = [], 0
             yield packed(rows)
 
-    return media.select(key, column).mapInArrow(run, schema)
+    return textvec.arrow_map(media.select(key, column), run, schema)
 
 
 # --- encoding -----------------------------------------------------------------------------------
@@ -346,4 +346,4 @@ def page_media(pages: DataFrame) -> DataFrame:
             made = [None if h is None else page_animation(int(p or 0), h.encode()) for p, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(made, pa.binary())], names=["page_id", "gif"])
 
-    return pages.select("page_id", "html").mapInArrow(run, "page_id bigint, gif binary")
+    return textvec.arrow_map(pages.select("page_id", "html"), run, "page_id bigint, gif binary")

@@ -289,7 +289,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in textvec.pieces(batches, 1):
             yield from _labelled(batch, model)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return textvec.arrow_map(docs.select("doc_id", "text"), run, SCHEMA)
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
@@ -303,4 +303,4 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
             keep = pa.concat_arrays([x.column("keep") for x in _labelled(pair, model)]) if len(batch) else pa.array([], pa.bool_())
             yield batch.filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return textvec.arrow_map(docs, run, docs.schema)

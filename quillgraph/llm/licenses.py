@@ -271,4 +271,4 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
         for batch in textvec.pieces(batches, 1):
             yield from _notices(batch, model)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return textvec.arrow_map(docs.select("doc_id", "text"), run, SCHEMA)

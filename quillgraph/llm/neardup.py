@@ -115,7 +115,7 @@ def signatures(docs: DataFrame, settings: Settings) -> DataFrame:
                 names=["doc_id", "s1", "s2", "sig"],
             )
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id bigint, s1 bigint, s2 bigint, sig array<bigint>")
+    return textvec.arrow_map(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), run, "doc_id bigint, s1 bigint, s2 bigint, sig array<bigint>")
 
 
 def spanning_pairs(ids: np.ndarray, sig: np.ndarray, matches: int) -> list[tuple[int, int, int]]:
@@ -184,7 +184,7 @@ def matching_pairs(entries: DataFrame, settings: Settings) -> DataFrame:
     short = F.transform("sig", lambda x: F.shiftright(x, 32).cast("int"))
     carried = prefix.join(entries.select("id", short.alias("sig")), "id")
     merged = carried.select(F.explode("posts.key").alias("key"), "id", "sig").repartition("key").sortWithinPartitions("key", "id")
-    return merged.mapInArrow(_merge_lists(settings), "a bigint, b bigint, matches int").groupBy("a", "b").agg(F.max("matches").alias("matches"))
+    return textvec.arrow_map(merged, _merge_lists(settings), "a bigint, b bigint, matches int").groupBy("a", "b").agg(F.max("matches").alias("matches"))
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -271,7 +271,7 @@ def find(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "kind", "start", "end", "source_text", "normalised"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return textvec.arrow_map(docs.select("doc_id", "text"), run, SCHEMA)
 
 
 def masked(text: str) -> str:
@@ -299,4 +299,4 @@ def redacted(docs: DataFrame) -> DataFrame:
                     batch = batch.set_column(chars_at, batch.schema.field(chars_at), pa.array(n, batch.column(chars_at).type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return textvec.arrow_map(docs, run, docs.schema)

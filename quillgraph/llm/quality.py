@@ -109,4 +109,4 @@ def compression_quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
         for batch in textvec.pieces(batches, 1):
             yield _verdicts(batch, bands, squeeze)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return textvec.arrow_map(docs.select("doc_id", "text"), run, SCHEMA)

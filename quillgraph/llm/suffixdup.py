@@ -332,13 +332,14 @@ def _sorted_parts(settings: Settings, most_rows: int = 4_000):
 def repeated_passages(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, role, word, n_words, start, end) of each span of repeated passages; characters."""
     base = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    anchors = written(base.mapInArrow(_anchors(settings), "doc_id bigint, h bigint, anchor bigint"), "suffix-anchors")
+    anchors = written(textvec.arrow_map(base, _anchors(settings), "doc_id bigint, h bigint, anchor bigint"), "suffix-anchors")
     # More than one document: a least and a greatest doc_id need no list and combine map-side.
     common = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     lists = anchors.join(common, "anchor", "left_semi").groupBy("doc_id", "h").agg(F.collect_set("anchor").alias("shared"))
     lists = written(lists, "suffix-shared")
-    slices = base.join(lists, ["doc_id", "h"]).select("doc_id", "h", "text", "shared").mapInArrow(_slices(settings), SLICE_SCHEMA)
-    spans = slices.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_parts(settings), SPAN_SCHEMA).distinct()
+    slices = textvec.arrow_map(base.join(lists, ["doc_id", "h"]).select("doc_id", "h", "text", "shared"), _slices(settings), SLICE_SCHEMA)
+    parts = slices.repartition("anchor").sortWithinPartitions("anchor")
+    spans = textvec.arrow_map(parts, _sorted_parts(settings), SPAN_SCHEMA).distinct()
     own = Window.partitionBy("doc_id", "h", "role").orderBy("word", "word_end")
     before = F.max("word_end").over(own.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(before.isNull() | (F.col("word") > before), 1).otherwise(0)).over(own)

@@ -6,14 +6,19 @@ buffer of an Arrow batch with numpy, so that no Python loop runs per word or per
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 #: Bytes of text handled at once, so that helper arrays stay small whatever a batch holds.
 CHUNK_BYTES = 2 << 20
+#: Bytes of a batch on its way between the JVM and Python.
+BATCH_BYTES = 4 << 20
 #: Odd multiplier of the polynomial hash, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
@@ -44,6 +49,19 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
+def arrow_map(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` with batches of few bytes, which the JVM and the worker each hold a copy of.
+
+    The session's limit is lowered, never raised.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)([kmg]?)b?", conf.get(name, "64m").lower())
+    size = int(now[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[now[2]] if now else 1 << 30
+    if not 0 < size <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def pieces(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
     """The batches cut by the bytes of their column `at`, as :func:`chunks` cuts documents.
 

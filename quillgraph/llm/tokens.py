@@ -109,4 +109,4 @@ def section_tokens(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         for batch in textvec.pieces(batches, 1):
             yield from _counted(batch, tokenizer)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return textvec.arrow_map(docs.select("doc_id", "text"), run, SCHEMA)
