@@ -9,15 +9,19 @@ of a document, with a fixed penalty for a change of language, labels spans; a wo
 scores nothing and takes its neighbours' language.
 
 Training is a count of trigrams by the `lang` label over at most ``train_rows`` rows, those whose
-identifier hashes lowest, so that the sample is the same on every run.
+identifier hashes lowest, so that the sample is the same on every run.  Where no label has Latin
+letters, a sample of the rows without a label is the language ``und`` of Latin words.
 
-A document is rejected (``keep`` false) when it has no letters at all, or when the mean score of
-its labelled words is below ``least_score``: the text then is like none of the languages.
+A document is rejected (``keep`` false) when it has no letters at all, or when ``mean_score`` is
+below ``least_score``: the text then is like none of the languages.  ``mean_score`` is the mean over
+the words with letters of the log-likelihood ratio of their label against letters drawn at random
+with the frequencies of all training text, bounded like the other, so that it has the same meaning
+with one trained language as with many.
 
 Defined cases: a null, empty or letterless text has lang ``und``, no spans and is rejected; a text
 of any length is labelled as a whole; equal scores go to the language first in alphabetical order
 and to no change of language; repeated rows get equal results; an empty table gives an empty
-result, and an empty training table a model that knows scripts only; other columns are ignored
+result, and a training table without text a model that knows scripts only; other columns are ignored
 by :func:`identify` and passed through by :func:`accepted`.
 """
 
@@ -55,6 +59,7 @@ SCRIPTS = {
 #: A default language may also write in these scripts: Japanese uses Han beside Kana.
 ALSO = {"ja": [8]}
 NEVER = -60.0
+UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
@@ -72,6 +77,7 @@ class Settings:
 class Model:
     langs: list[str]  # trained ones, then default ones of scripts without any
     table: np.ndarray  # score by trained language and trigram
+    neutral: np.ndarray  # the same against the language-neutral background
     scripts: np.ndarray  # script -> score added by language: 0, NEVER, or a default language's constant
     settings: Settings
 
@@ -134,18 +140,44 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Fit on at most `train_rows` labelled rows of `docs` (doc_id, text, lang)."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sample = lowest_hashed(labelled, "doc_id", settings.train_rows, docs.where(F.col("lang").isNotNull()).count())
-    return fit(sample.column("text").to_pylist(), sample.column("lang").to_pylist(), settings)
+    texts, labels = sample.column("text").to_pylist(), sample.column("lang").to_pylist()
+    model = fit(texts, labels, settings)
+    if (model.scripts[1, : len(model.table)] == 0).any():
+        return model
+    others = docs.where(F.col("lang").isNull() & F.col("text").isNotNull()).select("doc_id", "text")
+    sample = lowest_hashed(others, "doc_id", settings.train_rows, docs.where(F.col("lang").isNull()).count())
+    more = sample.column("text").to_pylist()
+    return fit(texts + more, labels + [UNKNOWN] * len(more), settings) if more else model
+
+
+def background(sides: np.ndarray) -> np.ndarray:
+    """Share of each trigram number where bytes are independent; `sides`: counts of the left, own and right byte."""
+    a, b, c = (np.flatnonzero(x) for x in sides)
+    p, q, r = (x[k] / max(1, x.sum()) for x, k in zip(sides, (a, b, c), strict=True))
+    out = np.zeros(1 << TRIGRAM_BITS)
+    for i, share in zip(a, p, strict=True):
+        code = np.uint32(i << 16) | (b.astype(np.uint32) << np.uint32(8))[:, None] | c.astype(np.uint32)
+        at = np.maximum((code * np.uint32(2654435761)) >> np.uint32(32 - TRIGRAM_BITS), 1)
+        out += np.bincount(at.ravel().astype(np.int64), (share * q[:, None] * r).ravel(), 1 << TRIGRAM_BITS)
+    return out
 
 
 def fit(texts: list[str], labels: list[str], settings: Settings = Settings()) -> Model:
     trained = sorted(set(labels))
     counts = np.zeros((max(1, len(trained)), 1 << TRIGRAM_BITS))
     letters = np.zeros((max(1, len(trained)), max(SCRIPTS) + 1))
+    sides = np.zeros((3, 256))
     for k, lang in enumerate(trained):
         data, offsets = textvec.utf8(pc.utf8_lower(pa.array([t for t, x in zip(texts, labels, strict=True) if x == lang], pa.string())))
         starts, ends, _ = textvec.word_bounds(data, offsets, ~textvec.SPACE)
         script = letter_scripts(data)
-        counts[k] = np.bincount(trigrams(data, script, starts, ends), minlength=1 << TRIGRAM_BITS)
+        at = trigrams(data, script, starts, ends)
+        counts[k] = np.bincount(at, minlength=1 << TRIGRAM_BITS)
+        centre, left, right = np.flatnonzero(at), np.full(len(data), 32, np.uint8), np.full(len(data), 32, np.uint8)
+        left[1:], right[:-1] = data[:-1], data[1:]
+        left[starts], right[ends - 1] = 32, 32
+        for side, x in zip(sides, (left, data, right), strict=True):
+            side += np.bincount(x[centre], minlength=256) / max(1, len(centre))  # each language weighs the same
         letters[k] = np.bincount(script, minlength=letters.shape[1])
     counts[:, 0] = 0
     rate = np.log((counts + settings.smoothing) / (counts.sum(1, keepdims=True) + settings.smoothing * (1 << TRIGRAM_BITS)))
@@ -153,8 +185,12 @@ def fit(texts: list[str], labels: list[str], settings: Settings = Settings()) ->
     table[:, counts.sum(0) < 2] = 0  # what was hardly seen says nothing
     table[:, 0] = 0
     table = table[: len(trained)]
+    neutral = np.log((counts + settings.smoothing) / (counts.sum(1, keepdims=True) * background(sides) + settings.smoothing))[: len(trained)]
+    neutral[:, 0] = 0
     letters[:, 0] = 0
     share = letters / np.maximum(letters.sum(1, keepdims=True), 1)
+    for i in [i for i, lang in enumerate(trained) if lang == UNKNOWN]:
+        share[i, 2:] = 0  # other scripts have default languages
     extra = [lang for k, (_, lang, _) in SCRIPTS.items() if not any(share[i, k] >= settings.script_share for i in range(len(trained))) and lang not in trained]
     langs = trained + extra
     scripts = np.full((letters.shape[1], len(langs)), NEVER, np.float32)
@@ -167,20 +203,19 @@ def fit(texts: list[str], labels: list[str], settings: Settings = Settings()) ->
                 scripts[k, i] = 4.0
             elif k in ALSO.get(lang, []):
                 scripts[k, i] = 3.0
-    return Model(langs, table.astype(np.float32), scripts, settings)
+    return Model(langs, table.astype(np.float32), neutral.astype(np.float32), scripts, settings)
 
 
 def word_scores(data: np.ndarray, offsets: np.ndarray, model: Model):
-    """(starts, ends, document, has letters, score by language) of the words of lower-cased text."""
+    """(starts, ends, document, script, trigrams, score by language) of the words of lower-cased text."""
     starts, ends, doc = textvec.word_bounds(data, offsets, ~textvec.SPACE)
     script = letter_scripts(data)
     at = trigrams(data, script, starts, ends)
     n_trained, n = len(model.table), len(starts)
     if n == 0:
-        return starts, ends, doc, np.zeros(0, bool), np.zeros((0, len(model.langs)), np.float32)
+        return starts, ends, doc, np.zeros(0, np.int8), at, np.zeros((0, len(model.langs)), np.float32)
     # Trigram 0 scores nothing, so what follows a word may be summed with it.
     most = np.maximum.reduceat(script, starts)  # the word's script; of several the last, so that one of Han and Kana is Japanese
-    lettered = most > 0
     # Where all letters are Latin, the languages of other scripts, which come last, are no candidates.
     n_langs = n_trained if n_trained and most.max() <= 1 else len(model.langs)
     score = np.zeros((n, n_langs), np.float32)
@@ -188,8 +223,24 @@ def word_scores(data: np.ndarray, offsets: np.ndarray, model: Model):
         score[:, i] = np.add.reduceat(np.take(model.table[i], at), starts)
     np.clip(score[:, :n_trained], -model.settings.word_bound, model.settings.word_bound, out=score[:, :n_trained])
     score += model.scripts[most, :n_langs]
-    score[~lettered] = 0
-    return starts, ends, doc, lettered, score
+    score[most == 0] = 0
+    return starts, ends, doc, most, at, score
+
+
+def neutral_scores(starts: np.ndarray, script: np.ndarray, at: np.ndarray, label: np.ndarray, model: Model) -> np.ndarray:
+    """Score of each word for its label against the neutral background; 0 without letters."""
+    out = np.zeros(len(starts), np.float32)
+    for i, table in enumerate(model.neutral):
+        own = np.flatnonzero(label == i)
+        if len(own) == len(label):
+            out = np.add.reduceat(np.take(table, at), starts)
+        elif len(own):
+            size = np.diff(starts, append=len(at))
+            inside = np.repeat(label == i, size)
+            begin = np.cumsum(size[own]) - size[own]
+            out[own] = np.add.reduceat(np.take(table, at[starts[0] :][inside]), begin)
+    out = np.clip(out, -model.settings.word_bound, model.settings.word_bound) + model.scripts[script, label]
+    return np.where(script > 0, out, 0)
 
 
 def viterbi(score: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
@@ -237,17 +288,17 @@ def _labelled(batch: pa.RecordBatch, model: Model) -> Iterator[pa.RecordBatch]:
     column = pc.utf8_lower(batch.column(1).cast(pa.large_string()).fill_null(""))
     data, offsets = textvec.utf8(column)
     plain, plain_offsets = textvec.utf8(batch.column(1))
-    names = np.array([*model.langs, "und"])
+    names = np.array([*model.langs, UNKNOWN])
     n_langs = len(model.langs)
     for lo, hi in textvec.chunks(offsets):
         n_docs = hi - lo
         part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-        starts, ends, doc, lettered, score = word_scores(part, at, model)
+        starts, ends, doc, script, trigram, score = word_scores(part, at, model)
         first = np.searchsorted(doc, np.arange(n_docs + 1))
         label = viterbi(score, first, model.settings.switch_penalty) if n_langs else np.zeros(len(doc), np.int8)
-        weight = lettered.astype(float)
+        weight = (script > 0).astype(float)
         n_lettered = np.bincount(doc, weight, n_docs)
-        gained = np.bincount(doc, np.where(lettered, score[np.arange(len(doc)), label] if n_langs else 0, 0), n_docs)
+        gained = np.bincount(doc, neutral_scores(starts, script, trigram, label, model) if len(doc) and n_langs else np.zeros(len(doc)), n_docs)
         mean = gained / np.maximum(n_lettered, 1)
         votes = np.bincount(doc * max(1, n_langs) + label, weight, n_docs * max(1, n_langs)).reshape(n_docs, -1)
         top = np.where(n_lettered > 0, votes.argmax(1), n_langs)

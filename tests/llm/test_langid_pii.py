@@ -88,6 +88,29 @@ def test_held_out_accuracy(spark):
     assert found.keep.all()
 
 
+JUNK = "qzxkv jwqpz xvbqk zzkqj wvxqz kqjxw pqzvk xjqwz " * 10
+
+
+@pytest.mark.parametrize("lang", ["en", None])
+def test_one_language_or_no_label(spark, lang):
+    some = [(k, EN * 5, lang, *[None] * 5) for k in range(9)] + [(9, JUNK, None, *[None] * 5), (10, "Привет мир и " * 5, None, *[None] * 5)]
+    train = docs(spark, some[:9])
+    got = {r.doc_id: r for r in langid.identify(docs(spark, some), langid.train(train)).collect()}
+    assert all(got[k].keep and got[k].lang == (lang or "und") and len(got[k].spans) == 1 for k in range(9))
+    assert not got[9].keep and got[10].keep and got[10].lang == "ru"
+    assert langid.accepted(docs(spark, some), langid.train(train)).count() == 10
+
+
+def test_mean_score_against_slow_path(model):
+    text = EN + FR + JUNK
+    data, offsets = langid.textvec.utf8(pa.array([text]))
+    starts, ends, doc, script, at, score = langid.word_scores(data, offsets, model)
+    label = langid.viterbi(score, np.array([0, len(doc)]), model.settings.switch_penalty)
+    assert len(set(label)) > 1
+    slow = [np.clip(model.neutral[x][at[a:b]].sum(), -8, 8) for a, b, x in zip(starts, ends, label)]
+    assert langid.neutral_scores(starts, script, at, label, model).tolist() == pytest.approx(slow, abs=1e-4)
+
+
 CASES = [
     ("mail jane.roe@example.com now", "email", "jane.roe@example.com", "jane.roe@example.com"),
     ("write to john dot doe at example dot com please", "email", "john dot doe at example dot com", "john.doe@example.com"),
