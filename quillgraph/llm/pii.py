@@ -99,7 +99,10 @@ _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 _STEP = rf"(?:(?:double|triple)[\s-]+)?{_WORD}"
 #: Three digit words at least; between them white space, hyphens or commas.
 SPELLED = re.compile(rf"(?<!\w){_STEP}(?:[\s,-]+{_STEP}){{2,}}(?!\w)", re.IGNORECASE)
-SPELLED_RE2 = rf"(?i)\b{_STEP}(?:[\s,-]+{_STEP}){{2}}"
+#: Python's white space, of which RE2's `\s` has a part; and letters that Python takes for i, s and k when it ignores case.
+_SPACES_RE2 = r"\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_CASED_RE2 = r"[\x{130}\x{17F}\x{212A}]"
+SPELLED_RE2 = rf"(?i)\b{_STEP}(?:[\s,-]+{_STEP}){{2}}".replace(r"[\s", f"[{_SPACES_RE2}")
 _OPEN, _SHUT = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
 _AT_SURE = rf"(?:{_OPEN}(?:at|@|arroba|chez){_SHUT}|_at_|-at-|\s*@\s*)"
 _AT = rf"(?:{_AT_SURE}|\s+(?:at|arroba)\s+)"
@@ -108,11 +111,12 @@ _DOT = rf"(?:{_DOT_SURE}|\.)"
 DISGUISED = re.compile(rf"(?<![\w.%+])([a-z0-9%+]+(?:(?:{_DOT}|[_-])[a-z0-9%+]+){{0,5}}?)({_AT})((?:[a-z0-9]+(?:-[a-z0-9]+)*?{_DOT}){{1,5}}[a-z]{{2,24}})(?![\w])", re.IGNORECASE)
 AT_PART, DOT_PART = re.compile(_AT, re.IGNORECASE), re.compile(_DOT, re.IGNORECASE)
 DOT_SURE, AT_SURE = re.compile(_DOT_SURE, re.IGNORECASE), re.compile(_AT_SURE, re.IGNORECASE)
-#: What a text with any of these disguises contains.
-DISGUISED_RE2 = r"(?i)[\[({<]\s*(?:at|@|arroba|chez|dot|\.|punkt|point|punto)\s*[\])}>]|\b(?:dot|punkt|punto|arroba)\b|_at_|-at-|\s@|@\s|[0-9._]\w*\s+at\s+[a-z0-9-]+\."
+#: A part of every match of DISGUISED: its at, the host's first name and dot, and what begins after it.
+_HINT = rf"{_AT}[a-z0-9]+(?:-[a-z0-9]+)*?{_DOT}[a-z0-9]"
+DISGUISED_RE2 = f"(?i:{_HINT.replace(r'\s', f'[{_SPACES_RE2}]')})|{_CASED_RE2}"
 
 Edit = tuple[int, int, str]
-HINT = re.compile(DISGUISED_RE2, re.ASCII)
+HINT = re.compile(_HINT, re.IGNORECASE)
 
 
 class Offsets:

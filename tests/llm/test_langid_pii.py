@@ -166,6 +166,28 @@ def test_prefilter_loses_nothing(spark):
             assert pii.suspects(pa.array([text]))
 
 
+def disguises():
+    ats = ["@", " @ ", "\v@ ", "_at_", "-at-", "[at]", " ( arroba ) ", "<chez>", " at ", " arroba ", "\x1cAT\u2028"]
+    dots = [".", " . ", " dot ", "\vdot\x1f", "_dot_", "-dot-", "[.]", " ( punto ) ", " punkt ", "{point}"]
+    for name in ("john.smith-jones", "j.d+x", "j%d.e", "john", "john_smith", "x-9", "john_dot_smith", "john dot smith"):
+        for at in ats:
+            for dot in dots:
+                for host in ("example{}com", "mail{}example-site{}co.uk", "maİl{}org"):
+                    yield f"so {name}{at}{host.replace('{}', dot)}, ok"
+
+
+def test_hint_loses_no_disguise(monkeypatch):
+    texts = list(disguises())
+    kept = [pii.scan(t) for t in texts]
+    for text in ("john.smith-jones at example.com", "j.d+x at example.com", "john@example_dot_com", "john@example . com", "john_smith at mail_dot_example_dot_com"):
+        assert [x[0] for x in pii.scan(text)] == ["email"] and pii.suspects(pa.array([text]))
+    assert all(pii.HINT.search(t) for t in texts if pii.DISGUISED.search(t))
+    assert {i for i, x in enumerate(kept) if x} <= set(pii.suspects(pa.array(texts)))
+    assert pii.suspects(pa.array(["look at this: it is a task, six kinds. at noon. dot the i"])) == []
+    monkeypatch.setattr(pii, "HINT", pii.re.compile(""))
+    assert kept == [pii.scan(t) for t in texts] and sum(map(bool, kept)) > len(kept) / 2
+
+
 def test_pii_cases(spark):
     some = rows() + [(50, "a@b.org and a@b.org", None, None, None, None, None, None), (None, "c@d.org", None, None, 3, None, None, None)]
     got = pii.find(docs(spark, some)).collect()
