@@ -17,17 +17,19 @@ coordinates are near duplicates.  Collisions are counted only where they can mat
 This finds exactly the connected components of the pairs with at least `matches` collisions; the
 pairs returned span them.  Lists may have any length, and no document any limit of partners.
 
-A shingle is `shingle` successive words, letters and digits of the lower-cased text; a document of
-fewer words is one shingle, one of no word but other characters is the shingle of these.
+A shingle is `shingle` successive words, letters and digits of the lower-cased text, where each
+character of a script that is written without spaces is a word; a document of fewer words is one
+shingle, one of no word but other characters is the shingle of these.
 
 Defined cases: a null, empty or blank text is no one's duplicate; a null doc_id is left out of the
-groups and stays; repeated rows of one doc_id are one document, listed once, and of those of equal
-text :func:`deduplicated` keeps one; of a group the smallest doc_id stays; an empty table gives an
+groups and stays; repeated rows of one doc_id are one document, listed once, which is near what any
+of its texts is near, and of those of equal text :func:`deduplicated` keeps one; of a group the smallest doc_id stays; an empty table gives an
 empty result; other columns are ignored by the search and passed through by `deduplicated`.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -52,10 +54,56 @@ class Settings:
     broadcast_ids: int = 1_000_000
 
 
+#: Blocks of scripts without spaces between words: Thai and Lao, Burmese, Khmer, Tai, Javanese, Kana, Bopomofo, Han, Yi.
+UNSPACED = [
+    (0xE00, 0xF00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x1950, 0x1A00), (0x1A20, 0x1AB0), (0x1B00, 0x1B80), (0x2E80, 0x2FE0), (0x3005, 0x3008), (0x3040, 0x3130), (0x31A0, 0x31C0),
+    (0x31F0, 0x3200), (0x3400, 0x4DC0), (0x4E00, 0xA4D0), (0xA980, 0xAA00), (0xAA60, 0xAAE0), (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x20000, 0x32000),
+]
+
+
+def _kinds() -> np.ndarray:
+    """Of a code point from 128: 0 between words, 1 within words, 2 a word by itself."""
+    out = np.ones(0x110000, np.int8)
+    for a, b in UNSPACED:
+        out[a:b] = 2
+    for c in range(0x80, 0x20000):
+        kind = unicodedata.category(chr(c))
+        if kind[0] in "PSZ" or kind == "Cc":
+            out[c] = 0
+    return out
+
+
+KINDS = _kinds()
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, document) of each word."""
+    lead = np.flatnonzero(data >= 0xC2)
+    if not len(lead):
+        return textvec.word_bounds(data, offsets, textvec.ALNUM)
+    padded = np.concatenate([data, np.zeros(3, np.uint8)])
+    a = data[lead].astype(np.int32)
+    b, c, d = (padded[lead + k].astype(np.int32) & 0x3F for k in (1, 2, 3))
+    code = np.where(a < 0xE0, (a & 0x1F) << 6 | b, np.where(a < 0xF0, (a & 0x0F) << 12 | b << 6 | c, (a & 0x07) << 18 | b << 12 | c << 6 | d))
+    of = KINDS[np.minimum(code, 0x10FFFF)]
+    size = 2 + (a >= 0xE0) + (a >= 0xF0)
+    kind = textvec.ALNUM[padded].astype(np.int8)
+    for k in range(4):
+        kind[lead[size > k] + k] = of[size > k]
+    kind = kind[: len(data)]
+    head = np.concatenate([[True], kind[1:] != kind[:-1]])
+    head[offsets[:-1][offsets[:-1] < len(data)]] = True
+    head[lead[of == 2]] = True
+    head &= kind > 0
+    starts = np.flatnonzero(head)
+    ends = np.flatnonzero((kind > 0) & np.concatenate([head[1:] | (kind[1:] == 0), [True]])) + 1
+    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, document) of the word shingles of lower-cased text, documents in order."""
     n_docs = len(offsets) - 1
-    starts, ends, doc = textvec.word_bounds(data, offsets, textvec.ALNUM)
+    starts, ends, doc = words(data, offsets)
     prefix = textvec.PrefixHash(data)
     word = prefix.of(starts, ends)
     at = textvec.within(doc, k)
@@ -211,17 +259,20 @@ def components(pairs: DataFrame) -> DataFrame:
 def assignments(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, group_id) of the documents that have a near duplicate; group_id is the smallest doc_id."""
     sigs = written(signatures(docs, settings), "neardup-signatures")
-    same = sigs.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.countDistinct("doc_id").alias("n"))
-    same = written(same, "neardup-same")
-    # One row of each signature: that of the smallest doc_id, or of one of its repeated rows.
+    same = sigs.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"))
+    # An entry is a signature, not a doc_id, of which rows with different texts have several.
+    same = written(same.withColumn("id", F.monotonically_increasing_id()), "neardup-same")
     key = ["s1", "s2"]
-    entries = sigs.join(same.select("s1", "s2", "id"), key).where("doc_id = id").select("id", "sig").dropDuplicates(["id"])
-    # Rows of one doc_id with different texts have several signatures, yet are one document.
-    roots = components(matching_pairs(written(entries, "neardup-entries"), settings))
-    roots = roots.union(roots.select("root", "root").distinct())
-    member = sigs.select("doc_id", *key).join(same, key).join(roots, "id", "left")
-    grouped = member.select("doc_id", F.coalesce("root", "id").alias("group_id"), (F.col("root").isNotNull() | (F.col("n") > 1)).alias("shared"))
-    return grouped.where("shared").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+    # One row of each signature: that of the smallest doc_id, or of one of its repeated rows.
+    entries = sigs.join(same, key).where("doc_id = first").select("id", "sig").dropDuplicates(["id"])
+    pairs = matching_pairs(written(entries, "neardup-entries"), settings).select("a", "b")
+    member = written(sigs.select("doc_id", *key).join(same.select("id", *key), key).select("doc_id", "id").distinct(), "neardup-member")
+    # The entries of one doc_id are one document.
+    several = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("most")).where("a < most").select("doc_id", "a")
+    roots = components(pairs.union(member.join(several, "doc_id").select("a", F.col("id").alias("b"))))
+    rooted = member.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root")).distinct()
+    groups = rooted.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")).where("n > 1")
+    return rooted.join(groups, "root").select("doc_id", "group_id")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -58,6 +58,33 @@ def test_neardup_equals_all_pairs(spark):
         assert all(r.group_id == r.doc_ids[0] and r.n_docs == len(r.doc_ids) for r in got)
 
 
+def test_each_text_of_a_doc_id_is_compared(spark):
+    one, two, three = prose(701, 90), prose(702, 90), prose(703, 90)
+    texts = [(1, one), (1, two), (1, three), (5, edited(one, 1, 1)), (6, edited(two, 1, 2)), (7, edited(three, 1, 3)), (8, three), (9, prose(704, 90)), (10, prose(704, 90)), (11, prose(705, 90))]
+    some = [(k, t, *[None] * 6) for k, t in texts]
+    got = neardup.near_duplicates(docs(spark, some)).collect()
+    assert sorted(r.doc_ids for r in got) == [[1, 5, 6, 7, 8], [9, 10]] and all(r.group_id == r.doc_ids[0] for r in got)
+    kept = neardup.deduplicated(docs(spark, some)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, one), (1, two), (1, three), (9, prose(704, 90)), (11, prose(705, 90))])
+
+
+def test_near_copies_without_spaces(spark):
+    rng = random.Random(3)
+    for low, high, stop in ((0x4E00, 0x9000, "。"), (0x3041, 0x3090, "、"), (0xE01, 0xE2F, "")):
+        text = stop.join("".join(chr(rng.randrange(low, high)) for _ in range(20)) for _ in range(8))
+        other = "".join(chr(rng.randrange(low, high)) for _ in range(160))
+        some = [(1, text, *[None] * 6), (2, text[:50] + chr(low + 1) + text[51:], *[None] * 6), (3, other, *[None] * 6)]
+        assert [r.doc_ids for r in neardup.near_duplicates(docs(spark, some)).collect()] == [[1, 2]]
+
+
+def test_words_of_mixed_scripts():
+    texts = ["", "été — naïve“x”", "abc漢字def。かな 3", "한국어 문장", "ไทย", "a", "，。", "𠀀𠀁 x", "é"]
+    data, offsets = neardup.textvec.utf8(pa.array(texts))
+    starts, ends, doc = neardup.words(data, offsets)
+    got = [[data[a:b].tobytes().decode() for a, b, d in zip(starts, ends, doc) if d == k] for k in range(len(texts))]
+    assert got == [[], ["été", "naïve", "x"], ["abc", "漢", "字", "def", "か", "な", "3"], ["한국어", "문장"], ["ไ", "ท", "ย"], ["a"], [], ["𠀀", "𠀁", "x"], ["é"]]
+
+
 def test_recall_against_jaccard():
     settings = neardup.Settings()
     texts = [r[1] for r in corpus()]
