@@ -43,15 +43,29 @@ def word_grams(words: Column, longest: int) -> Column:
     return F.array_distinct(F.flatten(F.array(*grams)))
 
 
+def name_hits(texts: DataFrame, key: str, names: DataFrame, longest: int) -> DataFrame:
+    """(key, gram, node_id): names (gram, node_id), of any number of words, that occur in `texts` (key, words).
+
+    A name of more than `longest` words is found by its first ones and then compared as a whole.
+    """
+    runs = texts.select(key, F.explode(word_grams(F.col("words"), longest)).alias("gram"))
+    parts = F.split("gram", " ")
+    longer = names.where(F.size(parts) > longest).select(F.array_join(F.slice(parts, 1, longest), " ").alias("anchor"), F.col("gram").alias("name"), "node_id")
+    maybe = runs.join(longer, F.col("gram") == F.col("anchor")).select(F.col(key).alias("_key"), "name", "node_id")
+    padded = [F.concat(F.lit(" "), x, F.lit(" ")) for x in (F.array_join("words", " "), F.col("name"))]
+    found = texts.join(maybe, F.col(key).eqNullSafe(F.col("_key"))).where(F.contains(*padded)).select(key, F.col("name").alias("gram"), "node_id")
+    return runs.join(names, "gram").select(key, "gram", "node_id").union(found)
+
+
 def alias_scan(episode: DataFrame, names: DataFrame, longest: int = 4) -> DataFrame:
     """(episode_id, node_id): episodes in which a unique name occurs as whole words.
 
     The texts are cut into word runs and joined on equality, which shuffles on the name instead of
-    comparing each text with each name.  `names` is (name, node_id), at most `longest` words each.
+    comparing each text with each name.  `names` is (name, node_id); see :func:`name_hits` for those
+    of more than `longest` words.
     """
     wanted = names.select(fn.normalize(F.col("name")).alias("gram"), "node_id").where(F.char_length("gram") >= 3)
-    runs = with_words(episode.select("episode_id", "body"), "body").select("episode_id", F.explode(word_grams(F.col("words"), longest)).alias("gram"))
-    return runs.join(wanted, "gram").select("episode_id", "node_id").distinct()
+    return name_hits(with_words(episode.select("episode_id", "body"), "body"), "episode_id", wanted, longest).select("episode_id", "node_id").distinct()
 
 
 def relink(mention: DataFrame, found: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
 from .aggregates import stale_facts
-from .link import rank_within, with_words, word_grams
+from .link import name_hits, rank_within, with_words
 
 RRF_K = 60
 STOP_WORDS = tuple("a about all am an and any are did do does for from had has have how i in is it last me met my of on the this to was what when where who with".split())
@@ -106,14 +106,14 @@ def detect_entities(queries: DataFrame, names: DataFrame, longest: int = 5) -> D
 
     `names` is (name, node_id, node_type) of canonical names and aliases.  A match inside a longer
     match is dropped; a name of several nodes is ambiguous.  Queries are cut into word runs and
-    joined on equality.
+    joined on equality, names of more than `longest` words by their first ones.
     """
     clean = F.trim(F.regexp_replace(F.lower(F.col("text")), r"[^\p{L}\p{N}.@]+", " "))
     words = queries.select("query_id", F.explode(F.array(F.transform(F.split(clean, " "), lambda w: F.regexp_replace(w, r"^\.+|\.+$", "")))).alias("words"))
-    runs = words.select("query_id", F.explode(word_grams(F.col("words"), longest)).alias("name"))
     known = names.where(~F.col("node_type").isin(*fn.ANCHOR_LAST)).select(fn.canonicalize(F.col("name")).alias("name"), "node_id").distinct()
     known = known.where((F.char_length("name") >= 3) & ~F.col("name").isin(*STOP_WORDS))
-    hits = runs.join(known, "name").groupBy("query_id", "name").agg(F.min("node_id").alias("node_id"), F.countDistinct("node_id").alias("candidates"))
+    found = name_hits(words, "query_id", known.withColumnRenamed("name", "gram"), longest).withColumnRenamed("gram", "name")
+    hits = found.groupBy("query_id", "name").agg(F.min("node_id").alias("node_id"), F.countDistinct("node_id").alias("candidates"))
     longer = hits.select(F.col("query_id").alias("q2"), F.col("name").alias("outer"))
     inside = (F.col("query_id") == F.col("q2")) & (F.char_length("outer") > F.char_length("name")) & (F.instr(F.concat(F.lit(" "), F.col("outer"), F.lit(" ")), F.concat(F.lit(" "), F.col("name"), F.lit(" "))) > 0)
     return hits.join(longer, inside, "left_anti").select("query_id", "name", "node_id", (F.col("candidates") > 1).alias("ambiguous"), "candidates")

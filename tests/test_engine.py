@@ -173,3 +173,15 @@ def test_streams(spark, tmp_path):
     q = streaming.daily_counts(stream).writeStream.format("memory").queryName("daily").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [r.n for r in spark.table("daily").collect()] == [6]
+
+
+def test_names_of_many_words(spark):
+    long, near = "The Royal Society for the Protection of Birds", "the royal society for the protection of bees"
+    names = spark.createDataFrame([(long, "n1", "org"), ("royal society", "n2", "org"), ("one two three four five", "n3", "org")], "name string, node_id string, node_type string")
+    texts = [(1, f"yes, {long}!"), (2, near), (3, "One, two three four. Five"), (4, "one two three four fives"), (5, f"{near} and {long}")]
+    episode = spark.createDataFrame(texts, "episode_id long, body string")
+    for longest in (1, 4, 9):
+        got = {(r.episode_id, r.node_id) for r in link.alias_scan(episode, names.drop("node_type"), longest).collect()}
+        assert got == {(1, "n1"), (1, "n2"), (2, "n2"), (3, "n3"), (5, "n1"), (5, "n2")}
+    queries = spark.createDataFrame([(1, f"who met {long} today?"), (2, f"who met {near}?")], "query_id long, text string")
+    assert sorted((r.query_id, r.node_id, r.ambiguous) for r in retrieval.detect_entities(queries, names).collect()) == [(1, "n1", False), (2, "n2", False)]
