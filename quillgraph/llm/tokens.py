@@ -9,7 +9,8 @@ A section is a paragraph: the text up to and with the next run of line feeds, so
 tile the text.  Part of a character (a byte-level token may have that) counts as the character.
 
 Defined cases: a null or empty text is one section, number 0 from 0 to 0, without tokens; a text
-of line feeds only is one section; texts of any length are encoded whole; strings of special
+of line feeds only is one section; texts of any length and of any run of
+white space are encoded whole; strings of special
 tokens are ordinary text; repeated rows give their rows again; an empty table gives an empty
 result; a null doc_id is carried along, and other columns are ignored.
 """
@@ -17,6 +18,7 @@ result; a null doc_id is carried along, and other columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -29,6 +31,8 @@ from . import textvec
 
 SCHEMA = "doc_id bigint, section int, start bigint, end bigint, n_tokens int, n_crossing int"
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: White space (what the pattern's `\s` means) in a run for which the pattern's lookahead would need too much of its stack.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{65536,}")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -42,6 +46,23 @@ def encoder(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
     return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), size
 
 
+def encoded(encoding: tiktoken.Encoding, text: str) -> np.ndarray:
+    """Tokens of a text of any length.
+
+    A long run of white space is one piece of the pattern but for its last character, which
+    belongs to what follows, and it's encoded by itself; at the end of the text the whole run is.
+    """
+    at, parts = 0, []
+    for m in LONG_SPACE.finditer(text):
+        cut = m.end() - (m.end() < len(text))
+        parts.append(encoding.encode_to_numpy(text[at : m.start()], disallowed_special=()))
+        parts.append(np.array(encoding._encode_single_piece(text[m.start() : cut]), np.uint32))
+        at = cut
+    if not parts:
+        return encoding.encode_to_numpy(text, disallowed_special=())
+    return np.concatenate([*parts, encoding.encode_to_numpy(text[at:], disallowed_special=())])
+
+
 def section_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """First byte of each section; an empty document has none."""
     full = offsets[:-1][np.diff(offsets) > 0]
@@ -78,7 +99,7 @@ def _counted(batch: pa.RecordBatch, path: str) -> Iterator[pa.RecordBatch]:
     for lo, hi in textvec.chunks(all_offsets):
         data, offsets = all_data[all_offsets[lo] : all_offsets[hi]], all_offsets[lo : hi + 1] - all_offsets[lo]
         n = np.diff(offsets)
-        ids = [encoding.encode_to_numpy(texts[lo + i].as_py(), disallowed_special=()) for i in np.flatnonzero(n)]
+        ids = [encoded(encoding, texts[lo + i].as_py()) for i in np.flatnonzero(n)]
         edge = np.concatenate([[0], np.cumsum(size[np.concatenate(ids)] if ids else [])]).astype(np.int64)
         if edge[-1] != len(data):
             raise ValueError("the tokens don't cover the text: the vocabulary lacks single bytes")

@@ -76,6 +76,16 @@ def test_tokens_against_one_by_one(spark):
         assert [r.n_tokens for r in got] == want and sum(r.n_crossing for r in got) == crossing
 
 
+def test_long_white_space(spark, monkeypatch):
+    encoding, _ = tokens.encoder(tokens.TOKENIZER)
+    for text in (" " * 1_200_000, "\n" * 1_200_000 + "x", "a " + " \n" * 600_000 + " b\u3000c"):
+        got = tokens.section_tokens(docs(spark, [(1, text, *[None] * 6)])).collect()
+        assert sum(r.n_tokens for r in got) == len(tokens.encoded(encoding, text)) and max(r.end for r in got) == len(text)
+    monkeypatch.setattr(tokens, "LONG_SPACE", tokens.re.compile(tokens.LONG_SPACE.pattern.replace("65536", "3")))
+    for text in ("a   b", "a    ", "   ", "x\n\n\n\n  y   1   !   's", "a\u3000\u3000  \u3000b", "\x1c\x1c\x1c\x1c a", "    漢字\t\t\t\tend"):
+        assert tokens.encoded(encoding, text).tolist() == encoding.encode_ordinary(text)
+
+
 def test_boundary_rule():
     bounds = np.array([0, 4, 5, 9])
     at, crosses = tokens.attribute(np.array([0, 2, 3, 3, 1, 4]), np.array([4, 6, 5, 8, 9, 5]), bounds)
