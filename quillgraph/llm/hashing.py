@@ -19,6 +19,18 @@ def id_hash_sql(column: str) -> str:
     return f"('0x' || substr(md5(coalesce(cast({column} AS VARCHAR), '')), 1, 15))::BIGINT"
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """`names`, with underscores before them where `df` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def lowest_hashed(rows: DataFrame, key: str, n: int, total: int) -> pa.Table:
     """At most n of `rows`, of about `total`: those whose `key` hashes lowest, ties by all columns.
 

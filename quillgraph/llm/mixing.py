@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .hashing import BITS, id_hash, id_hash_sql
+from .hashing import BITS, fresh, id_hash, id_hash_sql
 
 
 @dataclass(frozen=True)
@@ -120,34 +120,35 @@ def thresholds(small: DataFrame, mixture: Mixture) -> DataFrame:
     return reduce(DataFrame.union, found)
 
 
-def tier_of(docs: DataFrame, mixture: Mixture, cuts: DataFrame, h: Column) -> DataFrame:
-    """`docs` with the column `_tier` added: the smallest tier that takes a row, null for none.
+def tier_of(docs: DataFrame, mixture: Mixture, cuts: DataFrame, h: Column, tier: str) -> DataFrame:
+    """`docs` with the column `tier` added: the smallest tier that takes a row, null for none.
 
     One row a source with its rising thresholds is joined on the source; the documents
     themselves are neither sorted nor, as long as that table is small enough for the session's
     broadcast threshold, shuffled.
     """
-    by = cuts.groupBy("source").agg(*[F.max(F.when(F.col("tier") == k, F.col("threshold"))).alias(f"_cut{k}") for k in range(len(mixture.tiers))])
-    by = by.withColumnRenamed("source", "_mix_source")
-    tier = F.lit(None).cast("int")
-    for k in reversed(range(len(mixture.tiers))):
-        tier = F.when(F.col("_h") < F.col(f"_cut{k}"), F.lit(k)).otherwise(tier)
-    joined = docs.withColumn("_h", h).join(by, F.col("source").cast("string").eqNullSafe(F.col("_mix_source")))
-    return joined.withColumn("_tier", tier).drop("_h", "_mix_source", *[f"_cut{k}" for k in range(len(mixture.tiers))])
+    of, hashed, *cut = fresh(docs, "mix_source", "h", *[f"cut{k}" for k in range(len(mixture.tiers))])
+    by = cuts.groupBy(F.col("source").alias(of)).agg(*[F.max(F.when(F.col("tier") == k, F.col("threshold"))).alias(c) for k, c in enumerate(cut)])
+    found = F.lit(None).cast("int")
+    for k, c in reversed(list(enumerate(cut))):
+        found = F.when(F.col(hashed) < F.col(c), F.lit(k)).otherwise(found)
+    joined = docs.withColumn(hashed, h).join(by, F.col("source").cast("string").eqNullSafe(F.col(of)))
+    return joined.withColumn(tier, found).drop(hashed, of, *cut)
 
 
 def mix(docs: DataFrame, mixture: Mixture) -> DataFrame:
     """(doc_id, source, tokens, tier) of the documents that the largest tier takes."""
     small = written(slim(docs), "mixing-slim")
     cuts = written(thresholds(small, mixture), "mixing-thresholds")
-    kept = tier_of(small, mixture, cuts, F.col("h")).where("_tier IS NOT NULL")
-    return kept.select("doc_id", "source", "tokens", F.col("_tier").alias("tier"))
+    kept = tier_of(small, mixture, cuts, F.col("h"), "tier").where("tier IS NOT NULL")
+    return kept.select("doc_id", "source", "tokens", "tier")
 
 
 def mixed(docs: DataFrame, mixture: Mixture) -> DataFrame:
     """The rows of `docs`, with all their columns, that the largest tier takes."""
     cuts = written(thresholds(written(slim(docs), "mixing-slim"), mixture), "mixing-thresholds")
-    kept = tier_of(docs, mixture, cuts, id_hash(F.col("doc_id"))).where("_tier IS NOT NULL")
+    (tier,) = fresh(docs, "tier")
+    kept = tier_of(docs, mixture, cuts, id_hash(F.col("doc_id")), tier).where(F.col(tier).isNotNull())
     return kept.select(*[f"`{c}`" for c in docs.columns])
 
 

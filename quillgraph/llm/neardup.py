@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from . import textvec
+from .hashing import fresh
 
 
 @dataclass(frozen=True)
@@ -283,11 +284,12 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
 def deduplicated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of `docs` without those of documents of which a near duplicate of smaller doc_id stays."""
-    goes = written(assignments(docs, settings).where("doc_id <> group_id").select(F.col("doc_id").alias("_goes")), "neardup-goes")
+    gone, twice = fresh(docs, "goes", "again")
+    goes = written(assignments(docs, settings).where("doc_id <> group_id").select(F.col("doc_id").alias(gone)), "neardup-goes")
     goes_few = goes.count() <= settings.broadcast_ids
-    kept = docs.join(F.broadcast(goes) if goes_few else goes, F.col("doc_id") == F.col("_goes"), "left_anti")
-    repeated = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "neardup-repeated")
+    kept = docs.join(F.broadcast(goes) if goes_few else goes, F.col("doc_id") == F.col(gone), "left_anti")
+    repeated = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(twice)), "neardup-repeated")
     if repeated.isEmpty():
         return kept
-    again = F.col("doc_id") == F.col("_again")
+    again = F.col("doc_id") == F.col(twice)
     return kept.join(repeated, again, "left_anti").union(kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -133,6 +133,15 @@ def test_neardup_cases(spark):
     assert Counter(r.doc_id for r in joined.collect()) == Counter(r.doc_id for r in kept.collect())
 
 
+def test_neardup_keeps_columns_of_any_name(spark):
+    extra = "goes _goes again _again count n group_id id root".split()
+    read = docs(spark).selectExpr("*", *[f"doc_id AS `{c}`" for c in extra])
+    for settings in (neardup.Settings(), neardup.Settings(broadcast_ids=0)):
+        kept = neardup.deduplicated(read, settings)
+        assert kept.columns == read.columns
+        assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 3, 4, 5, 6, 7, 8, None, 10])
+
+
 def passages(spark, some, settings):
     got = suffixdup.repeated_passages(docs(spark, some), settings)
     return Counter(tuple(r) for r in got.select("doc_id", "role", "word", "n_words", "start", "end").collect())

@@ -66,6 +66,14 @@ def test_mixing_cases(spark):
     assert mixing.mix(docs(spark, only_empty), mixing.Mixture()).count() == 2
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    extra = "_h cut0 _cut0 cut1 mix_source _mix_source tier _tier threshold weight tokens total".split()
+    read = docs(spark).selectExpr("*", *[f"doc_id AS `{c}`" for c in extra])
+    kept = mixing.mixed(read, mixing.Mixture())
+    assert kept.columns == read.columns
+    assert Counter(map(tuple, kept.select(docs(spark).columns).collect())) == Counter(map(tuple, mixing.mixed(docs(spark), mixing.Mixture()).collect()))
+
+
 def test_bounds_are_optimal():
     rng = np.random.default_rng(5)
     for n in range(1, 9):
