@@ -14,6 +14,8 @@ the order of ``PRIORITY``, then the earlier, then the longer.
 Most texts have no disguise and no identifier: regular expressions that run over the whole Arrow
 column decide exactly which texts can have any, and only those are looked at one by one.
 
+Local parts and hosts may have any number of names, and every search takes time linear in the text.
+
 Defined cases: a null or empty text has no findings and stays as it is; texts are searched whole;
 a repeated identifier is found each time, a repeated row again; an empty table gives an empty
 result; a null doc_id is carried along; other columns are ignored by :func:`find` and passed
@@ -108,15 +110,26 @@ _AT_SURE = rf"(?:{_OPEN}(?:at|@|arroba|chez){_SHUT}|_at_|-at-|\s*@\s*)"
 _AT = rf"(?:{_AT_SURE}|\s+(?:at|arroba)\s+)"
 _DOT_SURE = rf"(?:{_OPEN}(?:dot|\.|punkt|point|punto){_SHUT}|\s+(?:dot|punkt|punto|\.)\s+|_dot_|-dot-)"
 _DOT = rf"(?:{_DOT_SURE}|\.)"
-DISGUISED = re.compile(rf"(?<![\w.%+])([a-z0-9%+]+(?:(?:{_DOT}|[_-])[a-z0-9%+]+){{0,5}}?)({_AT})((?:[a-z0-9]+(?:-[a-z0-9]+)*?{_DOT}){{1,5}}[a-z]{{2,24}})(?![\w])", re.IGNORECASE)
-AT_PART, DOT_PART = re.compile(_AT, re.IGNORECASE), re.compile(_DOT, re.IGNORECASE)
+_HOST = rf"(?:(?>[a-z0-9]+(?:-[a-z0-9]+)*?{_DOT}))+[a-z]{{2,24}}(?!\w)"
+#: A disguised address; :func:`disguised` finds the same in time linear in the text's length.
+DISGUISED = re.compile(rf"(?<![\w.%+])([a-z0-9%+]+(?:(?>{_DOT}|[_-])[a-z0-9%+]+)*?)({_AT})({_HOST})", re.IGNORECASE)
+#: Each at, white space before it from its first character on.
+AT_PART = re.compile(rf"(?:(?<!\s)\s++)?+(?:[\[({{<]\s*+(?:at|@|arroba|chez){_SHUT}|@\s*+)|_at_|-at-|(?<!\s)\s++(?:at|arroba)\s++", re.IGNORECASE)
+HOST = re.compile(_HOST, re.IGNORECASE)
+#: How far labels, hyphens and dots go on, whether or not they end as a host does.
+HOST_RUN = re.compile(rf"(?:[a-z0-9]++(?:-[a-z0-9]++)*+(?>{_DOT})?+)*+", re.IGNORECASE)
+#: The local part in reversed text.
+LOCAL_BACK = re.compile(
+    r"[a-z0-9%+]++(?:(?>\s*[\])}>]\s*(?:tod|\.|tknup|tniop|otnup)\s*[\[({<]\s*|\s+(?:tod|tknup|otnup|\.)\s+|_tod_|-tod-|\.|[_-])[a-z0-9%+]++)*(?![\w.%+])", re.IGNORECASE
+)
+DOT_PART = re.compile(_DOT, re.IGNORECASE)
 DOT_SURE, AT_SURE = re.compile(_DOT_SURE, re.IGNORECASE), re.compile(_AT_SURE, re.IGNORECASE)
 #: A part of every match of DISGUISED: its at, the host's first name and dot, and what begins after it.
 _HINT = rf"{_AT}[a-z0-9]+(?:-[a-z0-9]+)*?{_DOT}[a-z0-9]"
 DISGUISED_RE2 = f"(?i:{_HINT.replace(r'\s', f'[{_SPACES_RE2}]')})|{_CASED_RE2}"
+HINT = re.compile(_HINT, re.IGNORECASE)
 
 Edit = tuple[int, int, str]
-HINT = re.compile(_HINT, re.IGNORECASE)
 
 
 class Offsets:
@@ -167,24 +180,50 @@ def spelled(run: str) -> str:
     return "".join(out)
 
 
+def disguised(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, start of its at, end of its at, end) of each disguised address.
+
+    From each at the host is read forwards and the local part backwards.  An at within a run of
+    labels that ended as no host does can't have a host either, so no run is read twice.
+    """
+    out, back, floor, dead = [], text[::-1], 0, 0
+    for m in AT_PART.finditer(text):
+        if m.start() < floor or m.end() <= dead:
+            continue
+        host = HOST.match(text, m.end())
+        if not host:
+            dead = HOST_RUN.match(text, m.end()).end()
+            continue
+        local = LOCAL_BACK.match(back, len(text) - m.start(), len(text) - floor)
+        if local:
+            floor = host.end()
+            out.append((len(text) - local.end(), m.start(), m.end(), floor))
+    return out
+
+
 def word_edits(text: str) -> list[Edit]:
     edits = [(m.start(), m.end(), spelled(m[0])) for m in SPELLED.finditer(text)]
-    for m in DISGUISED.finditer(text) if HINT.search(text) else ():
-        local, at, host = m.group(1, 2, 3)
+    for a, b, c, d in disguised(text):
+        local, at, host = text[a:b], text[b:c], text[c:d]
         if not AT_SURE.fullmatch(at) and not DOT_SURE.search(host) and not re.search(r"[\d._]", local):
             continue  # "look at example.org" is a sentence
-        own = [(x.start() + m.start(3), x.end() + m.start(3), ".") for x in DOT_PART.finditer(host)]
-        own += [(x.start() + m.start(1), x.end() + m.start(1), ".") for x in DOT_PART.finditer(local)]
-        own.append((m.start(2), m.end(2), "@"))
+        own = [(x.start() + c, x.end() + c, ".") for x in DOT_PART.finditer(host)]
+        own += [(x.start() + a, x.end() + a, ".") for x in DOT_PART.finditer(local)]
+        own.append((b, c, "@"))
         edits += [e for e in own if text[e[0] : e[1]] != e[2]]
     edits.sort()
-    return [e for k, e in enumerate(edits) if k == 0 or e[0] >= edits[k - 1][1]]
+    out: list[Edit] = []
+    for e in edits:
+        if not out or e[0] >= out[-1][1]:
+            out.append(e)
+    return out
 
 
 # --- detectors ----------------------------------------------------------------------------------
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-EMAIL = re.compile(r"(?<![\w%+-])[\w%+-]+(?:\.[\w%+-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}")
+EMAIL_LOCAL = re.compile(r"[\w%+-]++(?:\.[\w%+-]++)*+")  # reads the same backwards
+EMAIL_HOST = re.compile(r"(?:[A-Za-z0-9]++(?:-++[A-Za-z0-9]++)*+\.)+[A-Za-z]{2,24}")
 IPV4 = re.compile(rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d)(?!\.\d)", re.ASCII)
 CARD = re.compile(r"(?<!\d)(?<!\d[ -])\d(?:[ -]?\d){12,18}(?![ -]?\d)", re.ASCII)
 SSN = re.compile(r"(?<![\d-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])", re.ASCII)
@@ -194,7 +233,8 @@ PHONE = re.compile(
 )
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 NAMED_SECRET = re.compile(r"(?i)\b(?:api[_-]?key|secret|token|passw(?:or)?d|access[_-]?key)\b\W{1,8}([A-Za-z0-9_/+=-]{16,})")
-SECRET = re.compile(r"\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}|\bsk-[A-Za-z0-9_-]{20,}|\bxox[abprs]-[A-Za-z0-9-]{10,}|-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----)?")
+SECRET = re.compile(r"\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}|\bsk-[A-Za-z0-9_-]{20,}|\bxox[abprs]-[A-Za-z0-9-]{10,}|-----BEGIN [A-Z ]*PRIVATE KEY-----")
+KEY_END = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
 DIGITS = re.compile(r"(?<!\d)\d{7,15}(?!\d)", re.ASCII)
 TRIGGER_RE2 = (
     r"@|[0-9][ .()/-]{0,2}[0-9][ .()/-]{0,2}[0-9][ .()/-]{0,2}[0-9][ .()/-]{0,2}[0-9][ .()/-]{0,2}[0-9][ .()/-]{0,2}[0-9]|[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]"
@@ -214,25 +254,81 @@ def _plain(m: re.Match) -> str:
     return re.sub(r"\D", "", m[0])
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Spans of plain addresses: from each @ the host forwards and the local part backwards."""
+    out, back, floor, at = [], text[::-1], 0, text.find("@")
+    while at >= 0:
+        host = EMAIL_HOST.match(text, at + 1)
+        local = EMAIL_LOCAL.match(back, len(text) - at, len(text) - floor) if host else None
+        if local:
+            start = len(text) - local.end()
+            if start == floor > 0 and (text[floor - 1].isalnum() or text[floor - 1] in "_%+-"):
+                start = text.find(".", start, at) + 1  # the first name is the end of the address before
+            if start:
+                out.append((start, host.end()))
+                floor = host.end()
+            elif not floor:
+                out.append((0, host.end()))
+                floor = host.end()
+        at = text.find("@", at + 1)
+    return out
+
+
+def secrets(text: str) -> list[tuple[int, int]]:
+    """Spans of named secrets and known key formats; a private key goes on to its end mark."""
+    out = [m.span(1) for m in NAMED_SECRET.finditer(text) if re.search(r"\d", m[1])]
+    ends, k, at = [m.end() for m in KEY_END.finditer(text)] if "-----END" in text else [], 0, 0
+    for m in SECRET.finditer(text):
+        if m.start() < at:
+            continue
+        at = m.end()
+        if m[0].startswith("-"):
+            while k < len(ends) and ends[k] <= m.end():
+                k += 1
+            at = ends[k] if k < len(ends) else at
+        out.append((m.start(), at))
+    return out
+
+
+def settled(kinds: Iterable[tuple[str, list[tuple[int, int]]]]) -> list[tuple[str, int, int]]:
+    """The spans that overlap none of an earlier kind, nor one of their own that begins before or is longer."""
+    taken: list[tuple[int, int, str]] = []
+    for kind, spans in kinds:
+        k, end, new = 0, 0, []
+        for a, b in sorted(spans, key=lambda x: (x[0], -x[1])):
+            while k < len(taken) and taken[k][1] <= a:
+                k += 1
+            if a >= end and (k == len(taken) or b <= taken[k][0]):
+                new.append((a, b, kind))
+                end = b
+        taken = sorted(taken + new)
+    return [(kind, a, b) for a, b, kind in taken]
+
+
 def detect(text: str, edited: list[tuple[int, int]] = ()) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the identifiers in normalised text; `edited`: spans that were spelled digits."""
-    found = [("secret", m.start(1), m.end(1)) for m in NAMED_SECRET.finditer(text) if re.search(r"\d", m[1])]
-    found += [("secret", m.start(), m.end()) for m in SECRET.finditer(text)]
-    if "@" in text:
-        found += [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
-    found += [("iban", m.start(), m.end()) for m in IBAN.finditer(text) if _iban_ok(m[0].replace(" ", ""))]
-    found += [("card", m.start(), m.end()) for m in CARD.finditer(text) if m[0][0] in "23456" and luhn(x := _plain(m)) and len(set(x)) > 1]
-    found += [("ssn", m.start(), m.end()) for m in SSN.finditer(text)]
-    found += [("ipv4", m.start(), m.end()) for m in IPV4.finditer(text)]
-    found += [("phone", m.start(), m.end()) for m in PHONE.finditer(text) if 7 <= len(_plain(m)) <= 15]
+    phones = [m.span() for m in PHONE.finditer(text) if 7 <= len(_plain(m)) <= 15]
     if edited:  # a bare number is a phone number only where it was spelled out
-        found += [("phone", m.start(), m.end()) for m in DIGITS.finditer(text) if any(a < m.end() and m.start() < b for a, b in edited)]
-    found.sort(key=lambda x: (PRIORITY.index(x[0]), x[1], x[1] - x[2]))
-    taken: list[tuple[str, int, int]] = []
-    for x in found:
-        if all(x[2] <= y[1] or y[2] <= x[1] for y in taken):
-            taken.append(x)
-    return sorted(taken, key=lambda x: x[1])
+        first = [a for a, _ in edited]
+        for m in DIGITS.finditer(text):
+            k = bisect_right(first, m.end() - 1) - 1
+            if k >= 0 and m.start() < edited[k][1]:
+                phones.append(m.span())
+    return settled(
+        zip(
+            PRIORITY,
+            (
+                secrets(text),
+                emails(text),
+                [m.span() for m in IBAN.finditer(text) if _iban_ok(m[0].replace(" ", ""))],
+                [m.span() for m in CARD.finditer(text) if m[0][0] in "23456" and luhn(x := _plain(m)) and len(set(x)) > 1],
+                [m.span() for m in SSN.finditer(text)],
+                [m.span() for m in IPV4.finditer(text)],
+                phones,
+            ),
+            strict=True,
+        )
+    )
 
 
 def _iban_ok(x: str) -> bool:
