@@ -2,7 +2,7 @@
 
 A word's letters name its script, and the script narrows the candidates: a language is a candidate
 for a script in which the training rows of that language have letters, and a script without any
-trained language stands for its one default language.  A word's score for a candidate is the sum
+trained language stands for its one default language (``mis`` where that has none of its own).  A word's score for a candidate is the sum
 over its byte trigrams (the word's ends included) of the trained log-likelihood ratio of that
 language against the mean of all, bounded so that no single word decides.  Viterbi over the words
 of a document, with a fixed penalty for a change of language, labels spans; a word without letters
@@ -27,6 +27,7 @@ by :func:`identify` and passed through by :func:`accepted`.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -44,18 +45,16 @@ SCHEMA = (
     " spans array<struct<lang: string, start: bigint, end: bigint>>"
 )
 TRIGRAM_BITS = 16
-#: Script numbers: 0 none, 1 Latin; each further one with the first code points of its blocks and a default language.
+#: Script numbers: 0 none, 1 Latin; each further one with the words that begin its letters' names and a default language.
 SCRIPTS = {
-    2: ("Greek", "el", [(0x370, 0x400), (0x1F00, 0x2000)]),
-    3: ("Cyrillic", "ru", [(0x400, 0x530)]),
-    4: ("Hebrew", "he", [(0x590, 0x600)]),
-    5: ("Arabic", "ar", [(0x600, 0x700), (0x750, 0x780)]),
-    6: ("Devanagari", "hi", [(0x900, 0x980)]),
-    7: ("Thai", "th", [(0xE00, 0xE80)]),
-    8: ("Han", "zh", [(0x3400, 0x4DC0), (0x4E00, 0xA000)]),
-    9: ("Kana", "ja", [(0x3040, 0x3100)]),
-    10: ("Hangul", "ko", [(0x1100, 0x1200), (0xAC00, 0xD7B0)]),
-}
+    2: ("GREEK COPTIC", "el"), 3: ("CYRILLIC", "ru"), 4: ("HEBREW", "he"), 5: ("ARABIC", "ar"), 6: ("DEVANAGARI", "hi"), 7: ("THAI", "th"), 8: ("CJK IDEOGRAPHIC BOPOMOFO", "zh"),
+    9: ("HIRAGANA KATAKANA KATAKANA-HIRAGANA HALFWIDTH-KATAKANA", "ja"), 10: ("HANGUL HALFWIDTH-HANGUL", "ko"), 11: ("ARMENIAN", "hy"), 12: ("GEORGIAN", "ka"), 13: ("BENGALI", "bn"),
+    14: ("GURMUKHI", "pa"), 15: ("GUJARATI", "gu"), 16: ("ORIYA", "or"), 17: ("TAMIL", "ta"), 18: ("TELUGU", "te"), 19: ("KANNADA", "kn"), 20: ("MALAYALAM", "ml"), 21: ("SINHALA", "si"),
+    22: ("LAO", "lo"), 23: ("TIBETAN", "bo"), 24: ("MYANMAR", "my"), 25: ("KHMER", "km"), 26: ("MONGOLIAN", "mn"), 27: ("ETHIOPIC", "am"), 28: ("CHEROKEE", "chr"), 29: ("CANADIAN", "iu"),
+    30: ("YI", "ii"), 31: ("SYRIAC", "syr"), 32: ("THAANA", "dv"), 33: ("NKO", "nqo"), 34: ("OL", "sat"), 35: ("TIFINAGH", "zgh"), 36: ("BALINESE", "ban"), 37: ("JAVANESE", "jv"),
+    38: ("SUNDANESE", "su"), 39: ("ADLAM", "ff"),
+    40: ("", "mis"),  # all other scripts: a language without a code
+}
 #: A default language may also write in these scripts: Japanese uses Han beside Kana.
 ALSO = {"ja": [8]}
 NEVER = -60.0
@@ -83,18 +82,18 @@ class Model:
 
 
 def _letter_codes() -> np.ndarray:
-    """Script of a code point below 0x10000; Latin where nothing else is known of a letter."""
-    out = np.ones(0x10000, np.int8)
-    for k, (_, _, blocks) in SCRIPTS.items():
-        for a, b in blocks:
-            out[a:b] = k
-    out[0x2000:0x2C00] = 0  # punctuation, arrows, symbols
-    out[0x3000:0x3040] = 0
-    out[0x80:0xC0] = 0
-    out[[0xD7, 0xF7]] = 0
-    out[[0xAA, 0xB5, 0xBA]] = 1
-    out[0xFE00:0xFE10] = 0
-    out[0xFFF0:] = 0
+    """Script of each code point: of letters and marks, by the first word of their names."""
+    of = {word: k for k, (words, _) in SCRIPTS.items() for word in words.split()} | dict.fromkeys(("LATIN", "FULLWIDTH", "MATHEMATICAL", "MICRO", "KELVIN", "ANGSTROM", "FEMININE", "MASCULINE"), 1)
+    out = np.zeros(0x110000, np.int8)
+    for c in range(0x41, 0x20000):
+        kind = unicodedata.category(chr(c))
+        if kind[0] == "L" or kind[0] == "M":
+            name = unicodedata.name(chr(c), "").split()
+            if name and name[0] == "HALFWIDTH":
+                name[0] = f"HALFWIDTH-{name[1]}"
+            if name and name[0] not in ("COMBINING", "MODIFIER", "VARIATION"):
+                out[c] = of.get(name[0], max(SCRIPTS))
+    out[0x20000:0x32000] = 8
     return out
 
 
@@ -110,9 +109,9 @@ def letter_scripts(data: np.ndarray) -> np.ndarray:
     if len(lead):
         padded = np.concatenate([data, np.zeros(3, np.uint8)])
         a = data[lead].astype(np.int32)
-        b, c = (padded[lead + k].astype(np.int32) & 0x3F for k in (1, 2))
-        code = np.where(a < 0xE0, (a & 0x1F) << 6 | b, (a & 0x0F) << 12 | b << 6 | c)
-        out[lead] = np.where(a >= 0xF0, 0, CODES[np.minimum(code, 0xFFFF)])
+        b, c, d = (padded[lead + k].astype(np.int32) & 0x3F for k in (1, 2, 3))
+        code = np.where(a < 0xE0, (a & 0x1F) << 6 | b, np.where(a < 0xF0, (a & 0x0F) << 12 | b << 6 | c, (a & 0x07) << 18 | b << 12 | c << 6 | d))
+        out[lead] = CODES[np.minimum(code, 0x10FFFF)]
     return out
 
 
@@ -191,23 +190,31 @@ def fit(texts: list[str], labels: list[str], settings: Settings = Settings()) ->
     share = letters / np.maximum(letters.sum(1, keepdims=True), 1)
     for i in [i for i, lang in enumerate(trained) if lang == UNKNOWN]:
         share[i, 2:] = 0  # other scripts have default languages
-    extra = [lang for k, (_, lang, _) in SCRIPTS.items() if not any(share[i, k] >= settings.script_share for i in range(len(trained))) and lang not in trained]
+    extra = [lang for k, (_, lang) in SCRIPTS.items() if not any(share[i, k] >= settings.script_share for i in range(len(trained))) and lang not in trained]
     langs = trained + extra
     scripts = np.full((letters.shape[1], len(langs)), NEVER, np.float32)
     scripts[0] = 0
     for i in range(len(trained)):
         scripts[1:, i][share[i, 1:] >= settings.script_share] = 0
-    for i, lang in enumerate(extra, len(trained)):
-        for k, (_, own, _) in SCRIPTS.items():
-            if own == lang:
-                scripts[k, i] = 4.0
-            elif k in ALSO.get(lang, []):
-                scripts[k, i] = 3.0
+    for k, (_, lang) in SCRIPTS.items():
+        if (scripts[k] == NEVER).all():  # no trained language has letters of it
+            scripts[k, langs.index(lang)] = 4.0
+            if lang in extra:
+                scripts[ALSO.get(lang, []), langs.index(lang)] = 3.0
     return Model(langs, table.astype(np.float32), neutral.astype(np.float32), scripts, settings)
 
 
+def candidates(script: np.ndarray, model: Model) -> np.ndarray:
+    """Numbers of the languages that words of these scripts can have: the trained ones, which come first, and default ones."""
+    n = len(model.table)
+    own = np.flatnonzero(np.bincount(script, minlength=len(model.scripts))[1:]) + 1
+    if not n and not len(own):
+        return np.arange(len(model.langs))
+    return np.concatenate([np.arange(n), np.flatnonzero((model.scripts[own, n:] > NEVER).any(0)) + n])
+
+
 def word_scores(data: np.ndarray, offsets: np.ndarray, model: Model):
-    """(starts, ends, document, script, trigrams, score by language) of the words of lower-cased text."""
+    """(starts, ends, document, script, trigrams, score by candidate) of the words of lower-cased text."""
     starts, ends, doc = textvec.word_bounds(data, offsets, ~textvec.SPACE)
     script = letter_scripts(data)
     at = trigrams(data, script, starts, ends)
@@ -216,13 +223,12 @@ def word_scores(data: np.ndarray, offsets: np.ndarray, model: Model):
         return starts, ends, doc, np.zeros(0, np.int8), at, np.zeros((0, len(model.langs)), np.float32)
     # Trigram 0 scores nothing, so what follows a word may be summed with it.
     most = np.maximum.reduceat(script, starts)  # the word's script; of several the last, so that one of Han and Kana is Japanese
-    # Where all letters are Latin, the languages of other scripts, which come last, are no candidates.
-    n_langs = n_trained if n_trained and most.max() <= 1 else len(model.langs)
-    score = np.zeros((n, n_langs), np.float32)
+    langs = candidates(most, model)
+    score = np.zeros((n, len(langs)), np.float32)
     for i in range(n_trained):
         score[:, i] = np.add.reduceat(np.take(model.table[i], at), starts)
     np.clip(score[:, :n_trained], -model.settings.word_bound, model.settings.word_bound, out=score[:, :n_trained])
-    score += model.scripts[most, :n_langs]
+    score += model.scripts[:, langs][most]
     score[most == 0] = 0
     return starts, ends, doc, most, at, score
 
@@ -252,19 +258,19 @@ def viterbi(score: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
     n_words = np.diff(first)
     order = np.argsort(-n_words, kind="stable")
     counts = n_words[order]
-    label = np.zeros(len(score), np.int8)
+    label = np.zeros(len(score), np.int16)
     if len(score) == 0:
         return label
     base, longest = first[:-1][order], int(counts[0])
     active = np.searchsorted(-counts, -np.arange(longest), "left")  # documents with more than t words
     stay = np.ones(score.shape, bool)
-    best = np.zeros(len(score), np.int8)  # the best label of the word before
+    best = np.zeros(len(score), np.int16)  # the best label of the word before
     v = score[base[: active[0]]].copy()
     last = [None] * longest
     for t in range(1, longest):
         k = active[t]
         if k < len(v):
-            last[t - 1] = v[k:].argmax(1).astype(np.int8)
+            last[t - 1] = v[k:].argmax(1).astype(np.int16)
             v = v[:k]
         rows = base[:k] + t
         top = v.argmax(1)
@@ -273,8 +279,8 @@ def viterbi(score: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
         stay[rows] = keep
         best[rows] = top
         v = np.where(keep, v, reach[:, None]) + score[rows]
-    last[longest - 1] = v.argmax(1).astype(np.int8)
-    now = np.zeros(0, np.int8)
+    last[longest - 1] = v.argmax(1).astype(np.int16)
+    now = np.zeros(0, np.int16)
     for t in range(longest - 1, -1, -1):
         if last[t] is not None:
             now = np.concatenate([now, last[t]])
@@ -295,7 +301,7 @@ def _labelled(batch: pa.RecordBatch, model: Model) -> Iterator[pa.RecordBatch]:
         part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         starts, ends, doc, script, trigram, score = word_scores(part, at, model)
         first = np.searchsorted(doc, np.arange(n_docs + 1))
-        label = viterbi(score, first, model.settings.switch_penalty) if n_langs else np.zeros(len(doc), np.int8)
+        label = candidates(script, model)[viterbi(score, first, model.settings.switch_penalty)]
         weight = (script > 0).astype(float)
         n_lettered = np.bincount(doc, weight, n_docs)
         gained = np.bincount(doc, neutral_scores(starts, script, trigram, label, model) if len(doc) and n_langs else np.zeros(len(doc)), n_docs)

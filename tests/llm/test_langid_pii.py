@@ -73,7 +73,7 @@ def test_langid_cases(spark, model):
     assert kept.schema == docs(spark).schema
     assert {r.doc_id for r in kept.collect()} == {k for k, r in got.items() if r.keep}
     assert langid.identify(empty(spark), model).count() == 0 and langid.accepted(empty(spark), model).count() == 0
-    assert langid.train(empty(spark)).langs[-1] == "ko"
+    assert langid.train(empty(spark)).langs == [lang for _, lang in langid.SCRIPTS.values()]
     model = langid.train(docs(spark))
     assert set("de en es fr".split()) <= set(model.langs)
 
@@ -88,6 +88,81 @@ def test_held_out_accuracy(spark):
     assert found.keep.all()
 
 
+SCRIPT_TEXTS = {
+    "ta": "தமிழ் மொழி மிகவும் பழமையான மொழி", "bn": "বাংলা ভাষা একটি সুন্দর ভাষা", "ka": "ქართული ენა ძალიან ძველია", "hy": "հայերեն լեզու շատ հին է", "am": "አማርኛ ቋንቋ ነው", "km": "ភាសាខ្មែរ",
+    "ff": "𞤀𞤣𞤤𞤢𞤥 𞤆𞤵𞤤𞤢𞤪", "zh": "𠀀𠀁𠀂𠀃", "mis": "𐌰𐌱𐌲 𐌳𐌴𐌵", "th": "ภาษาไทย", "ko": "한국어 문장", "te": "తెలుగు భాష",
+}
+
+
+def test_every_script_is_known(spark, model):
+    some = [(k, t, *[None] * 6) for k, t in enumerate(SCRIPT_TEXTS.values())] + [(99, EN + " ".join(SCRIPT_TEXTS.values()), *[None] * 6)]
+    for m in (model, langid.fit([], [])):
+        got = {r.doc_id: r for r in langid.identify(docs(spark, some), m).collect()}
+        assert [got[k].lang for k in range(len(SCRIPT_TEXTS))] == list(SCRIPT_TEXTS)
+        assert all(got[k].keep for k in range(len(SCRIPT_TEXTS)))
+        assert [s.lang for s in got[99].spans][-len(SCRIPT_TEXTS) :] == list(SCRIPT_TEXTS)
+    assert langid.accepted(docs(spark, some), model).count() == len(some)
+
+
+def test_many_languages():
+    texts = [" ".join(f"{chr(97 + k // 26)}{chr(97 + k % 26)}" * (2 + j % 3) for j in range(60)) for k in range(300)]
+    model = langid.fit(texts, [f"l{k:03d}" for k in range(300)], langid.Settings(word_bound=60.0))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts)], names=["doc_id", "text"])
+    found = pa.Table.from_batches(list(langid._labelled(batch, model))).to_pandas()
+    assert (found.lang == [f"l{k:03d}" for k in range(300)]).mean() > 0.9
+
+
+def slow_identify(text, model):
+    """(lang, share, words, mean score, spans, keep) of one text, word by word with dictionaries of byte trigrams."""
+    lower = pa.compute.utf8_lower(pa.array([text or ""]))[0].as_py()
+    words = [(m.group().encode(), m.start(), m.end()) for m in pii.re.finditer("[^\t-\r ]+", text or "")]
+    lowered = [m.group().encode() for m in pii.re.finditer("[^\t-\r ]+", lower)]
+    rows, scripts, plain = [], [], []
+    for w in lowered:
+        of = [int(langid.CODES[ord(c)]) if len(c.encode()) > 1 else int(c.isalpha()) for c in w.decode()]
+        script = max(of)
+        grams, padded = [], b" " + w + b" "
+        inside = [b for c, k in zip(w.decode(), of) for b in [k > 0 or len(c.encode()) > 1] * len(c.encode())]
+        for k in range(len(w)):
+            if inside[k]:
+                code = (padded[k] << 16 | padded[k + 1] << 8 | padded[k + 2]) * 2654435761 % (1 << 32) >> (32 - langid.TRIGRAM_BITS)
+                grams.append(max(code, 1))
+        b = model.settings.word_bound
+        row = np.array([float(np.clip(sum(float(t[g]) for g in grams), -b, b)) for t in model.table] + [0.0] * (len(model.langs) - len(model.table)))
+        rows.append(row + model.scripts[script] if script else row * 0)
+        plain.append([float(np.clip(sum(float(t[g]) for g in grams), -b, b)) for t in model.neutral] + [0.0] * (len(model.langs) - len(model.table)))
+        scripts.append(script)
+    lettered = sum(s > 0 for s in scripts)
+    if not lettered:
+        return "und", 0.0, len(words), 0.0, [], False
+    path = slow_path(np.array(rows), model.settings.switch_penalty)
+    mean = sum(plain[k][x] + model.scripts[scripts[k], x] for k, x in enumerate(path) if scripts[k]) / lettered
+    votes = np.bincount([x for k, x in enumerate(path) if scripts[k]], minlength=len(model.langs))
+    spans = []
+    for x, (_, a, b) in zip(path, words):
+        if spans and spans[-1][0] == model.langs[x]:
+            spans[-1][2] = b
+        else:
+            spans.append([model.langs[x], a, b])
+    return model.langs[int(votes.argmax())], votes.max() / lettered, len(words), mean, [tuple(s) for s in spans], bool(mean >= model.settings.least_score)
+
+
+def test_identify_equals_slow_path(spark):
+    """The whole query against a word-by-word version, on real, mixed and hard texts."""
+    read = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(read)
+    own = [r.text for r in read.select("text").limit(60).collect()]
+    some = [*own, *SCRIPT_TEXTS.values(), JUNK, "!!! 123", "", None, "İstanbul ISSIZ " + EN, *(a[:300] + " " + b[:300] + " " + c for a, b, c in zip(own[:20], own[20:40], SCRIPT_TEXTS.values()))]
+    got = {r.doc_id: r for r in langid.identify(docs(spark, [(k, t, *[None] * 6) for k, t in enumerate(some)]), model).collect()}
+    same = 0
+    for k, text in enumerate(some):
+        lang, share, n, mean, spans, keep = slow_identify(text, model)
+        r = got[k]
+        assert (r.n_words, r.keep) == (n, keep) and r.mean_score == pytest.approx(mean, abs=0.02)
+        same += (r.lang, [tuple(s) for s in r.spans]) == (lang, spans) and r.lang_share == pytest.approx(share)
+    assert same >= len(some) - 1  # sums in single precision may settle one tie otherwise
+
+
 JUNK = "qzxkv jwqpz xvbqk zzkqj wvxqz kqjxw pqzvk xjqwz " * 10
 
 
