@@ -11,7 +11,7 @@ Within a bucket the documents are numbered in the order of their hash, and every
 number is its place within its (bucket, leading hash bits) shard plus the sizes of the shards
 before, of which there are a fixed number.
 
-A document's length is its tokens, ``(n_chars + 3) div 4``, and one end-of-text token.
+A document's length is its tokens, counted or estimated as in :mod:`.mixing`, and one end-of-text token.
 
 Defined cases: a null or empty text has length 1; a document longer than the token budget is a
 batch of its own, neither cut nor dropped; ties of hash are numbered by doc_id, then length, null
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from .hashing import BITS, id_hash, id_hash_sql
-from .mixing import DOC_TOKENS_SQL, doc_tokens
+from .mixing import DOC_TOKENS_SQL, measured
 
 
 @dataclass(frozen=True)
@@ -38,6 +38,7 @@ class Packing:
     token_budget: int = 65_536
     #: Leading hash bits that split a bucket for numbering: 2**12 shards in each bucket.
     shard_bits: int = 12
+    length: str = "estimate"
 
 
 def best_bounds(length: np.ndarray, count: np.ndarray, buckets: int) -> list[int]:
@@ -81,7 +82,8 @@ def pack(docs: DataFrame, packing: Packing = Packing()) -> DataFrame:
     What the driver gets is the histogram, one row for each distinct length: its size is bounded
     by the longest document, not by the corpus.
     """
-    small = written(docs.select("doc_id", (doc_tokens() + 1).alias("n_tokens"), id_hash(F.col("doc_id")).alias("h")), "packing-lengths")
+    small = measured(docs, packing.length, F.col("doc_id"), id_hash(F.col("doc_id")).alias("h"))
+    small = written(small.select("doc_id", "h", (F.col("tokens") + 1).alias("n_tokens")), "packing-lengths")
     histogram = small.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").toPandas()
     bounds = best_bounds(histogram["n_tokens"].to_numpy(), histogram["n"].to_numpy(), packing.buckets)
     edge = F.array(*[F.lit(b).cast("bigint") for b in bounds]) if bounds else F.array(F.lit(1).cast("bigint"))
@@ -100,7 +102,7 @@ def pack(docs: DataFrame, packing: Packing = Packing()) -> DataFrame:
 
 
 def pack_sql(packing: Packing) -> str:
-    """The dynamic programme written out, a pair of tables a layer, quadratic in distinct lengths."""
+    """The dynamic programme, of estimated lengths, written out, a pair of tables a layer, quadratic in distinct lengths."""
     parts = [
         f"slim AS MATERIALIZED (SELECT doc_id, {DOC_TOKENS_SQL} + 1 AS n_tokens, {id_hash_sql('doc_id')} AS h FROM documents)",
         "hist AS MATERIALIZED (SELECT row_number() OVER (ORDER BY n_tokens) AS j, n_tokens AS len, (sum(n) OVER (ORDER BY n_tokens))::BIGINT AS c,"

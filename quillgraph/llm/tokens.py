@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import textvec
 
@@ -131,3 +132,18 @@ def section_tokens(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             yield from _counted(batch, tokenizer)
 
     return textvec.arrow_map(docs.select("doc_id", "text"), run, SCHEMA)
+
+
+def counted(docs: DataFrame, tokenizer: str = TOKENIZER, column: str = "n_tokens") -> DataFrame:
+    """`docs` with its column `text` replaced by the number of the text's tokens; null and empty texts have none."""
+    names = docs.columns
+    at, others = names.index("text"), [c for c in names if c != "text"]
+    schema = StructType([docs.schema[c] for c in others] + [StructField(column, LongType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding, _ = encoder(tokenizer)
+        for batch in textvec.pieces(batches, at):
+            n = [len(encoded(encoding, text)) if text else 0 for text in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in others), pa.array(n, pa.int64())], names=[*others, column])
+
+    return textvec.arrow_map(docs, run, schema)

@@ -1,13 +1,15 @@
+import hashlib
 import itertools
 import random
 from collections import Counter
+from dataclasses import replace
 
 import duckdb
 import numpy as np
 import pytest
 import zstandard
 
-from quillgraph.llm import mixing, packing, quality
+from quillgraph.llm import mixing, packing, quality, tokens
 from quillgraph.llm.queries import MIXTURE, PACKING
 
 from .helpers import docs, empty, prose, rows
@@ -46,7 +48,10 @@ def _oracle(sql, some):
     return Counter(c.sql(sql).fetchall())
 
 
-@pytest.mark.parametrize("mixture", [mixing.Mixture(), mixing.Mixture(weights={"a": 2.0, "b": 0.0}, tiers=(0.3, 1.0), level_bits=7), MIXTURE])
+ESTIMATED = replace(MIXTURE, length="estimate")
+
+
+@pytest.mark.parametrize("mixture", [mixing.Mixture(), mixing.Mixture(weights={"a": 2.0, "b": 0.0}, tiers=(0.3, 1.0), level_bits=7), ESTIMATED, mixing.Mixture(weights={"b": 9.0, "c": 0.0}, share=0.9), mixing.Mixture(share=1.0)])
 def test_mixing_equals_running_sum(spark, mixture):
     rng = random.Random(1)
     some = rows() + [(k, "x" * rng.randrange(400), "en", rng.choice("aaaabc"), None, None, None, None) for k in range(100, 400)]
@@ -57,6 +62,62 @@ def test_mixing_equals_running_sum(spark, mixture):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(k[0] for k in got.elements())
 
 
+def test_counted_mixture_by_brute_force(spark):
+    """The query's own parameters: sorted hashes and a bisected level, tokens by the encoder."""
+    read = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "text", "lang", "if(doc_id % 9 < 3, 'src0', source) AS source", "n_chars", "'' AS bucket", "'' AS h", "'' AS keep")
+    some = [tuple(r) for r in read.collect()] + rows() + [(k, "tiny", "en", "stray", 4, None, None, None) for k in (901, 902)]
+    encoding, _ = tokens.encoder(tokens.TOKENIZER)
+    size = [len(encoding.encode_ordinary(r[1] or "")) for r in some]
+    hashed = [int(hashlib.md5(("" if r[0] is None else str(r[0])).encode()).hexdigest()[:15], 16) for r in some]
+    totals = Counter()
+    for r, n in zip(some, size):
+        totals[r[3]] += n
+    weight = {s: MIXTURE.weights.get(s, MIXTURE.default_weight) for s in totals}
+    want = Counter()
+    budgets = []
+    for part in MIXTURE.tiers:
+        budget, low, high = int(sum(totals.values()) * (MIXTURE.share * part)), 0.0, 1e9
+        for _ in range(200):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(min(totals[s], level * w) for s, w in weight.items()) < budget else (low, level)
+        budgets.append({s: min(totals[s], int(high * w + 1e-6)) for s, w in weight.items()})
+    for s in totals:
+        own = sorted((h, k) for k, h in enumerate(hashed) if some[k][3] == s)
+        upto = 0
+        for h, group in itertools.groupby(own, key=lambda x: x[0]):
+            group = [k for _, k in group]
+            upto += sum(size[k] for k in group)
+            for tier, budget in enumerate(budgets):
+                if upto <= budget[s]:
+                    want.update((some[k][0], s, size[k], tier) for k in group)
+                    break
+    read = docs(spark, some)
+    assert Counter(tuple(r) for r in mixing.mix(read, MIXTURE).select("doc_id", "source", "tokens", "tier").collect()) == want
+    kept = sum(n for (_, _, n, _), k in want.items() for _ in range(k))
+    assert 0.6 < kept / sum(size) <= 0.7  # what whole documents leave of the budget
+    assert {k[0] for k in want} >= {901, 902}  # a stray source gives all, and takes nothing
+
+
+def test_counted_packing_by_brute_force(spark):
+    read = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "text", "lang", "source", "n_chars", "'' AS bucket", "'' AS h", "'' AS keep")
+    some = [tuple(r) for r in read.limit(120).collect()] + rows()
+    encoding, _ = tokens.encoder(tokens.TOKENIZER)
+    plan = replace(PACKING, buckets=3, token_budget=4000)
+    got = packing.pack(docs(spark, some), plan).collect()
+    length = Counter((r[0], len(encoding.encode_ordinary(r[1] or "")) + 1) for r in some)
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == length
+    sizes = sorted({n for _, n in length})
+    best = min(sum(n * (next(c for c in [*cut, sizes[-1]] if c >= x[1]) - x[1]) for x, n in length.items()) for cut in itertools.combinations(sizes[:-1], 2))
+    assert sum(r.padded_len - r.n_tokens for r in got) == best
+    batch = Counter((r.bucket, r.batch_id) for r in got)
+    widths = {(r.bucket, r.batch_id): r.padded_len for r in got}
+    assert all(n == 1 or n * widths[b] <= 4000 for b, n in batch.items())
+    assert len({(r.bucket, r.batch_id, r.slot) for r in got}) == len(some)
+    for bucket in {b for b, _ in batch}:  # all but the last batch of a bucket are full
+        full = [n for (b, i), n in sorted(batch.items()) if b == bucket]
+        assert set(full[:-1]) <= {max(1, 4000 // widths[(bucket, 0)])}
+
+
 def test_mixing_cases(spark):
     assert mixing.mix(empty(spark), MIXTURE).count() == 0
     assert mixing.mixed(empty(spark), MIXTURE).count() == 0
@@ -93,7 +154,7 @@ def test_bounds_are_optimal():
 def test_packing_equals_sql(spark):
     rng = random.Random(2)
     some = rows() + [(k, None, None, "a", rng.randrange(3000), None, None, None) for k in range(100, 300)]
-    for plan in (packing.Packing(buckets=3, token_budget=2000, shard_bits=2), PACKING):
+    for plan in (packing.Packing(buckets=3, token_budget=2000, shard_bits=2), replace(PACKING, length="estimate")):
         got = Counter(tuple(r) for r in packing.pack(docs(spark, some), plan).collect())
         assert got == _oracle(packing.pack_sql(plan), some)
     got = packing.pack(docs(spark, some), packing.Packing(buckets=3, token_budget=2000)).collect()
