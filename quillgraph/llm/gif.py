@@ -7,20 +7,24 @@ cleared, or what was there before it restored.  A transparent or missing pixel l
 it is.  Cleared and never drawn pixels are transparent.
 
 One row a frame: its time, the whole screen as RGBA bytes, and a histogram of its opaque pixels
-over 4 x 4 x 4 cubes of red, green and blue (red most significant).
+over 4 x 4 x 4 cubes of red, green and blue (red most significant).  A screen of more than
+``band_pixels`` pixels is decoded in bands of whole rows, the file once for each, and has a row for
+each frame and band; histogram and transparent pixels are then the band's.  Frames are returned as they
+are drawn, so that memory holds one band of the screen however many frames and pixels a file has.
 
 Defined cases: a null gives one row without frame and the error ``null``; bytes that aren't a GIF,
 or have no image, one row without frame and the error; a file that breaks off or has an undecodable
 image gives the frames before it, then a row without frame and the error; an image's surplus
-pixels are dropped and those outside the screen not drawn; a file larger than ``most_pixels`` on
-screen has the error ``too large``; repeated rows give their rows again; an empty table gives an
-empty result; other columns are ignored.
+pixels are dropped and those outside the screen not drawn; a screen without pixels has frames of no
+bytes; repeated rows give their rows again; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +34,11 @@ from . import textvec
 
 SCHEMA = (
     "{key} bigint, frame int, start_ms bigint, delay_ms int, width int, height int, image_left int, image_top int, image_width int, image_height int,"
-    " disposal int, interlaced boolean, loops int, rgba binary, histogram array<int>, n_transparent int, error string"
+    " disposal int, interlaced boolean, loops int, band int, band_top int, band_height int, rgba binary, histogram array<int>, n_transparent int, error string"
 )
-MOST_PIXELS = 1 << 26
+BAND_PIXELS = 1 << 22
+#: Codes that are decoded together once the table is full.
+LATER = 512
 
 
 class GifError(ValueError):
@@ -49,54 +55,104 @@ class Frame:
     height: int
     disposal: int
     interlaced: bool
-    screen: np.ndarray  # height x width x 4
+    screen: np.ndarray  # height x width x 4, of the band's rows
 
 
-def lzw_decode(data: bytes, least: int, most: int) -> bytes:
-    """Colour numbers of a code stream, at most `most`; `least` is the code size of the image."""
-    if not 1 <= least <= 11:
+@lru_cache(maxsize=16)
+def code_widths(least: int) -> np.ndarray:
+    """Bits of the i-th code after a clear code, for the first 4096; all further ones have 12."""
+    return np.minimum(12, np.maximum(least + 1, np.floor(np.log2((1 << least) + 1 + np.arange(4096))).astype(np.int64) + 1))
+
+
+def lzw_runs(data: bytes, least: int, most: int) -> Iterator[bytes]:
+    """Colour numbers of a code stream, at most `most`, piece by piece; `least` is the code size of the image.
+
+    Without a loop over codes: the widths of all codes up to the next clear code are known, so that
+    these are cut from the stream together.  The entry that is made after the k-th code is what the
+    code stands for and the pixel after it, so an entry's pixels are those that begin at the k-th
+    code's place; each pixel points to an earlier one, and doubling these steps finds the literal.
+    """
+    if not 1 <= least <= 8:
         raise GifError("bad code size")
-    clear, stop = 1 << least, (1 << least) + 1
-    roots = [bytes([k]) for k in range(clear)] + [b"", b""]
-    table, width, limit = list(roots), least + 1, 1 << (least + 1)
-    out, size, before, bits, have = [], 0, b"", 0, 0
-    for byte in data:
-        bits |= byte << have
-        have += 8
-        while have >= width:
-            code = bits & (limit - 1)
-            bits >>= width
-            have -= width
-            if code == clear:
-                table, width, limit, before = list(roots), least + 1, 1 << (least + 1), b""
+    clear, stop, width = 1 << least, (1 << least) + 1, code_widths(least)
+    padded = np.frombuffer(data + bytes(4), np.uint8)
+    at, since = 0, 0
+    seen = seen_at = seen_size = None  # pixels, places and sizes of the codes that filled the table
+    while most > 0:
+        if since == 0:
+            first = int.from_bytes(data[at >> 3 : (at >> 3) + 3], "little") >> (at & 7) & (2 * clear - 1)
+            if first == clear and at + least < 8 * len(data):
+                at += least + 1
                 continue
-            if code == stop:
-                return b"".join(out)[:most]
-            if code < len(table):
-                run = table[code]
-            elif code == len(table) and before:
-                run = before + before[:1]
-            else:
-                raise GifError("bad code")
-            out.append(run)
-            size += len(run)
-            if before and len(table) < 4096:
-                table.append(before + run[:1])
-                if len(table) == limit and width < 12:
-                    width += 1
-                    limit <<= 1
-            before = run
-            if size >= most:
-                return b"".join(out)[:most]
-    return b"".join(out)[:most]
+        bits = width[: (8 * len(data) - at) // (least + 1)] if since == 0 else np.full(LATER, 12)
+        end = at + np.cumsum(bits)
+        n = int(np.searchsorted(end, 8 * len(data), "right"))
+        if n == 0:
+            return
+        start = end[:n] - bits[:n]
+        byte = start >> 3
+        code = padded[byte].astype(np.int64) | padded[byte + 1].astype(np.int64) << 8 | padded[byte + 2].astype(np.int64) << 16
+        code = code >> (start & 7) & ((1 << bits[:n]) - 1)
+        special = np.flatnonzero((code == clear) | (code == stop))
+        upto = int(special[0]) if len(special) else n
+        c = code[:upto]
+        literal = c < clear
+        entry = np.where(literal, 0, c - stop - 1)
+        bad = False
+        if since == 0:
+            wrong = np.flatnonzero(~literal & (entry >= np.arange(upto)))
+            if bad := len(wrong) > 0:
+                c, literal, entry = (x[: wrong[0]] for x in (c, literal, entry))
+            # An entry is one pixel longer than its code, which may be an entry itself.
+            size, step = np.append(np.ones(len(c), np.int64), 0), np.append(np.where(literal, len(c), entry), len(c))
+            while (step[:-1] < len(c)).any():
+                size += size[step]
+                step = step[step]
+            size = size[:-1]
+        else:
+            size = np.where(literal, 1, seen_size[entry] + 1)
+        ends = np.cumsum(size)
+        place = ends - size
+        total = int(ends[-1]) if len(c) else 0
+        origin = place if since == 0 else seen_at
+        shift = np.where(literal, 0, origin[entry] - place) if len(c) else size
+        source = np.repeat(shift, size) + np.arange(total)
+        if since == 0:
+            pixels = np.zeros(total, np.uint8)
+            pixels[place[literal]] = c[literal]
+            while len(source):
+                further = source[source]
+                if (further == source).all():
+                    break
+                source = further
+            pixels = pixels[source]
+            seen, seen_at, seen_size = pixels, place, size
+        else:
+            pixels = seen[np.minimum(source, len(seen) - 1)]
+            pixels[place[literal]] = c[literal]
+        yield pixels[:most].tobytes()
+        most -= total
+        if most <= 0:
+            return
+        if bad:
+            raise GifError("bad code")
+        if upto < n:
+            if code[upto] == stop:
+                return
+            since, at = 0, int(end[upto])
+        else:
+            since, at = since + n, int(end[n - 1])
+
+
+def lzw_decode(data: bytes, least: int, most: int) -> bytes:
+    return b"".join(lzw_runs(data, least, most))
 
 
 def lzw_encode(pixels: bytes, least: int) -> bytes:
     """A code stream for colour numbers below 2**least."""
     clear, stop = 1 << least, (1 << least) + 1
-    out, bits, have = bytearray(), clear, least + 1
-    width, following, table = least + 1, stop + 1, {}
-    code = -1
+    codes, width, table = [clear], [np.array([least + 1])], {}
+    code, following, begun = -1, stop + 1, 1
     for pixel in pixels:
         if code < 0:
             code = pixel
@@ -105,30 +161,22 @@ def lzw_encode(pixels: bytes, least: int) -> bytes:
         if known is not None:
             code = known
             continue
-        bits |= code << have
-        have += width
+        codes.append(code)
         table[key] = following
-        if following == 1 << width and width < 12:
-            width += 1
         following += 1
-        if following > 4095:
-            bits |= clear << have
-            have += width
-            width, following, table = least + 1, stop + 1, {}
         code = pixel
-        if have >= 64:
-            n = have // 8
-            out += (bits & ((1 << 8 * n) - 1)).to_bytes(n, "little")
-            bits >>= 8 * n
-            have -= 8 * n
+        if following > 4095:
+            codes.append(clear)
+            width.append(code_widths(least)[: len(codes) - begun])
+            table, following, begun = {}, stop + 1, len(codes)
     if code >= 0:
-        bits |= code << have
-        have += width
-        if following == 1 << width and width < 12:
-            width += 1
-    bits |= stop << have
-    have += width
-    return bytes(out + bits.to_bytes((have + 7) // 8, "little"))
+        codes.append(code)
+    codes.append(stop)
+    width.append(code_widths(least)[: len(codes) - begun])
+    bits = np.concatenate(width)
+    place = np.arange(12)
+    cells = (np.array(codes)[:, None] >> place & 1).astype(np.uint8)
+    return np.packbits(cells[place < bits[:, None]], bitorder="little").tobytes()
 
 
 def interlaced_rows(height: int) -> np.ndarray:
@@ -165,72 +213,125 @@ class Reader:
         return np.frombuffer(self.take(3 * n), np.uint8).reshape(n, 3)
 
 
-def decode(data: bytes, most_pixels: int = MOST_PIXELS) -> tuple[list[Frame], int, tuple[int, int], str | None]:
-    """(frames, loops, screen size, error): the frames up to the error, if there is one."""
-    frames: list[Frame] = []
-    loops, size = 1, (0, 0)
+    def skip_blocks(self) -> None:
+        while n := self.byte():
+            self.take(n)
+
+
+def outline(data: bytes) -> tuple[int | None, int | None, int]:
+    """(width, height, loops) from the file's blocks, as far as they can be read; no image is decoded."""
+    width = height = None
+    loops = 1
     try:
         r = Reader(data)
         if r.take(6) not in (b"GIF87a", b"GIF89a"):
             raise GifError("not a GIF")
         width, height, flags = r.short(), r.short(), r.byte()
-        size = (width, height)
         r.take(2)
-        if width * height > most_pixels:
-            raise GifError("too large")
-        shared = r.palette(flags)
-        screen = np.zeros((height, width, 4), np.uint8)
-        control, clock = (0, 0, None), 0
-        while True:
-            kind = r.byte()
-            if kind == 0x3B:
-                break
-            if kind == 0x21:
-                label, body = r.byte(), r.blocks()
-                if label == 0xF9 and len(body) >= 4:
-                    control = ((body[0] >> 2) & 7, 10 * int.from_bytes(body[1:3], "little"), body[3] if body[0] & 1 else None)
-                elif label == 0xFF and body[:11] == b"NETSCAPE2.0" and len(body) >= 14:
+        r.palette(flags)
+        while (kind := r.byte()) in (0x21, 0x2C):
+            if kind == 0x2C:
+                r.take(8)
+                r.palette(r.byte())
+                r.byte()
+                r.skip_blocks()
+            elif r.byte() == 0xFF:
+                body = r.blocks()
+                if body[:11] == b"NETSCAPE2.0" and len(body) >= 14:
                     loops = int.from_bytes(body[12:14], "little")
-                continue
-            if kind != 0x2C:
-                raise GifError("unknown block")
-            left, top, w, h, flags = r.short(), r.short(), r.short(), r.short(), r.byte()
-            palette = r.palette(flags)
-            palette = shared if palette is None else palette
-            if palette is None:
-                raise GifError("no palette")
-            if w * h > most_pixels:
-                raise GifError("too large")
-            least = r.byte()
-            pixels = np.frombuffer(lzw_decode(r.blocks(), least, w * h), np.uint8)
-            disposal, delay, clear = control
-            control = (0, 0, None)
-            held = screen.copy() if disposal == 3 else None
-            image = np.full(w * h, -1, np.int16)
-            image[: len(pixels)] = pixels
-            image = image.reshape(h, w)
-            if flags & 0x40:
-                straight = np.empty_like(image)
-                straight[interlaced_rows(h)] = image
-                image = straight
-            image = image[: max(0, height - top), : max(0, width - left)]
-            drawn = image >= 0
-            if clear is not None:
-                drawn &= image != clear
-            if (image[drawn] >= len(palette)).any():
-                raise GifError("colour outside the palette")
-            area = screen[top : top + image.shape[0], left : left + image.shape[1]]
-            area[drawn, :3] = palette[image[drawn]]
-            area[drawn, 3] = 255
-            frames.append(Frame(clock, delay, left, top, w, h, disposal, bool(flags & 0x40), screen.copy()))
-            clock += delay
-            if disposal == 2:
-                area[:] = 0
-            elif held is not None:
-                screen = held
-        return frames, loops, size, None if frames else "no image"
+            else:
+                r.skip_blocks()
+    except GifError:
+        pass
+    return width, height, loops
+
+
+def band_of_image(codes: bytes, least: int, w: int, h: int, interlaced: bool, first: int, last: int, most: int, clear: int | None) -> np.ndarray:
+    """Colour numbers of the image's rows `first` up to `last`, -1 where the stream has none.
+
+    A number from `most` on that isn't `clear` is an error, whichever row has it.
+    """
+    out = np.full((max(0, last - first), w), -1, np.int16)
+    order = interlaced_rows(h) if interlaced else np.arange(h)
+    row, rest = 0, b""
+    for run in lzw_runs(codes, least, w * h):
+        rest = rest + run if rest else run
+        n = len(rest) // w if w else 0
+        whole = np.frombuffer(rest, np.uint8, n * w).reshape(n, w)
+        at = order[row : row + n]
+        inside = (at >= first) & (at < last)
+        out[at[inside] - first] = whole[inside]
+        if len(whole) and whole.max() >= most and (whole[whole >= most] != clear).any():
+            raise GifError("colour outside the palette")
+        row, rest = row + n, rest[n * w :]
+    if rest and row < h and first <= order[row] < last:
+        out[order[row] - first, : len(rest)] = np.frombuffer(rest, np.uint8)
+    if any(c >= most and c != clear for c in rest):
+        raise GifError("colour outside the palette")
+    return out
+
+
+def replay(data: bytes, top: int = 0, bottom: int = 1 << 16) -> Iterator[Frame]:
+    """The frames, rows `top` up to `bottom` of the screen, each as soon as it's drawn; raises at the error if there is one."""
+    r = Reader(data)
+    if r.take(6) not in (b"GIF87a", b"GIF89a"):
+        raise GifError("not a GIF")
+    width, height, flags = r.short(), r.short(), r.byte()
+    r.take(2)
+    bottom = min(bottom, height)
+    shared = r.palette(flags)
+    screen = np.zeros((max(0, bottom - top), width, 4), np.uint8)
+    control, clock, found = (0, 0, None), 0, False
+    while True:
+        kind = r.byte()
+        if kind == 0x3B:
+            break
+        if kind == 0x21:
+            label, body = r.byte(), r.blocks()
+            if label == 0xF9 and len(body) >= 4:
+                control = ((body[0] >> 2) & 7, 10 * int.from_bytes(body[1:3], "little"), body[3] if body[0] & 1 else None)
+            continue
+        if kind != 0x2C:
+            raise GifError("unknown block")
+        left, above, w, h, flags = r.short(), r.short(), r.short(), r.short(), r.byte()
+        palette = r.palette(flags)
+        palette = shared if palette is None else palette
+        if palette is None:
+            raise GifError("no palette")
+        least = r.byte()
+        disposal, delay, clear = control
+        control = (0, 0, None)
+        first, last = min(h, max(0, top - above)), min(h, max(0, bottom - above))
+        image = band_of_image(r.blocks(), least, w, h, bool(flags & 0x40), first, last, len(palette), clear)[:, : max(0, width - left)]
+        held = screen.copy() if disposal == 3 else None
+        drawn = image >= 0
+        if clear is not None:
+            drawn &= image != clear
+        colour = image[drawn]
+        area = screen[above + first - top :][: image.shape[0], left : left + image.shape[1]] if image.shape[0] else screen[:0, left : left + image.shape[1]]
+        area[drawn, :3] = palette[colour]
+        area[drawn, 3] = 255
+        found = True
+        yield Frame(clock, delay, left, above, w, h, disposal, bool(flags & 0x40), screen)
+        clock += delay
+        if disposal == 2:
+            area[:] = 0
+        elif held is not None:
+            screen = held
+    if not found:
+        raise GifError("no image")
+
+
+def decode(data: bytes) -> tuple[list[Frame], int, tuple[int, int], str | None]:
+    """(frames, loops, screen size, error): all frames up to the error, if there is one, with whole screens."""
+    width, height, loops = outline(data)
+    out: list[Frame] = []
+    try:
+        for frame in replay(data):
+            out.append(replace(frame, screen=frame.screen.copy()))
     except GifError as e:
-        return frames, loops, size, str(e)
+        return out, loops, (width or 0, height or 0), str(e)
+    return out, loops, (width, height), None
 
 
 def histogram(screen: np.ndarray) -> np.ndarray:
@@ -238,10 +339,30 @@ def histogram(screen: np.ndarray) -> np.ndarray:
     return np.bincount(opaque[:, 0] * 16 + opaque[:, 1] * 4 + opaque[:, 2], minlength=64)
 
 
-def frames(media: DataFrame, key: str = "page_id", column: str = "gif", most_pixels: int = MOST_PIXELS) -> DataFrame:
-    """One row for each frame of each GIF of `media`, in order; a map over partitions."""
+def rows_of(owner, data: bytes | None, band_pixels: int) -> Iterator[tuple]:
+    """The rows of one file."""
+    nothing = (None,) * 10
+    if data is None:
+        yield (owner, None, None, None, None, None, *nothing[:7], *nothing[:6], "null")
+        return
+    width, height, loops = outline(data)
+    rows = max(1, band_pixels // max(1, width or 0))
+    for band, top in enumerate(range(0, max(1, height or 0), rows)):
+        try:
+            for k, f in enumerate(replay(data, top, top + rows)):
+                counts = histogram(f.screen)
+                n = f.screen.shape[0] * f.screen.shape[1]
+                where = (f.start_ms, f.delay_ms, width, height, f.left, f.top, f.width, f.height, f.disposal, f.interlaced, loops, band, top, f.screen.shape[0])
+                yield (owner, k, *where, f.screen.tobytes(), counts.tolist(), int(n - counts.sum()), None)
+        except GifError as e:
+            if band == 0:  # it's the same in each
+                yield (owner, None, None, None, width, height, *nothing[:6], loops if width is not None else None, *nothing[:6], str(e))
+
+
+def frames(media: DataFrame, key: str = "page_id", column: str = "gif", band_pixels: int = BAND_PIXELS) -> DataFrame:
+    """One row for each frame (and band) of each GIF of `media`, in order; a map over partitions."""
     schema = SCHEMA.format(key=f"`{key}`")
-    kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 8, pa.bool_(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.string()]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 8, pa.bool_(), *[pa.int32()] * 4, pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.string()]
     names = [key, *[x.split()[0] for x in SCHEMA.split(", ")[1:]]]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,17 +372,13 @@ def frames(media: DataFrame, key: str = "page_id", column: str = "gif", most_pix
 
         for batch in textvec.pieces(batches, 1):
             rows, held = [], 0
-            for owner, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found, loops, (width, height), error = decode(data, most_pixels) if data is not None else ([], None, (None, None), "null")
-                for k, f in enumerate(found):
-                    counts = histogram(f.screen)
-                    rows.append((owner, k, f.start_ms, f.delay_ms, width, height, f.left, f.top, f.width, f.height, f.disposal, f.interlaced, loops, f.screen.tobytes(), counts.tolist(), int(width * height - counts.sum()), None))
-                    held += f.screen.nbytes
-                if error:
-                    rows.append((owner, None, None, None, width, height, None, None, None, None, None, None, loops, None, None, None, error))
-                if held > 8 << 20:  # frames are larger than files: return them as they come
-                    yield packed(rows)
-                    rows, held = [], 0
+            for owner, data in zip(batch.column(0), batch.column(1), strict=True):
+                for row in rows_of(owner.as_py(), data.as_py(), band_pixels):
+                    rows.append(row)
+                    held += len(row[-4] or b"")
+                    if held > 4 << 20:  # frames are larger than files: return them as they come
+                        yield packed(rows)
+                        rows, held = [], 0
             yield packed(rows)
 
     return textvec.arrow_map(media.select(key, column), run, schema)
@@ -312,30 +429,27 @@ def encode(width: int, height: int, palette: bytes, images: Iterable[Image], loo
     return bytes(out + b"\x3b")
 
 
-#: 16 colours: the corners of the cube and a scale between them.
-PALETTE = bytes(c for k in range(16) for c in (85 * (k & 3), 85 * (k >> 2 & 3), 17 * k))
+#: A colour for each byte value, and the same in another order.
+PALETTE = bytes(c for k in range(256) for c in (k & 0xE0, k << 3 & 0xE0, k << 6 & 0xC0))
+WIDTH, FRAMES = 32, 4
 
 
-def page_animation(page_id: int, html: bytes, width: int = 24, height: int = 16, n_frames: int = 4) -> bytes:
-    """A stand-in for a page's media, made of all bytes of its markup.
+def page_animation(page_id: int, html: bytes) -> bytes:
+    """A stand-in for a page's media, in which every four bytes of its markup make a pixel, their sum being its colour number.
 
-    Each frame shows its share of the markup, whose bytes are summed into the frame's cells, so
-    that there is an animation for each page with sub-images, local palettes, interlacing,
-    transparency and each disposal.
+    Each frame shows its quarter of the markup, so that images and code streams grow with it, in
+    sub-images, local palettes, interlacing, transparency (colour 0, which fills the last row) and
+    each disposal.
     """
-    data = np.frombuffer(html, np.uint8)
-    images = []
-    for k in range(n_frames):
-        part = data[len(data) * k // n_frames : len(data) * (k + 1) // n_frames]
-        left, top = (0, 0) if k == 0 else ((page_id + 3 * k) % (width // 2), (page_id + 5 * k) % (height // 2))
-        w, h = width - left, height - top
-        edge = len(part) * np.arange(w * h) // (w * h)
-        sums = np.concatenate([[0], np.cumsum(part, dtype=np.int64)])
-        cell = sums[np.append(edge[1:], len(part))] - sums[edge]
-        images.append(
-            Image((cell & 15).reshape(h, w), left, top, 40 + 10 * (page_id % 7) + 10 * k, (1, 2, 3, 0)[k % 4], 3 if k else None, (page_id + k) % 3 == 0, PALETTE[::-1] if k == 2 else None)
-        )
-    return encode(width, height, PALETTE, images)
+    data, images = np.frombuffer(html + bytes(-len(html) % 4), np.uint8).reshape(-1, 4).sum(1, dtype=np.uint8), []
+    for k in range(FRAMES):
+        part = data[len(data) * k // FRAMES : len(data) * (k + 1) // FRAMES]
+        left, top = (0, 0) if k == 0 else ((page_id + 3 * k) % (WIDTH // 2), (page_id + 5 * k) % 8)
+        w = WIDTH - left
+        pixels = np.zeros((max(1, -(-len(part) // w)), w), np.uint8)
+        pixels.ravel()[: len(part)] = part
+        images.append(Image(pixels, left, top, 40 + 10 * (page_id % 7) + 10 * k, (1, 2, 3, 0)[k], 0 if k else None, (page_id + k) % 3 == 0, PALETTE[::-1] if k == 2 else None))
+    return encode(WIDTH, max(x.top + len(x.pixels) for x in images), PALETTE, images)
 
 
 def page_media(pages: DataFrame) -> DataFrame:
