@@ -1,3 +1,5 @@
+import textwrap
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -12,10 +14,10 @@ def model():
     return licenses.fit([prose(k, 30) for k in range(60)])
 
 
-def test_held_out_families(spark, model):
+def test_notices_among_prose(spark, model):
     rng = np.random.default_rng(8)
     some, want = [], {}
-    for family, templates in licenses.TEMPLATES.items():
+    for family, templates in licenses.NOTICES.items():
         for t in templates:
             k = len(some) + 1
             before = [prose(int(rng.integers(10_000)), 12)]
@@ -29,8 +31,100 @@ def test_held_out_families(spark, model):
     assert all(text[r.doc_id][r.start : r.end] == text[r.doc_id].split("\n")[1] for r in got)
 
 
+#: Texts that aren't in the training set: other wording, wrapping and decoration.
+UNSEEN = [
+    ("mit", "The code in this directory is released under the terms of the MIT license, like all the rest."),
+    ("apache", "This module is made available under the Apache License, version 2.0."),
+    ("gpl", "You may use this work under the GNU General Public License, either version 3 or any later one."),
+    ("mpl", "All source files here are subject to the Mozilla Public License, version 2.0."),
+    ("lgpl", "The library may be used under the terms of the GNU Lesser General Public License."),
+    ("cc-by-sa", "Photographs are available under the Creative Commons Attribution-ShareAlike License 4.0."),
+    ("bsd", "It is released under the BSD 3-Clause License by its contributors."),
+]
+OUTSIDE = [
+    "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License v2.0 which accompanies this distribution.", "Licensed under the Eclipse Public License 2.0.",
+    "Licensed under the Academic Free License version 3.0", "Released under the PHP License 3.01.", "Licensed under the Open Software License 3.0", "His licence to sell beer was granted by the county.",
+]
+
+
+def test_unseen_wording_and_licences_outside(spark, model):
+    some = [(k, "\n".join([prose(k, 9) + ".", t, prose(k + 50, 8)]), *[None] * 6) for k, (_, t) in enumerate(UNSEEN)] + [(100 + k, t, *[None] * 6) for k, t in enumerate(OUTSIDE)]
+    got = licenses.find(docs(spark, some), model).collect()
+    assert not [r for r in got if r.doc_id >= 100 and r.confirmed]
+    assert sum(r.doc_id < 100 and r.family == UNSEEN[r.doc_id][0] for r in got) >= len(UNSEEN) - 1
+
+
+@pytest.mark.parametrize("width, mark", [(60, ""), (78, "# "), (95, " * ")])
+def test_wrapped_bodies(spark, model, width, mark):
+    """Each paragraph of each text, wrapped: one row that covers it."""
+    some, want = [], {}
+    for family, texts in licenses.TEXTS.items():
+        wrapped = ["\n".join(textwrap.wrap(t, width, initial_indent=mark, subsequent_indent=mark, break_on_hyphens=False)) for t in texts]
+        k = len(some)
+        text = prose(k, 40) + ".\n\n" + f"\n{mark.rstrip()}\n".join(wrapped) + "\n\n" + prose(k + 9, 30)
+        some.append((k, text, *[None] * 6))
+        want |= {(k, text.index(w)): (family, text.index(w) + len(w)) for w in wrapped}
+    got = {(r.doc_id, r.start): (r.family, r.end) for r in licenses.find(docs(spark, some), model).collect() if r.confirmed}
+    assert sum(got.get(k) == v for k, v in want.items()) >= 0.85 * len(want)  # a line that happens to end in a full stop ends a paragraph
+
+
+def slow_find(text, model):
+    """(paragraph, start, end, family) line by line, with n-grams of words in dictionaries."""
+    number = {h: i for i, h in enumerate(model.grams.tolist())}
+
+    def judge(paragraph):
+        hashes, _ = licenses._grams_of([paragraph])
+        known = {number[h] for h in hashes.tolist() if h in number}
+        logit = (model.bias + sum((model.weights[i] for i in known), np.zeros(len(model.bias)))) / model.temperature
+        p = np.exp(logit - logit.max())
+        p /= p.sum()
+        k = int(p.argmax())
+        return model.families[k] if known and k != model.unknown and p[k] >= model.least_probability else None
+
+    lines = (text or "").split("\n")
+    full = [any(c.isalnum() for c in x) for x in lines]
+    groups, out = [], []
+    for k, line in enumerate(lines):
+        if k and full[k] and full[k - 1] and lines[k - 1].rstrip()[-1] not in ".!?:;":
+            groups[-1].append(k)
+        else:
+            groups.append([k])
+    for group in groups:
+        joined = lambda ks: "\n".join(lines[k] for k in ks)
+        if len(group) > 1 and (family := judge(joined(group))):
+            at, most = licenses.compare(joined(group), family)
+            while len(group) > 1 and licenses.compare(joined(group[1:]), family, at)[1] >= most:
+                group = group[1:]
+            while len(group) > 1 and licenses.compare(joined(group[:-1]), family, at)[1] >= most:
+                group = group[:-1]
+            out.append((group[0], group[-1], family))
+        else:
+            out += [(k, k, family) for k in group if (family := judge(lines[k]))]
+    merged = []
+    for a, b, family in out:
+        if merged and merged[-1][1] + 1 == a and merged[-1][2] == family:
+            merged[-1] = (merged[-1][0], b, family)
+        else:
+            merged.append((a, b, family))
+    start = [sum(len(x) + 1 for x in lines[:k]) for k in range(len(lines))]
+    return [(a, start[a], start[b] + len(lines[b]), family) for a, b, family in merged]
+
+
+def test_find_equals_slow_version(spark, model):
+    bodies = ["\n".join(textwrap.wrap(" ".join(ts), 70)) for ts in licenses.TEXTS.values()]
+    some = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").where("text ilike '%licen%' or text ilike '%rights%' or doc_id < 40").collect()]
+    some += [*bodies, *OUTSIDE, "é Licensed under CC BY 4.0.\n\u3000\nAll rights reserved", "", None, "\n\n", *("\n".join([prose(k, 5), t, "", t.upper(), t]) for k, (_, t) in enumerate(UNSEEN))]
+    got = {}
+    for r in licenses.find(docs(spark, [(k, t, *[None] * 6) for k, t in enumerate(some)]), model).collect():
+        got.setdefault(r.doc_id, []).append((r.paragraph, r.start, r.end, r.family))
+        assert (r.template, r.similarity) == licenses.compare(some[r.doc_id][r.start : r.end], r.family)
+    assert len(got) > 25
+    for k, text in enumerate(some):
+        assert sorted(got.get(k, [])) == slow_find(text, model), text
+
+
 def test_other_uses_of_the_words(spark, model):
-    some = [(k, t, *[None] * 6) for k, t in enumerate([*licenses.OTHER, "We drove to the general store.", "Her license expired in May.", prose(4, 50)])]
+    some = [(k, t, *[None] * 6) for k, t in enumerate([*licenses.OTHER, *licenses.FOREIGN, "We drove to the general store.", "Her license expired in May.", prose(4, 50)])]
     assert [r for r in licenses.find(docs(spark, some), model).collect() if r.confirmed] == []
 
 
