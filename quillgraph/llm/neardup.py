@@ -14,8 +14,9 @@ coordinates are near duplicates.  Collisions are counted only where they can mat
   search from each document goes on only among the documents that no group has taken yet.  Every
   pair that it counts is counted over all coordinates, and kept from `matches` collisions on.
 
-This finds exactly the connected components of the pairs with at least `matches` collisions; the
-pairs returned span them.  Lists may have any length, and no document any limit of partners.
+This finds exactly the connected components of the pairs with at least `matches` collisions, where
+two posts of one coordinate collide if 32 bits of their values do; the pairs of :func:`near_pairs`
+span them.  Lists may have any length, and no document any limit of partners.
 
 A shingle is `shingle` successive words, letters and digits of the lower-cased text, where each
 character of a script that is written without spaces is a word; a document of fewer words is one
@@ -257,20 +258,38 @@ def components(pairs: DataFrame) -> DataFrame:
         state = now
 
 
-def assignments(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, group_id) of the documents that have a near duplicate; group_id is the smallest doc_id."""
+def searched(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, s1, s2, sig), (s1, s2, first, id) of each signature, and pairs (a, b, matches) of its ids."""
     sigs = written(signatures(docs, settings), "neardup-signatures")
     same = sigs.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"))
     # An entry is a signature, not a doc_id, of which rows with different texts have several.
     same = written(same.withColumn("id", F.monotonically_increasing_id()), "neardup-same")
-    key = ["s1", "s2"]
     # One row of each signature: that of the smallest doc_id, or of one of its repeated rows.
-    entries = sigs.join(same, key).where("doc_id = first").select("id", "sig").dropDuplicates(["id"])
-    pairs = matching_pairs(written(entries, "neardup-entries"), settings).select("a", "b")
+    entries = sigs.join(same, ["s1", "s2"]).where("doc_id = first").select("id", "sig").dropDuplicates(["id"])
+    return sigs, same, matching_pairs(written(entries, "neardup-entries"), settings)
+
+
+def near_pairs(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(doc_a, doc_b, matches) with doc_a < doc_b: near duplicates that span the groups.
+
+    A copy of equal signature is paired with the smallest doc_id of that signature.
+    """
+    sigs, same, pairs = searched(docs, settings)
+    names = same.select("id", "first")
+    near = pairs.join(names.select(F.col("id").alias("a"), F.col("first").alias("x")), "a").join(names.select(F.col("id").alias("b"), F.col("first").alias("y")), "b").select("x", "y", "matches")
+    copies = sigs.join(same, ["s1", "s2"]).where("doc_id > first").select(F.col("first").alias("x"), F.col("doc_id").alias("y"), F.lit(settings.coordinates).alias("matches"))
+    both = near.where("x <> y").union(copies)
+    return both.groupBy(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).agg(F.max("matches").alias("matches"))
+
+
+def assignments(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(doc_id, group_id) of the documents that have a near duplicate; group_id is the smallest doc_id."""
+    sigs, same, pairs = searched(docs, settings)
+    key = ["s1", "s2"]
     member = written(sigs.select("doc_id", *key).join(same.select("id", *key), key).select("doc_id", "id").distinct(), "neardup-member")
     # The entries of one doc_id are one document.
     several = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("most")).where("a < most").select("doc_id", "a")
-    roots = components(pairs.union(member.join(several, "doc_id").select("a", F.col("id").alias("b"))))
+    roots = components(pairs.select("a", "b").union(member.join(several, "doc_id").select("a", F.col("id").alias("b"))))
     rooted = member.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root")).distinct()
     groups = rooted.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")).where("n > 1")
     return rooted.join(groups, "root").select("doc_id", "group_id")

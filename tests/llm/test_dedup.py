@@ -58,6 +58,17 @@ def test_neardup_equals_all_pairs(spark):
         assert all(r.group_id == r.doc_ids[0] and r.n_docs == len(r.doc_ids) for r in got)
 
 
+def test_near_pairs_span_the_groups(spark):
+    some = corpus() + [(300 + k, prose(203, 90), *[None] * 6) for k in range(3)]
+    at, sig = neardup.signatures_of(pa.array([r[1] for r in some]), neardup.Settings())
+    of = {r[0]: s for r, s in zip(some, sig)}
+    pairs = neardup.near_pairs(docs(spark, some)).collect()
+    assert all(r.doc_a < r.doc_b and r.matches == (of[r.doc_a] == of[r.doc_b]).sum() >= 34 for r in pairs)
+    groups = neardup.near_duplicates(docs(spark, some)).collect()
+    assert _groups((r.doc_a, r.doc_b) for r in pairs) == sorted(r.doc_ids for r in groups)
+    assert len({(r.doc_a, r.doc_b) for r in pairs}) == len(pairs) and neardup.near_pairs(empty(spark)).count() == 0
+
+
 def test_each_text_of_a_doc_id_is_compared(spark):
     one, two, three = prose(701, 90), prose(702, 90), prose(703, 90)
     texts = [(1, one), (1, two), (1, three), (5, edited(one, 1, 1)), (6, edited(two, 1, 2)), (7, edited(three, 1, 3)), (8, three), (9, prose(704, 90)), (10, prose(704, 90)), (11, prose(705, 90))]

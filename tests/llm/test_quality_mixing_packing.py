@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import itertools
 import random
@@ -32,6 +33,37 @@ def test_quality_verdicts(spark):
     assert got[3].max_chunk_ratio == max(len(p) / len(zstandard.ZstdCompressor(level=3).compress(p)) for p in parts)
 
 
+def test_verdicts_by_brute_force(spark):
+    """The whole query against each text by itself: bands, chunks and reasons written out."""
+    some = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    rng = random.Random(8)
+    some += [None, "", " \n", "ab" * 3000, "x" * 499, "x" * 199, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(3000)), base64.b64encode(rng.randbytes(9000)).decode()]
+    some += [some[0][:900] + "ha " * k + some[1] for k in (0, 200, 2000, 9000)]
+    bands, squeeze = quality.Bands(), zstandard.ZstdCompressor(level=3)
+
+    def judge(raw):
+        ratio, verdict = len(raw) / len(squeeze.compress(raw)), "ok"
+        for least, low, high in bands.limits:
+            if len(raw) >= least:
+                verdict = "incompressible" if ratio < low else "repetitive" if ratio > high else "ok"
+        return ratio, verdict
+
+    got = {r.doc_id: r for r in quality.compression_quality(docs(spark, [(k, t, *[None] * 6) for k, t in enumerate(some)])).collect()}
+    for k, text in enumerate(some):
+        r, raw = got[k], (text or "").encode()
+        assert r.n_bytes == len(raw)
+        if not (text or "").strip(" \t\n\r\v\f"):
+            assert (r.reason, r.keep, r.ratio, r.n_chunks) == ("empty", False, None, 0)
+            continue
+        ratio, verdict = judge(raw)
+        parts = [judge(raw[i : i + 4096]) for i in range(0, len(raw), 4096)]
+        bad = sum(v != "ok" for _, v in parts) / len(parts)
+        reason = verdict if verdict != "ok" else "bad_chunks" if bad > bands.bad_share else "ok"
+        assert (r.reason, r.keep, r.n_chunks) == (reason, reason == "ok", len(parts)) and r.ratio == ratio and r.bad_chunk_share == pytest.approx(bad)
+        assert (r.min_chunk_ratio, r.max_chunk_ratio) == (min(x for x, _ in parts), max(x for x, _ in parts))
+    assert {r.reason for r in got.values()} == {"ok", "empty", "incompressible", "repetitive", "bad_chunks"}
+
+
 def test_quality_cases(spark):
     got = quality.compression_quality(docs(spark)).collect()
     assert len(got) == len(rows())
