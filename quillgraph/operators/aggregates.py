@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import scalar as fn
 
 CHANNELS = {"calendar.event": "meeting", "bee.conversation": "spoken", "email": "email", "sms": "message", "slack": "slack"}
-SINGLE_VALUED = ("has_role", "located_in", "reports_to", "status", "works_at")
+#: Predicates of which a subject has one object at a time.
+SINGLE_VALUED = ("assigned_to", "has_role", "located_in", "pursued_via", "works_at")
 
 
 def channel(source: Column) -> Column:
@@ -118,18 +119,18 @@ def live_contradictions(fact: DataFrame) -> DataFrame:
 
 
 def unique_names(nodes: DataFrame, alias: DataFrame, least: int = 3) -> DataFrame:
-    """(name, node_id) of names that mean one node only."""
-    both = nodes.select("node_id", fn.canonicalize(F.col("name")).alias("name")).union(alias.select("node_id", F.col("alias").alias("name"))).distinct()
+    """(name, node_id) of names that mean one node only; titles of events and documents aren't names."""
+    both = nodes.where(~F.col("node_type").isin(*fn.ANCHOR_LAST)).select("node_id", fn.canonicalize(F.col("name")).alias("name")).union(alias.select("node_id", F.col("alias").alias("name"))).distinct()
     one = both.where(F.char_length("name") >= least).groupBy("name").agg(F.min("node_id").alias("node_id"), F.countDistinct("node_id").alias("n"))
     return one.where("n = 1").select("name", "node_id")
 
 
 def staleness_clock(fact: DataFrame, observation: DataFrame, episode: DataFrame) -> DataFrame:
-    """The newest evidence of each fact: of its supporting observations, the episode's time or else the observation's."""
+    """The newest evidence of each fact: of its supporting observations, the episode's time or else the observation's; without any, when it began to hold or was ingested."""
     seen = observation.where(F.col("kind").isin("asserted", "corroborated", "verified")).select("fact_id", "episode_id", "observed_at")
     dated = seen.join(episode.select("episode_id", "occurred_at"), "episode_id", "left")
     newest = dated.groupBy("fact_id").agg(F.max(F.coalesce("occurred_at", "observed_at")).alias("evidence_at"))
-    return fact.join(newest, "fact_id", "left").withColumn("seen_at", F.greatest("evidence_at", "valid_from", "ingested_at"))
+    return fact.join(newest, "fact_id", "left").withColumn("seen_at", F.coalesce("evidence_at", "valid_from", "ingested_at"))
 
 
 def stale_facts(fact: DataFrame, observation: DataFrame, episode: DataFrame, half_lives: DataFrame, as_of: Column) -> DataFrame:

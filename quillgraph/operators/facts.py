@@ -134,35 +134,26 @@ def duplicate_facts(fact: DataFrame, vectors: DataFrame | None = None, threshold
     return a.join(b, on).select(F.col("a.fact_id").alias("keep"), F.col("b.fact_id").alias("drop"))
 
 
-def ladder(history: DataFrame, sampled: float = 0.65, trusted: float = 0.85) -> DataFrame:
-    """(proposer, predicate, rung) after all verdicts of (proposer, predicate, seq, accepted).
+def ladder(history: DataFrame, demotion: DataFrame | None = None, sampled: float = 0.65, trusted: float = 0.85) -> DataFrame:
+    """(proposer, predicate, rung) after a class's verdicts (proposer, predicate, seq, accepted) by reviewers.
 
-    Each verdict moves a class by one rung at most: up when the Wilson bound of what it has seen
-    reaches the next rung's floor; a rejection takes it back to staged and its count anew.  The
-    fold is sequential within a class only.
+    An acceptance moves a class one rung up where the Wilson bound of all its verdicts so far reaches
+    the next rung's floor; a rejection counts in that bound and moves nothing.  Only a `demotion`
+    (proposer, predicate, seq) takes a class back to staged; its verdicts stay counted.
     """
-
-    def fold(pdf):
-        import math
-
-        import pandas as pd
-
-        rung, a, n = 0, 0, 0
-        for ok in pdf.sort_values("seq")["accepted"]:
-            if not ok:
-                rung, a, n = 0, 0, 0
-                continue
-            a, n = a + 1, n + 1
-            p, zz = a / n, 1.96 * 1.96
-            low = (p + zz / (2 * n) - 1.96 * math.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
-            if rung == 0 and low >= sampled:
-                rung = 1
-            elif rung == 1 and low >= trusted:
-                rung = 2
-        first = pdf.iloc[0]
-        return pd.DataFrame({"proposer": [first["proposer"]], "predicate": [first["predicate"]], "rung": [("staged", "sampled", "trusted")[rung]]})
-
-    return history.groupBy("proposer", "predicate").applyInPandas(fold, "proposer string, predicate string, rung string")
+    key = ["proposer", "predicate"]
+    w = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    low = fn.wilson_lower_bound(F.count_if("accepted").over(w).cast("double"), F.count("*").over(w).cast("double"))
+    h = history.withColumn("low", low)
+    classes = history.select(*key)
+    if demotion is not None:
+        last = demotion.groupBy(*key).agg(F.max("seq").alias("last"))
+        h = h.join(last, key, "left").where("last IS NULL OR seq > last")
+        classes = classes.union(last.select(*key))
+    first = F.min(F.when(F.col("accepted") & (F.col("low") >= sampled), F.col("seq"))).over(Window.partitionBy(*key))
+    up = h.withColumn("first", first).groupBy(*key).agg(F.max("first").alias("first"), F.max(F.col("accepted") & (F.col("low") >= trusted) & (F.col("seq") > F.col("first"))).alias("top"))
+    rung = F.when(F.col("top"), "trusted").when(F.col("first").isNotNull(), "sampled").otherwise("staged")
+    return classes.distinct().join(up, key, "left").select(*key, rung.alias("rung"))
 
 
 def verdicts(fact: DataFrame, observation: DataFrame, stale: DataFrame, contradicted: DataFrame) -> DataFrame:

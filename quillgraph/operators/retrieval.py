@@ -17,7 +17,7 @@ from .aggregates import stale_facts
 from .link import name_hits, rank_within, with_words
 
 RRF_K = 60
-STOP_WORDS = tuple("a about all am an and any are did do does for from had has have how i in is it last me met my of on the this to was what when where who with".split())
+STOP_WORDS = tuple("about and did does for from has have how last many meet month much said say tell that the this time today told was week were what when who with year yesterday".split())
 
 
 def postings(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -67,12 +67,15 @@ def fuse(lexical: DataFrame, vector: DataFrame, k: int) -> DataFrame:
 
 
 def candidates(episode: DataFrame, mention: DataFrame | None = None, entity: str | None = None, sources: list[str] | None = None, tagged: DataFrame | None = None, include_private: bool = False) -> DataFrame:
-    """Episodes that may be returned: of the entity, the sources and the tags, and not hidden."""
+    """Episodes that may be returned: of the entity, the sources and the tags, and not hidden.
+
+    No list of sources is no restriction; an empty one matches nothing.
+    """
     out = episode
     if not include_private:
         out = out.where(F.col("sensitivity").isin(*fn.SHOWN))
-    if sources:
-        out = out.where(reduce(lambda a, b: a | b, [F.col("source").startswith(s) for s in sources]))
+    if sources is not None:
+        out = out.where(reduce(lambda a, b: a | b, [F.col("source").startswith(s) for s in sources], F.lit(False)))
     if entity is not None:
         out = out.join(mention.where(F.col("node_id") == entity).select("episode_id").distinct(), "episode_id", "left_semi")
     if tagged is not None:

@@ -2,61 +2,111 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
+from .aggregates import SINGLE_VALUED
 
-EPHEMERAL = ("feels", "is_doing", "plans_today")
-PROPERTY = ("has_preference", "has_role", "located_in", "prefers")
-EVENTIVE = r"\b(went|met|called|attended|visited|bought|will meet|is meeting)\b"
-SINGLE_VALUED = ("has_role", "located_in", "reports_to", "status", "works_at")
-NEVER_AUTO = ("commitment", "owns", "reports_to", "status")
+#: That something was talked about is what its episode says already.
+EPHEMERAL = ("discussed", "discussed_with", "discusses", "discussing", "mentioned", "mentions", "said", "shared", "spoke_about", "talked_about", "talked_to")
+#: Predicates that state a property, under which a sentence about a past moment is misplaced.
+PROPERTY = ("demonstrated", "has", "has_role", "is")
+EVENTIVE = (" was ", " were ", "that day", "yesterday", "this morning", "last night", "last week")
+#: Claims about a person's standing with others are never accepted by a machine.
+NEVER_AUTO = ("colleague_of", "family_of", "friend_of", "mentors")
+#: (proposer, predicate) of relations that a verified candidate may enter without a reviewer.
+DURABLE = tuple(("llm", p) for p in ("authored", "collaborates_with", "contains", "discussed_during", "located_in", "member_of", "related_to", "uses", "works_at", "works_on"))
 LANES = ("commitment", "rejected_before", "ephemeral", "eventive", "known", "queued_twice", "unresolved", "contradiction", "accept", "review")
+#: Lanes that reject; the reason begins with this, so that it isn't taken for a reviewer's.
+REJECTING = ("rejected_before", "ephemeral", "eventive", "known", "queued_twice")
+BY_MACHINE = "precheck:"
+
+
+def eventive(predicate: Column, statement: Column) -> Column:
+    """A property predicate over a sentence about a past moment."""
+    said = F.concat(F.lit(" "), F.lower(statement), F.lit(" "))
+    return predicate.isin(*PROPERTY) & reduce(lambda a, b: a | b, [F.contains(said, F.lit(m)) for m in EVENTIVE])
+
 
+def by_reviewer(candidate: DataFrame) -> Column:
+    """Whether a decision was a person's: one without a reason is."""
+    return ~F.coalesce(F.col("reject_reason"), F.lit("")).startswith(BY_MACHINE) if "reject_reason" in candidate.columns else F.lit(True)
 
-def precheck(candidate: DataFrame, fact: DataFrame, resolved: DataFrame, rungs: DataFrame) -> DataFrame:
+
+def precheck(candidate: DataFrame, fact: DataFrame, resolved: DataFrame, rungs: DataFrame, supported: DataFrame | None = None) -> DataFrame:
     """(candidate_id, lane, fact_id) of pending candidates; fact_id is the live fact that is already known.
 
-    `candidate` has predicate (canonical), subject, object_id, statement, confidence, status and
-    kind; `resolved` is (subject, node_id) of subjects that mean one node, `rungs` is (proposer,
-    predicate, rung).  Facts are those before the pass: what it accepts doesn't change it.
-    A sampled class holds back every tenth candidate for review.
+    `candidate` has predicate (canonical), subject, object_id, statement, confidence, status, kind and
+    where it was rejected reject_reason; `resolved` is (subject, node_id) of subjects that mean one
+    node, `rungs` (proposer, predicate, rung), `supported` (candidate_id) those that a verifier found
+    supported.  Facts are those before the pass: what it accepts doesn't change it.
+
+    Only a reviewer's rejections are remembered: a twin that the pass itself rejects has the same
+    words as the one that stays.  Twins are of one node, or where that isn't known of one subject,
+    and have the same words or the same triple.  A sampled class holds back every tenth for review.
     """
     said = fn.normalize(F.col("statement"))
     c = candidate.where("status = 'proposed'").withColumns({"said": said, "subject_key": fn.canonicalize(F.col("subject"))})
     c = c.join(resolved.select(fn.canonicalize(F.col("subject")).alias("subject_key"), "node_id").dropDuplicates(["subject_key"]), "subject_key", "left")
-    refused = candidate.where("status = 'rejected'").select(said.alias("said"), F.lit(True).alias("refused")).distinct()
+    refused = candidate.where((F.col("status") == "rejected") & by_reviewer(candidate)).select(said.alias("said"), F.lit(True).alias("refused")).where("said <> ''").distinct()
     live = fact.where(fn.is_live() & (F.col("polarity") == "positive"))
     by_triple = live.groupBy(F.col("subject_id").alias("node_id"), "predicate", "object_id").agg(F.min("fact_id").alias("same_triple"))
-    by_words = live.groupBy(F.col("subject_id").alias("node_id"), said.alias("said")).agg(F.min("fact_id").alias("same_words"))
+    by_words = live.groupBy(F.col("subject_id").alias("node_id"), said.alias("said")).agg(F.min("fact_id").alias("same_words")).where("said <> ''")
     other = live.where(F.col("predicate").isin(*SINGLE_VALUED)).groupBy(F.col("subject_id").alias("node_id"), "predicate").agg(F.collect_set("object_id").alias("objects"))
     c = c.join(refused, "said", "left").join(by_triple, ["node_id", "predicate", "object_id"], "left").join(by_words, ["node_id", "said"], "left").join(other, ["node_id", "predicate"], "left")
     c = c.join(rungs.select("proposer", "predicate", "rung"), ["proposer", "predicate"], "left")
-    place = F.row_number().over(Window.partitionBy("subject_key", "said").orderBy(F.desc("confidence"), F.desc("candidate_id")))
+    c = c.join(supported.select("candidate_id").distinct().withColumn("vetted", F.lit(True)), "candidate_id", "left") if supported is not None else c.withColumn("vetted", F.lit(None).cast("boolean"))
     fact_id = F.coalesce("same_triple", "same_words")
-    known_other = F.col("objects").isNotNull() & F.col("object_id").isNotNull() & ~F.coalesce(F.array_contains("objects", F.col("object_id")), F.lit(False))
-    free = ~F.col("predicate").isin(*NEVER_AUTO) & ((F.col("rung") == "trusted") | ((F.col("rung") == "sampled") & (F.col("candidate_id") % 10 != 0)))
-    lane = (
+    early = (
         F.when(F.col("kind") == "commitment", "commitment")
         .when(F.col("refused"), "rejected_before")
         .when(F.col("predicate").isin(*EPHEMERAL), "ephemeral")
-        .when(F.col("predicate").isin(*PROPERTY) & F.rlike(F.lower("statement"), F.lit(EVENTIVE)), "eventive")
+        .when(eventive(F.col("predicate"), F.col("statement")), "eventive")
         .when(fact_id.isNotNull(), "known")
-        .when(F.col("place") > 1, "queued_twice")
+    )
+    owner = F.coalesce("node_id", F.concat(F.lit("~"), "subject_key"))
+    c = c.withColumns({"early": early, "owner": owner})
+    order = [F.desc("confidence"), F.desc("candidate_id")]
+    same_words = F.row_number().over(Window.partitionBy(F.isnull("early"), "owner", "said").orderBy(*order))
+    same_triple = F.row_number().over(Window.partitionBy(F.isnull("early"), "owner", "predicate", "object_id").orderBy(*order))
+    twice = ((same_words > 1) & (F.col("said") != "")) | ((same_triple > 1) & F.col("object_id").isNotNull() & F.col("node_id").isNotNull())
+    known_other = (F.size("objects") > 0) & ~F.coalesce(F.forall("objects", lambda o: o == F.col("object_id")), F.lit(False))
+    durable = reduce(lambda a, b: a | b, [(F.col("proposer") == x) & (F.col("predicate") == y) for x, y in DURABLE])
+    free = (F.col("rung") == "trusted") | ((F.col("rung") == "sampled") & (F.col("candidate_id") % 10 != 0)) | (durable & F.col("vetted"))
+    lane = (
+        F.when(F.col("early").isNotNull(), F.col("early"))
+        .when(F.col("twice"), "queued_twice")
         .when(F.col("node_id").isNull(), "unresolved")
         .when(known_other, "contradiction")
-        .when(free, "accept")
+        .when(free & ~F.col("predicate").isin(*NEVER_AUTO), "accept")
         .otherwise("review")
     )
-    return c.withColumn("place", place).select("candidate_id", lane.alias("lane"), F.when(lane == "known", fact_id).alias("fact_id"))
+    return c.withColumn("twice", twice).select("candidate_id", lane.alias("lane"), F.when(lane == "known", fact_id).alias("fact_id"))
 
 
 def settle(candidate: DataFrame, lanes: DataFrame) -> DataFrame:
-    """`candidate` with the statuses that the lanes give; the others stay for review."""
-    gone = F.col("lane").isin("rejected_before", "ephemeral", "eventive", "known", "queued_twice")
+    """`candidate` with the statuses and reasons that the lanes give; the others stay for review."""
+    gone = F.col("lane").isin(*REJECTING)
     status = F.when(gone, "rejected").when(F.col("lane") == "accept", "accepted").otherwise(F.col("status"))
-    return candidate.join(lanes.select("candidate_id", "lane"), "candidate_id", "left").withColumn("status", status).drop("lane")
+    out = candidate if "reject_reason" in candidate.columns else candidate.withColumn("reject_reason", F.lit(None).cast("string"))
+    reason = F.when(gone, F.concat(F.lit(f"{BY_MACHINE} "), "lane")).otherwise(F.col("reject_reason"))
+    return out.join(lanes.select("candidate_id", "lane"), "candidate_id", "left").withColumns({"status": status, "reject_reason": reason}).drop("lane")
+
+
+def reject(candidate: DataFrame, ids: DataFrame, reason: str | None = None) -> DataFrame:
+    """`candidate` with the pending ones of `ids` (candidate_id) rejected by a reviewer."""
+    hit = F.col("_hit") & (F.col("status") == "proposed")
+    both = candidate.join(ids.select("candidate_id", F.lit(True).alias("_hit")).distinct(), "candidate_id", "left")
+    return both.withColumns({"reject_reason": F.when(hit, F.lit(reason)).otherwise(F.col("reject_reason")), "status": F.when(hit, "rejected").otherwise(F.col("status"))}).drop("_hit").select(*candidate.columns)
+
+
+def bumped(fact: DataFrame, lanes: DataFrame) -> DataFrame:
+    """`fact` with an observation more for each candidate that was known already."""
+    n = lanes.where("lane = 'known'").groupBy("fact_id").agg(F.count("*").alias("_n"))
+    return fact.join(n, "fact_id", "left").withColumn("observations", (F.col("observations") + F.coalesce("_n", F.lit(0))).cast("int")).select(*fact.columns)
 
 
 def accepted_claims(candidate: DataFrame, lanes: DataFrame, resolved: DataFrame) -> DataFrame:

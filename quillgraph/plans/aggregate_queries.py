@@ -127,20 +127,25 @@ def _(g):
     return agg.verdict_scorecard(g.labels.select(F.when(F.col("quality") == 1, "accept").otherwise("reject").alias("verdict"), outcome.alias("outcome")))
 
 
-@query("agg14_live_contradictions", "SELECT subject_id, predicate, count(DISTINCT object_id) AS n_objects FROM fact WHERE valid_to IS NULL AND invalidated_at IS NULL AND polarity = 'positive' AND predicate IN ('works_at', 'located_in', 'reports_to', 'has_role', 'status') GROUP BY ALL HAVING count(DISTINCT object_id) > 1", "fact")
+@query("agg14_live_contradictions", "SELECT subject_id, predicate, count(DISTINCT object_id) AS n_objects FROM fact WHERE valid_to IS NULL AND invalidated_at IS NULL AND polarity = 'positive' AND predicate IN ('works_at', 'located_in', 'assigned_to', 'pursued_via', 'has_role') GROUP BY ALL HAVING count(DISTINCT object_id) > 1", "fact")
 def _(g):
     return agg.live_contradictions(g.fact)
 
 
-@query("agg15_unique_names", ", both_ AS (SELECT node_id, lower(trim(name)) AS name FROM nodes UNION SELECT node_id, lower(split_part(name, ' ', 1)) FROM nodes WHERE node_type = 'topic') SELECT name, min(node_id) AS node_id FROM both_ WHERE length(name) >= 3 GROUP BY name HAVING count(DISTINCT node_id) = 1", "nodes")
+@query("agg15_unique_names", ", n AS (SELECT node_id, CASE WHEN starts_with(node_id, 's') THEN 'document' ELSE node_type END AS node_type, name FROM nodes), both_ AS (SELECT node_id, lower(trim(name)) AS name FROM n WHERE node_type NOT IN ('event', 'series', 'document', 'artifact') UNION SELECT node_id, lower(split_part(name, ' ', 1)) FROM n WHERE node_type = 'topic') SELECT name, min(node_id) AS node_id FROM both_ WHERE length(name) >= 3 GROUP BY name HAVING count(DISTINCT node_id) = 1", "nodes")
 def _(g):
     alias = g.nodes.where("node_type = 'topic'").select("node_id", F.lower(F.substring_index("name", " ", 1)).alias("alias"))
-    return agg.unique_names(g.nodes, alias)
+    nodes = g.nodes.withColumn("node_type", F.when(F.startswith("node_id", F.lit("s")), "document").otherwise(F.col("node_type")))
+    return agg.unique_names(nodes, alias)
 
 
-DECAY = {"works_at": 0.35, "reports_to": 0.69, "has_role": 0.35, "knows": 0.0, "located_in": 0.23}
+#: Rate of change a year; the others aren't verified again.
+DECAY = {
+    "attended": 0.0, "authored": 0.0, "originated_in": 0.0, "works_at": 0.23, "located_in": 0.23, "member_of": 0.35, "collaborates_with": 0.35, "uses": 0.69, "works_on": 1.39,
+    "pursued_via": 1.39, "assigned_to": 8.3, "waiting_on": 8.3, "blocked_by": 8.3,
+}
 _DECAY_SQL = "(VALUES " + ", ".join(f"('{p}', {d}::DOUBLE)" for p, d in DECAY.items()) + ") AS decay(predicate, decay)"
-_CLOCK = """, clock AS (SELECT f.*, greatest(max(coalesce(e.occurred_at, o.observed_at)), any_value(f.valid_from), any_value(f.ingested_at)) AS seen_at
+_CLOCK = """, clock AS (SELECT f.*, coalesce(max(coalesce(e.occurred_at, o.observed_at)), any_value(f.valid_from), any_value(f.ingested_at)) AS seen_at
  FROM fact f LEFT JOIN (SELECT * FROM observation WHERE kind IN ('asserted', 'corroborated', 'verified')) o ON f.fact_id = o.fact_id
  LEFT JOIN episode e ON o.episode_id = e.episode_id WHERE f.valid_to IS NULL AND f.invalidated_at IS NULL GROUP BY ALL)
 """
@@ -190,7 +195,7 @@ _LIVE = "valid_to IS NULL AND invalidated_at IS NULL"
  (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM nodes WHERE node_id NOT IN (SELECT node_id FROM connected)) AS isolated, (SELECT count(*) FROM mention) AS mentions,
  (SELECT count(DISTINCT episode_id) FROM mention) AS mentioned_episodes, (SELECT count(*) FROM fact) AS facts, (SELECT count(*) FROM fact WHERE {_LIVE}) AS live_facts,
  (SELECT count(*) FROM fact WHERE invalidated_at IS NOT NULL) AS invalidated_facts, (SELECT count(*) FROM candidate WHERE status = 'proposed') AS pending, (SELECT count(*) FROM vector) AS vectors,
- (SELECT count(*) FROM (SELECT 1 FROM fact WHERE {_LIVE} AND polarity = 'positive' AND predicate IN ('works_at', 'located_in', 'reports_to', 'has_role') GROUP BY subject_id, predicate HAVING count(DISTINCT object_id) > 1)) AS contradictions)""", "episode", "nodes", "mention", "fact", "candidate", "vector")
+ (SELECT count(*) FROM (SELECT 1 FROM fact WHERE {_LIVE} AND polarity = 'positive' AND predicate IN ('works_at', 'located_in', 'assigned_to', 'pursued_via', 'has_role') GROUP BY subject_id, predicate HAVING count(DISTINCT object_id) > 1)) AS contradictions)""", "episode", "nodes", "mention", "fact", "candidate", "vector")
 def _(g):
     return agg.health(g.episode, g.nodes, g.mention, g.fact, g.candidate, g.vector)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
 from ..operators import aggregates as agg
-from ..operators import facts, retrieval
+from ..operators import facts, retrieval, triage
 from .aggregate_queries import _CLOCK, _DECAY_SQL, AS_OF, END, START, at, half_lives, shown
 from .registry import query
 
@@ -89,7 +89,7 @@ def _(g):
 @query("ret15_flags", _CLOCK + f""", stale AS (SELECT fact_id FROM clock JOIN {_DECAY_SQL} USING (predicate) WHERE decay > 0 AND decay * ((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(seen_at)) / 86400e6 / 365.25) > ln(2)),
  p AS (SELECT o_orderkey % 30 AS query_id, concat('fo', o_orderkey) AS fact_id FROM orders WHERE o_orderkey < 600), k AS (SELECT query_id, fact_id, subject_id, predicate, object_id FROM p JOIN fact USING (fact_id)),
  s AS (SELECT * FROM fact WHERE valid_to IS NULL AND invalidated_at IS NULL AND sensitivity IN ('public', 'personal')),
- fl AS (SELECT query_id, 0 AS severity, 'contradiction' AS kind, k.subject_id, k.predicate, s.fact_id AS detail FROM k JOIN s ON k.subject_id = s.subject_id AND k.predicate = s.predicate WHERE polarity = 'positive' AND k.predicate IN ('works_at', 'located_in', 'reports_to', 'has_role', 'status') AND s.object_id <> k.object_id
+ fl AS (SELECT query_id, 0 AS severity, 'contradiction' AS kind, k.subject_id, k.predicate, s.fact_id AS detail FROM k JOIN s ON k.subject_id = s.subject_id AND k.predicate = s.predicate WHERE polarity = 'positive' AND k.predicate IN ('works_at', 'located_in', 'assigned_to', 'pursued_via', 'has_role') AND s.object_id <> k.object_id
  UNION ALL SELECT query_id, 1, 'denial', k.subject_id, k.predicate, s.fact_id FROM k JOIN s ON k.subject_id = s.subject_id AND k.predicate = s.predicate AND s.object_id = k.object_id WHERE polarity = 'negative'
  UNION ALL SELECT query_id, 2, 'staleness', subject_id, predicate, fact_id FROM k JOIN stale USING (fact_id)),
  one AS (SELECT query_id, severity, kind, subject_id, predicate, min(detail) AS detail FROM fl GROUP BY ALL)
@@ -162,7 +162,7 @@ def _(g):
 
 
 @query("ver1_verdicts", _CLOCK + f""", stale AS (SELECT fact_id FROM clock JOIN {_DECAY_SQL} USING (predicate) WHERE decay > 0 AND decay * ((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(seen_at)) / 86400e6 / 365.25) > ln(2)),
- con AS (SELECT subject_id, predicate FROM fact WHERE {_L} AND polarity = 'positive' AND predicate IN ('works_at', 'located_in', 'reports_to', 'has_role', 'status') GROUP BY ALL HAVING count(DISTINCT object_id) > 1),
+ con AS (SELECT subject_id, predicate FROM fact WHERE {_L} AND polarity = 'positive' AND predicate IN ('works_at', 'located_in', 'assigned_to', 'pursued_via', 'has_role') GROUP BY ALL HAVING count(DISTINCT object_id) > 1),
  t AS (SELECT fact_id, count(episode_id) AS rooted, count(*) FILTER (WHERE kind IN ('verified', 'corroborated')) AS backed FROM observation GROUP BY fact_id),
  den AS (SELECT DISTINCT subject_id, predicate, object_id FROM fact WHERE {_L} AND polarity = 'negative')
  SELECT f.fact_id, CASE WHEN NOT (f.{_L.replace('AND ', 'AND f.')}) THEN 'missing' WHEN f.polarity = 'positive' AND (f.subject_id, f.predicate) IN (SELECT subject_id, predicate FROM con) THEN 'contradicted'
@@ -173,6 +173,49 @@ def _(g):
     return facts.verdicts(g.fact, g.observation, stale, agg.live_contradictions(g.fact))
 
 
+_NORM = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+_TRIAGE = """, cand AS (SELECT candidate_id, CASE candidate_id % 4 WHEN 0 THEN 'llm' ELSE 'extract' END AS proposer,
+  CASE candidate_id % 9 WHEN 0 THEN 'discussed' WHEN 1 THEN 'has_role' WHEN 2 THEN 'works_at' WHEN 3 THEN 'mentors' WHEN 4 THEN 'located_in' WHEN 5 THEN 'uses' ELSE 'knows' END AS predicate,
+  concat('c', candidate_id % 40) AS subject, CASE WHEN candidate_id % 5 <> 0 THEN concat(CASE candidate_id % 9 WHEN 4 THEN 'n' ELSE 's' END, candidate_id % 10) END AS object_id,
+  CASE WHEN candidate_id % 10 = 0 THEN concat('same words ', candidate_id % 20) WHEN candidate_id % 11 = 0 THEN concat('claim 1-URGENT by ', candidate_id % 40) WHEN candidate_id % 6 = 1 THEN concat(subject, ' was there') ELSE statement END AS statement,
+  confidence, status, CASE WHEN status = 'rejected' AND candidate_id % 3 = 0 THEN 'precheck: known' END AS reject_reason, kind FROM candidate)"""
+_IN = {"e": "('discussed', 'discusses', 'discussing', 'discussed_with', 'mentioned', 'mentions', 'shared', 'said', 'talked_about', 'talked_to', 'spoke_about')", "p": "('has_role', 'is', 'has', 'demonstrated')",
+       "n": "('colleague_of', 'friend_of', 'family_of', 'mentors')", "d": "('works_at', 'works_on', 'collaborates_with', 'member_of', 'located_in', 'authored', 'uses', 'related_to', 'contains', 'discussed_during')",
+       "s": "('works_at', 'located_in', 'assigned_to', 'pursued_via', 'has_role')"}
+
+
+def _triage_candidates(g):
+    return g.spark.sql(_TRIAGE.removeprefix(", cand AS (")[:-1].replace("FROM candidate", "FROM {candidate}"), candidate=g.candidate)
+
+
+@query("pre1_lanes", _TRIAGE + f""", live AS (SELECT *, {_NORM.format("statement")} AS said FROM fact WHERE {_L} AND polarity = 'positive'),
+ c AS (SELECT *, {_NORM.format("statement")} AS said, CASE WHEN candidate_id % 40 < 30 THEN subject END AS node_id FROM cand WHERE status = 'proposed'),
+ k AS (SELECT c.*, coalesce((SELECT min(fact_id) FROM live WHERE subject_id = node_id AND live.predicate = c.predicate AND live.object_id = c.object_id), (SELECT min(fact_id) FROM live WHERE subject_id = node_id AND live.said = c.said AND c.said <> '')) AS fact_id,
+   EXISTS (SELECT 1 FROM live WHERE subject_id = node_id AND live.predicate = c.predicate AND c.predicate IN {_IN["s"]} AND live.object_id IS DISTINCT FROM c.object_id AND live.object_id IS NOT NULL) AS other FROM c),
+ e AS (SELECT *, CASE WHEN kind = 'commitment' THEN 'commitment' WHEN said <> '' AND said IN (SELECT {_NORM.format("statement")} FROM cand WHERE status = 'rejected' AND coalesce(reject_reason, '') NOT LIKE 'precheck:%') THEN 'rejected_before'
+   WHEN predicate IN {_IN["e"]} THEN 'ephemeral' WHEN predicate IN {_IN["p"]} AND regexp_matches(concat(' ', lower(statement), ' '), ' was | were |that day|yesterday|this morning|last night|last week') THEN 'eventive' WHEN fact_id IS NOT NULL THEN 'known' END AS early FROM k),
+ q AS (SELECT *, early IS NULL AND ((said <> '' AND row_number() OVER (PARTITION BY early IS NULL, subject, said ORDER BY confidence DESC, candidate_id DESC) > 1)
+   OR (object_id IS NOT NULL AND node_id IS NOT NULL AND row_number() OVER (PARTITION BY early IS NULL, subject, predicate, object_id ORDER BY confidence DESC, candidate_id DESC) > 1)) AS twice FROM e)
+ SELECT candidate_id, CASE WHEN early IS NOT NULL THEN early WHEN twice THEN 'queued_twice' WHEN node_id IS NULL THEN 'unresolved' WHEN other THEN 'contradiction'
+   WHEN predicate NOT IN {_IN["n"]} AND (predicate = 'knows' AND proposer = 'llm' OR predicate = 'mentors' OR predicate = 'knows' AND candidate_id % 10 <> 0 OR proposer = 'llm' AND predicate IN {_IN["d"]} AND candidate_id % 3 = 0) THEN 'accept' ELSE 'review' END AS lane, CASE WHEN early = 'known' THEN fact_id END AS fact_id FROM q""", "candidate", "fact")
+def _(g):
+    c = _triage_candidates(g)
+    resolved = c.where("candidate_id % 40 < 30").select("subject", F.col("subject").alias("node_id")).distinct()
+    rungs = g.spark.createDataFrame([("llm", "knows", "trusted"), ("extract", "knows", "sampled"), ("llm", "mentors", "trusted"), ("extract", "mentors", "trusted")], "proposer string, predicate string, rung string")
+    return triage.precheck(c, g.fact, resolved, rungs, c.where("candidate_id % 3 = 0").select("candidate_id"))
+
+
+@query("lad1_rungs", """, h AS (SELECT 'p' AS proposer, concat('k', o_custkey % 30) AS predicate, o_orderkey AS seq, (o_orderkey * 31) % 100 >= (o_custkey % 30) * 2 AS ok FROM orders),
+ w AS (SELECT *, count(*) FILTER (WHERE ok) OVER x AS a, count(*) OVER x AS n FROM h WINDOW x AS (PARTITION BY predicate ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+ l AS (SELECT *, (a / n::DOUBLE + 3.8416 / (2 * n) - 1.96 * sqrt(a / n::DOUBLE * (1 - a / n::DOUBLE) / n + 3.8416 / (4.0 * n * n))) / (1 + 3.8416 / n) AS low FROM w),
+ d AS (SELECT predicate, max(seq) AS last FROM h WHERE seq % 499 = 0 GROUP BY predicate), c AS (SELECT l.* FROM l LEFT JOIN d USING (predicate) WHERE last IS NULL OR seq > last),
+ f AS (SELECT predicate, min(seq) AS first FROM c WHERE ok AND low >= 0.65 GROUP BY predicate), t AS (SELECT DISTINCT c.predicate FROM c JOIN f USING (predicate) WHERE ok AND low >= 0.85 AND seq > first)
+ SELECT DISTINCT proposer, predicate, CASE WHEN predicate IN (SELECT predicate FROM t) THEN 'trusted' WHEN predicate IN (SELECT predicate FROM f) THEN 'sampled' ELSE 'staged' END AS rung FROM h""".replace(", h AS", "WITH h AS", 1))
+def _(g):
+    h = g.orders.select(F.lit("p").alias("proposer"), F.concat(F.lit("k"), F.col("o_custkey") % 30).alias("predicate"), F.col("o_orderkey").alias("seq"), ((F.col("o_orderkey") * 31) % 100 >= (F.col("o_custkey") % 30) * 2).alias("accepted"))
+    return facts.ladder(h, h.where("seq % 499 = 0").select("proposer", "predicate", "seq"))
+
+
 _CLAIMS = ", claims AS (SELECT concat('k', a.p_partkey, '-', b.p_partkey) AS fact_id, least(concat('p', a.p_partkey), concat('p', b.p_partkey)) AS a, greatest(concat('p', a.p_partkey), concat('p', b.p_partkey)) AS b, 0.3::DOUBLE AS stated FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_partkey < 300)"
 _PAIR1 = ", cnt AS (SELECT node_id, count(*) AS n FROM basket GROUP BY node_id), u AS (SELECT count(DISTINCT episode_id) AS universe FROM basket), co AS (SELECT x.node_id AS a, y.node_id AS b, count(*) AS co FROM basket x JOIN basket y ON x.episode_id = y.episode_id AND x.node_id < y.node_id GROUP BY ALL)"
 

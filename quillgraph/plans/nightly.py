@@ -26,7 +26,7 @@ def nightly(tables: dict[str, DataFrame], as_of: Column, half_lives: DataFrame)
         "person_interaction": aggregates.person_interactions(t["episode"], mention, t["nodes"], as_of),
         "npmi": link.link_npmi(mention, connected),
         "structural": link.link_structural(connected, connected),
-        "rules": link.run_rules(t["fact"], t["candidate"].select("proposer", "predicate", F.col("subject").alias("subject_id"), F.lit(None).cast("string").alias("object_id"))),
+        "rules": link.run_rules(t["fact"], resolved_candidates(t["candidate"], names)),
         "duplicates": facts.duplicate_facts(t["fact"]),
         "verdicts": facts.verdicts(t["fact"], t["observation"], aggregates.stale_facts(t["fact"], t["observation"], t["episode"], half_lives, as_of), aggregates.live_contradictions(t["fact"])),
         "digest": facts.memory_digest(t["fact"]),
@@ -34,6 +34,12 @@ def nightly(tables: dict[str, DataFrame], as_of: Column, half_lives: DataFrame)
     }
 
 
+def resolved_candidates(candidate: DataFrame, names: DataFrame) -> DataFrame:
+    """(proposer, predicate, subject_id, object_id) of all candidates: a subject is a node's identifier or its one name."""
+    c = candidate.select("proposer", "predicate", "subject", "object_id", F.lower(F.trim("subject")).alias("name"))
+    return c.join(names, "name", "left").select("proposer", "predicate", F.coalesce("node_id", "subject").alias("subject_id"), "object_id")
+
+
 def link_first_names(nodes: DataFrame) -> DataFrame:
     from ..operators.resolve import first_name_aliases
 

@@ -21,7 +21,7 @@ class Lens:
     """Restrictions that the caller puts on a question."""
 
     scope: str = "both"  # facts, evidence or both
-    sources: tuple[str, ...] = ()
+    sources: tuple[str, ...] | None = None  # an empty tuple matches nothing
     start: dt.datetime | None = None
     end: dt.datetime | None = None
 
@@ -43,12 +43,10 @@ class Question:
 def extract_time(text: str, now: dt.datetime) -> tuple[str, dt.datetime | None, dt.datetime | None]:
     """(text without the phrase, start, end) of a named period; half-open."""
     day = dt.datetime(now.year, now.month, now.day)
-    week, month = day - dt.timedelta(days=day.weekday()), day.replace(day=1)
-    before = (month - dt.timedelta(days=1)).replace(day=1)
-    one = dt.timedelta(days=1)
-    named = {
-        "today": (day, day + one), "yesterday": (day - one, day), "this week": (week, week + 7 * one), "last week": (week - 7 * one, week),
-        "this month": (month, (month + 32 * one).replace(day=1)), "last month": (before, month), "this year": (day.replace(month=1, day=1), day.replace(year=day.year + 1, month=1, day=1)),
+    week, month, one = day - dt.timedelta(days=day.weekday()), day.replace(day=1), dt.timedelta(days=1)
+    named = {  # "last" weeks and months are the days up to now, left open
+        "today": (day, day + one), "yesterday": (day - one, day), "this week": (week, week + 7 * one), "last week": (day - 7 * one, None),
+        "this month": (month, (month + 32 * one).replace(day=1)), "last month": (day - 31 * one, None), "this year": (day.replace(month=1, day=1), day.replace(year=day.year + 1, month=1, day=1)),
         "last year": (day.replace(year=day.year - 1, month=1, day=1), day.replace(month=1, day=1)),
     }
     low = text.lower()
@@ -63,11 +61,16 @@ def extract_time(text: str, now: dt.datetime) -> tuple[str, dt.datetime | None,
     if m := re.search(r"\b(?:on )?(\d{4}-\d{2}-\d{2})\b", low):
         a = dt.datetime.fromisoformat(m[1])
         return _without(text, m), a, a + one
-    if m := re.search(rf"\bin ({'|'.join(MONTHS)})(?: (\d{{4}}))?\b", low):
+    years = [y for y in re.finditer(r"(?<!\d)(\d{4})(?!\d)", low) if 2000 <= int(y[1]) <= 2100]
+    if m := re.search(rf"\b(?:in|during) ({'|'.join(MONTHS)})(?: (\d{{4}}))?\b", low):
         k = MONTHS.index(m[1]) + 1
-        year = int(m[2]) if m[2] else now.year - (k > now.month)
+        year = int(m[2]) if m[2] else int(years[0][1]) if years else now.year - (k > now.month)
         a = dt.datetime(year, k, 1)
         return _without(text, m), a, (a + 32 * one).replace(day=1)
+    if years:
+        m = re.search(rf"(?:\b(?:in|during) )?(?<!\d){years[0][1]}(?!\d)", low)
+        year = int(years[0][1])
+        return _without(text, m), dt.datetime(year, 1, 1), dt.datetime(year + 1, 1, 1)
     return text, None, None
 
 
@@ -158,7 +161,7 @@ def ask(spark: SparkSession, store: Store, text: str, now: dt.datetime, k: int =
         by = aggregates.source_counts(e, start, end)
         return q, _items(by, "aggregate", "source", F.concat_ws(": ", "source", F.col("n").cast("string")), F.col("n"), F.lit(0))
     tagged = store.tagged.where(F.col("tag").isin(*q.tags)).groupBy("episode_id").agg(F.countDistinct("tag").alias("n")).where(F.col("n") == len(q.tags)) if q.tags else None
-    allowed = retrieval.candidates(store.episode, store.mention, entity, list(lens.sources), tagged, include_private)
+    allowed = retrieval.candidates(store.episode, store.mention, entity, None if lens.sources is None else list(lens.sources), tagged, include_private)
     allowed = allowed.where(aggregates.in_range(start, end))
     qv = spark.createDataFrame([("q", query_vector)], "query_id string, qv array<double>") if query_vector is not None else None
     docs = allowed.select(F.col("episode_id").alias("id"), F.col("body").alias("text"))

@@ -14,7 +14,7 @@ FACT = (
     " ingested_at timestamp_ntz, invalidated_at timestamp_ntz, confidence double, polarity string, sensitivity string, extractor string, observations int, episode_id bigint"
 )
 OBSERVATION = "fact_id string, observation_id bigint, kind string, method string, episode_id bigint, observed_at timestamp_ntz, confidence double"
-CANDIDATE = "candidate_id bigint, proposer string, predicate string, subject string, statement string, confidence double, status string, reviewed_at bigint, kind string, payload string"
+CANDIDATE = "candidate_id bigint, proposer string, predicate string, subject string, object_id string, object_value string, statement string, confidence double, status string, reviewed_at bigint, reject_reason string, kind string, payload string"
 VERDICT = "candidate_id bigint, mechanism string, verdict string, basis string, outcome string"
 TOMBSTONE = "source string, source_id string"
 ANNOTATION = "episode_id bigint, kind string, body string"

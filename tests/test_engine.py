@@ -49,10 +49,15 @@ def test_assertion_corroborates(spark):
     assert facts.close(fact, fact.select("fact_id"), "decay", F.lit("2024-05-01").cast("timestamp_ntz")).first().invalidated_at is None
 
 
-def test_ladder_moves_one_rung_a_verdict(spark):
-    rows = [("p", "x", k, True) for k in range(40)] + [("p", "y", k, k != 39) for k in range(40)] + [("p", "z", k, True) for k in range(9)]
-    got = {r.predicate: r.rung for r in facts.ladder(spark.createDataFrame(rows, "proposer string, predicate string, seq int, accepted boolean")).collect()}
-    assert got == {"x": "trusted", "y": "staged", "z": "sampled"}
+def test_ladder_keeps_its_record(spark):
+    h = "proposer string, predicate string, seq int, accepted boolean"
+    rows = [("p", "x", k, True) for k in range(40)] + [("p", "y", k, k != 39) for k in range(40)] + [("p", "z", k, True) for k in range(9)] + [("p", "w", k, k % 2 == 0) for k in range(40)] + [("p", "v", 1, False)]
+    got = {r.predicate: r.rung for r in facts.ladder(spark.createDataFrame(rows, h)).collect()}
+    assert got == {"x": "trusted", "y": "trusted", "z": "sampled", "w": "staged", "v": "staged"}
+    rows = [("p", "x", k, True) for k in range(40)] + [("p", "y", k, True) for k in range(40)]
+    demoted = spark.createDataFrame([("p", "x", 38), ("p", "y", 39), ("p", "never", 1)], "proposer string, predicate string, seq int")
+    got = {r.predicate: r.rung for r in facts.ladder(spark.createDataFrame(rows, h), demoted).collect()}
+    assert got == {"x": "sampled", "y": "staged", "never": "staged"}  # one acceptance after it is one rung
 
 
 def test_semantic_lane_is_sequential(spark):
