@@ -5,49 +5,85 @@ Writes are deltas: each function takes the table and returns the new one, or the
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
+from .aggregates import SINGLE_VALUED
 from .link import npmi, pair_counts
 
 
-def assert_facts(fact: DataFrame, incoming: DataFrame) -> DataFrame:
-    """`fact` after a batch of claims (subject_id, predicate, object_id, polarity, statement, episode_id, confidence, sensitivity, extractor, at).
+def claims_on(fact: DataFrame, incoming: DataFrame, episode: DataFrame | None = None) -> DataFrame:
+    """`incoming` with fact_id, whether that fact is live already, the claim's tier and whether an agent made it.
 
-    A claim that equals a live fact of the same polarity corroborates it: its sensitivity rises
-    to the strictest, and its count rises for each new episode that isn't an agent's.  Others are
-    new facts, one for each distinct claim, with an identifier made of the claim itself.
+    A claim (subject_id, predicate, object_id, object_value, polarity, ...) is about the live fact of
+    the same subject, predicate, object and polarity; a missing literal fits any, the equal one first
+    and then the least fact_id.  Within the batch a claim without a literal joins the least one.  New
+    facts are named after their claim and its first time.  With `episode` the tier is that of the
+    claim's episode (``personal`` without any) and agents are its sources; else both are the claim's.
     """
     key = ["subject_id", "predicate", "object_id", "polarity"]
-    strict = fn.tier_of(F.max(fn.sensitivity_rank(F.col("sensitivity"))))
-    counted = F.when(~fn.is_agent(F.col("extractor")), F.col("episode_id"))
-    claims = incoming.groupBy(*key).agg(
-        F.min_by("statement", F.struct("at", "statement")).alias("c_statement"),
-        F.min("at").alias("c_at"),
-        F.max("confidence").alias("c_confidence"),
-        strict.alias("c_sensitivity"),
-        F.min_by("extractor", F.struct("at", "extractor")).alias("c_extractor"),
-        F.min("episode_id").alias("c_episode_id"),
-        F.countDistinct(counted).alias("c_n"),
-        F.collect_set(counted).alias("c_episodes"),
-    )
-    live = fact.where(fn.is_live())
-    both = live.join(claims, key, "left")
-    hit = F.col("c_at").isNotNull()
-    known = F.array_contains("c_episodes", F.col("episode_id"))
-    bump = F.when(hit, F.col("c_n") - F.when(known, 1).otherwise(0)).otherwise(0)
-    rank = F.greatest(fn.sensitivity_rank(F.col("sensitivity")), fn.sensitivity_rank(F.col("c_sensitivity")))
-    kept = both.withColumn("observations", (F.col("observations") + bump).cast("int")).withColumn("sensitivity", F.when(hit, fn.tier_of(rank)).otherwise(F.col("sensitivity"))).select(*fact.columns)
-    fresh = claims.join(live.select(*key), key, "left_anti")
+    rows = incoming if "object_value" in incoming.columns else incoming.withColumn("object_value", F.lit(None).cast("string"))
+    rows = rows.withColumn("literal", F.coalesce("object_value", F.min("object_value").over(Window.partitionBy(*key))))
+    if episode is not None:
+        seen = episode.select("episode_id", F.col("sensitivity").alias("tier"), F.col("source").alias("origin"))
+        rows = rows.join(seen, "episode_id", "left").withColumns({"tier": F.coalesce("tier", F.lit("personal")), "by_agent": F.coalesce(fn.is_agent(F.col("origin")), F.lit(False))}).drop("origin")
+    else:
+        rows = rows.withColumns({"tier": F.col("sensitivity"), "by_agent": F.coalesce(fn.is_agent(F.col("extractor")), F.lit(False))})
+    groups = rows.groupBy(*key, "literal").agg(F.min("at").alias("first_at"))
+    live = fact.where(fn.is_live()).select(*[F.col(c).alias(f"f_{c}") for c in (*key, "object_value")], F.col("fact_id").alias("hit"))
+    fits = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"f_{c}")) for c in key]) & (F.col("literal").isNull() | F.col("f_object_value").isNull() | (F.col("literal") == F.col("f_object_value")))
+    best = F.min_by("hit", F.struct(~F.col("literal").eqNullSafe(F.col("f_object_value")), F.col("hit")))
+    found = groups.join(live, fits, "left").groupBy(*key, "literal").agg(best.alias("hit"), F.min("first_at").alias("first_at"))
+    made = F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c), F.lit("\u0002")) for c in (*key, "literal")], F.col("first_at").cast("string")), 256)
+    found = found.select(*[F.col(c).alias(f"g_{c}") for c in (*key, "literal")], F.coalesce("hit", made).alias("fact_id"), F.col("hit").isNotNull().alias("known"))
+    return rows.join(found, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"g_{c}")) for c in (*key, "literal")])).drop(*[f"g_{c}" for c in (*key, "literal")])
+
+
+def assert_facts(fact: DataFrame, incoming: DataFrame, episode: DataFrame | None = None, observation: DataFrame | None = None) -> DataFrame:
+    """`fact` after a batch of claims; see :func:`claims_on`.
+
+    A claim about a live fact corroborates it: its tier rises to the strictest, and its count by each
+    episode that it hasn't been seen in (by `observation` and its own) and that isn't an agent's, and by
+    each claim without episode.  Others are new facts: the earliest of equal claims founds one.
+    """
+    rows = claims_on(fact, incoming, episode)
+    seen = fact.select("fact_id", "episode_id")
+    if observation is not None:
+        seen = seen.union(observation.select("fact_id", "episode_id"))
+    seen = seen.where("episode_id IS NOT NULL").distinct().withColumn("seen", F.lit(True))
+    counted = rows.withColumn("first", F.row_number().over(Window.partitionBy("fact_id").orderBy("at", "statement", F.col("episode_id").asc_nulls_last())) == 1)
+    counted = counted.join(seen, ["fact_id", "episode_id"], "left")
+    founder = F.when(~F.col("known") & F.col("first"), F.col("episode_id"))
+    fresh = F.when(~F.col("by_agent") & F.col("seen").isNull(), F.col("episode_id"))
+    by = counted.groupBy("fact_id").agg(
+        F.first("known").alias("known"), F.countDistinct(fresh).alias("episodes"), F.count_if(F.col("episode_id").isNull()).alias("loose"),
+        F.max(F.col("first") & ~F.col("known") & (F.col("episode_id").isNull() | ~F.col("by_agent"))).cast("int").alias("own"),
+        F.max(fn.sensitivity_rank(F.col("tier"))).alias("rank"), F.min("at").alias("c_at"), F.max("confidence").alias("c_confidence"), F.max(founder).alias("c_episode_id"),
+        F.min_by("statement", F.struct("at", "statement")).alias("c_statement"), F.min_by("extractor", F.struct("at", "statement", "extractor")).alias("c_extractor"),
+        *[F.first(c).alias(c) for c in ("subject_id", "predicate", "object_id", "polarity", "literal")],
+    )
+    bump = by.where("known").select("fact_id", (F.col("episodes") + F.col("loose")).alias("more"), F.col("rank").alias("c_rank"))
+    both = fact.join(bump, "fact_id", "left")
+    tier = F.when(F.col("c_rank") > fn.sensitivity_rank(F.col("sensitivity")), fn.tier_of(F.col("c_rank"))).otherwise(F.col("sensitivity"))
+    kept = both.withColumns({"observations": (F.col("observations") + F.coalesce("more", F.lit(0))).cast("int"), "sensitivity": tier}).select(*fact.columns)
     made = {
-        "fact_id": F.sha2(F.concat_ws("\u0001", *key, F.col("c_at").cast("string")), 256), "statement": F.col("c_statement"), "valid_from": F.col("c_at"), "ingested_at": F.col("c_at"),
-        "confidence": F.col("c_confidence"), "sensitivity": F.col("c_sensitivity"), "extractor": F.col("c_extractor"), "episode_id": F.col("c_episode_id"),
-        "observations": F.greatest(F.lit(1), F.col("c_n")).cast("int"), "valid_to": F.lit(None), "invalidated_at": F.lit(None),
+        "object_value": F.col("literal"), "statement": F.col("c_statement"), "valid_from": F.col("c_at"), "ingested_at": F.col("c_at"), "confidence": F.col("c_confidence"), "sensitivity": fn.tier_of(F.col("rank")),
+        "extractor": F.col("c_extractor"), "episode_id": F.col("c_episode_id"), "observations": 1 + F.col("episodes") + F.col("loose") - F.col("own"), "valid_to": F.lit(None), "invalidated_at": F.lit(None),
     }
-    new = fresh.select(*[F.col(c) if c in key else made[c].cast(fact.schema[c].dataType).alias(c) for c in fact.columns])
-    closed = fact.where(~fn.is_live())
-    return closed.unionByName(kept).unionByName(new)
+    new = by.where("NOT known").select(*[made.get(c, F.col(c)).cast(fact.schema[c].dataType).alias(c) for c in fact.columns])
+    return kept.unionByName(new)
+
+
+def observations_of(fact: DataFrame, incoming: DataFrame, episode: DataFrame | None = None) -> DataFrame:
+    """The observation of each claim of a batch: asserted where it founds a fact, else corroborated."""
+    rows = claims_on(fact, incoming, episode)
+    first = F.row_number().over(Window.partitionBy("fact_id").orderBy("at", "statement", F.col("episode_id").asc_nulls_last())) == 1
+    kind = F.when(~F.col("known") & first, "asserted").otherwise("corroborated")
+    number = F.xxhash64("fact_id", "episode_id", F.col("at").cast("string"), "extractor", "statement")
+    return rows.select("fact_id", number.alias("observation_id"), kind.alias("kind"), F.col("extractor").alias("method"), "episode_id", F.col("at").alias("observed_at"), "confidence")
 
 
 def close(fact: DataFrame, ids: DataFrame, how: str, at: Column) -> DataFrame:
@@ -156,24 +192,57 @@ def ladder(history: DataFrame, demotion: DataFrame | None = None, sampled: float
     return classes.distinct().join(up, key, "left").select(*key, rung.alias("rung"))
 
 
-def verdicts(fact: DataFrame, observation: DataFrame, stale: DataFrame, contradicted: DataFrame) -> DataFrame:
-    """(fact_id, verdict): the first that holds of missing, contradicted, denied, stale, unrooted, supported, residue."""
-    trail = observation.groupBy("fact_id").agg(
-        F.count("*").alias("n"), F.count_if(F.col("episode_id").isNotNull()).alias("rooted"), F.count_if(F.col("kind").isin("verified", "corroborated")).alias("backed")
-    )
-    denied = fact.where(fn.is_live() & (F.col("polarity") == "negative")).select("subject_id", "predicate", "object_id", F.lit(True).alias("denied")).distinct()
-    f = fact.join(trail, "fact_id", "left").join(denied, ["subject_id", "predicate", "object_id"], "left")
-    f = f.join(stale.select("fact_id", F.lit(True).alias("stale")).distinct(), "fact_id", "left").join(contradicted.select("subject_id", "predicate", F.lit(True).alias("contradicted")).distinct(), ["subject_id", "predicate"], "left")
+#: Verdicts of the verifier, the gravest first.
+VERDICTS = ("missing", "refuted", "contradicted", "denied", "stale", "residue", "unrooted", "unverifiable", "rederived", "supported")
+
+
+def verdicts(fact: DataFrame, observation: DataFrame, episode: DataFrame, nodes: DataFrame, mention: DataFrame, stale: DataFrame, least_co: int = 3, threshold: float = 0.3) -> DataFrame:
+    """(fact_id, verdict, n_cited, n_alive, n_supporting) of every fact.
+
+    In this order: a closed fact is missing; another live object of a single-valued predicate
+    contradicts it; a live negation of its subject and predicate denies it; it may be stale; one that
+    was computed from co-occurrence is computed again, rederived or refuted; one that cites no episode
+    is unrooted, one of which all are gone unverifiable; it's supported where an episode that it cites
+    has the words of its object or literal, and else residue, which needs a reader.
+    """
+    backing = observation.where(F.col("kind").isin("asserted", "corroborated", "verified") & F.col("episode_id").isNotNull()).select("fact_id", "episode_id")
+    cited = fact.where("episode_id IS NOT NULL").select("fact_id", "episode_id").union(backing).distinct()
+    sought = fact.select("fact_id", "object_id", "object_value").join(nodes.select(F.col("node_id").alias("object_id"), F.col("name").alias("object_name")), "object_id", "left")
+    sought = sought.select("fact_id", F.when(F.col("object_id").isNotNull(), F.col("object_name")).otherwise(F.col("object_value")).alias("sought"))
+    read = cited.join(episode.select("episode_id", "body"), "episode_id", "left").join(sought, "fact_id")
+    trail = read.groupBy("fact_id").agg(F.count("*").alias("n_cited"), F.count_if(F.col("body").isNotNull()).alias("n_alive"), F.count_if(fn.lexically_supports(F.col("body"), F.col("sought"))).alias("n_supporting"))
+    live = fact.where(fn.is_live())
+    positive = live.where("polarity = 'positive'")
+    rivals = positive.where(F.col("predicate").isin(*SINGLE_VALUED) & F.col("object_id").isNotNull()).groupBy("subject_id", "predicate").agg(F.count("*").alias("rivals"))
+    denials = live.where("polarity = 'negative'").groupBy("subject_id", "predicate").agg(F.count("*").alias("denials"))
+    pairs = pair_counts(mention, least_co)
+    pairs = pairs.select("a", "b", npmi(F.col("co"), F.col("n_a"), F.col("n_b"), F.col("universe")).alias("npmi"))
+    computed = fact.where("extractor = 'npmi' AND object_id IS NOT NULL").select("fact_id", F.least("subject_id", "object_id").alias("a"), F.greatest("subject_id", "object_id").alias("b"))
+    computed = computed.join(pairs, ["a", "b"], "left").select("fact_id", F.coalesce(F.col("npmi") >= threshold, F.lit(False)).alias("holds"))
+    f = fact.join(trail, "fact_id", "left").join(rivals, ["subject_id", "predicate"], "left").join(denials, ["subject_id", "predicate"], "left").join(computed, "fact_id", "left")
+    f = f.join(stale.select("fact_id", F.lit(True).alias("stale")).distinct(), "fact_id", "left")
+    n_cited, n_alive, n_supporting = (F.coalesce(c, F.lit(0)) for c in ("n_cited", "n_alive", "n_supporting"))
+    is_positive = F.col("polarity") == "positive"
+    others = F.coalesce("rivals", F.lit(0)) - is_positive.cast("int")
     verdict = (
         F.when(~fn.is_live(), "missing")
-        .when(F.col("contradicted") & (F.col("polarity") == "positive"), "contradicted")
-        .when(F.col("denied") & (F.col("polarity") == "positive"), "denied")
+        .when(F.col("predicate").isin(*SINGLE_VALUED) & F.col("object_id").isNotNull() & (others > 0), "contradicted")
+        .when(is_positive & (F.col("denials") > 0), "denied")
         .when(F.col("stale"), "stale")
-        .when(F.coalesce("rooted", F.lit(0)) == 0, "unrooted")
-        .when(F.col("backed") > 0, "supported")
+        .when(F.col("holds").isNotNull(), F.when(F.col("holds"), "rederived").otherwise("refuted"))
+        .when(n_cited == 0, "unrooted")
+        .when(n_alive == 0, "unverifiable")
+        .when(n_supporting > 0, "supported")
         .otherwise("residue")
     )
-    return f.select("fact_id", verdict.alias("verdict"))
+    return f.select("fact_id", "subject_id", "polarity", "observations", "ingested_at", verdict.alias("verdict"), n_cited.alias("n_cited"), n_alive.alias("n_alive"), n_supporting.alias("n_supporting"))
+
+
+def node_report(checked: DataFrame, node_id: str, k: int) -> DataFrame:
+    """The verdicts on a node's live positive facts, the gravest first, then the least observed and the newest."""
+    grave = F.array_position(F.array(*[F.lit(v) for v in VERDICTS]), F.col("verdict"))
+    own = checked.where((F.col("subject_id") == node_id) & (F.col("polarity") == "positive") & (F.col("verdict") != "missing"))
+    return own.orderBy(grave, "observations", F.desc("ingested_at"), "fact_id").limit(k)
 
 
 def npmi_decay(claims: DataFrame, mention: DataFrame, drift: float = 0.01, collapse: float = 0.5, floor: float = 0.24, cap: int = 40) -> DataFrame:

@@ -209,43 +209,59 @@ def link_structural(edges: DataFrame, connected: DataFrame, least_aa: float = 1.
 
 @dataclass(frozen=True)
 class Rule:
-    """A Horn rule: `build` gives (subject_id, object_id) from live positive facts."""
+    """A Horn rule: `build` gives (subject_id, object_id) from live positive facts.
+
+    It's told the pairs that don't count (subject_id, object_id) and how many conclusions are wanted,
+    least first, and may leave out what can't be among these.
+    """
 
     name: str
     predicate: str
     symmetric: bool
     confidence: float
-    build: Callable[[DataFrame], DataFrame]
+    build: Callable[[DataFrame, DataFrame, int], DataFrame]
 
 
-def shared_object(predicate: str) -> Callable[[DataFrame], DataFrame]:
-    """Subjects that have an object of `predicate` in common."""
+def shared_object(predicate: str) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
+    """Subjects that have an object of `predicate` in common.
+
+    Their pairs grow with the square of an object's subjects, but only the least are wanted.  A subject
+    that isn't the greatest of some object, and of which no pair is left out, has a conclusion of its
+    own; so the `cap` least of these bound the first subject, and only those up to there are paired.
+    """
 
-    def build(fact: DataFrame) -> DataFrame:
-        f = fact.where(F.col("predicate") == predicate).select("subject_id", "object_id").distinct()
+    def build(fact: DataFrame, excluded: DataFrame, cap: int) -> DataFrame:
+        f = fact.where(F.col("predicate") == predicate).select("subject_id", "object_id").where("object_id IS NOT NULL").distinct()
+        member = f.select("subject_id").distinct()
+        least, greatest = F.least("subject_id", "object_id"), F.greatest("subject_id", "object_id")
+        within = excluded.select(least.alias("subject_id"), greatest.alias("other")).join(member, "subject_id", "left_semi").join(member.select(F.col("subject_id").alias("other")), "other", "left_semi")
+        top = f.groupBy("object_id").agg(F.max("subject_id").alias("top"))
+        sure = f.join(top, "object_id").where("subject_id < top").select("subject_id").distinct().join(within, "subject_id", "left_anti")
+        bound = sure.orderBy("subject_id").limit(cap).agg(F.when(F.count("*") == cap, F.max("subject_id")).alias("bound"))  # one row
+        some = f.crossJoin(F.broadcast(bound)).where("bound IS NULL OR subject_id <= bound").select("subject_id", "object_id")
         g = f.select(F.col("subject_id").alias("other"), "object_id")
-        return f.join(g, "object_id").where("subject_id < other").select("subject_id", F.col("other").alias("object_id"))
+        return some.join(g, "object_id").where("subject_id < other").select("subject_id", F.col("other").alias("object_id"))
 
     return build
 
 
-def inherited(first: str, second: str) -> Callable[[DataFrame], DataFrame]:
+def inherited(first: str, second: str) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
     """`first`(x, y) and `second`(x, z) give (y, z)."""
 
-    def build(fact: DataFrame) -> DataFrame:
-        a = fact.where(F.col("predicate") == first).select("subject_id", F.col("object_id").alias("y"))
-        b = fact.where(F.col("predicate") == second).select("subject_id", F.col("object_id").alias("z"))
+    def build(fact: DataFrame, excluded: DataFrame, cap: int) -> DataFrame:
+        a = fact.where(F.col("predicate") == first).select("subject_id", F.col("object_id").alias("y")).distinct()
+        b = fact.where(F.col("predicate") == second).select("subject_id", F.col("object_id").alias("z")).distinct()
         return a.join(b, "subject_id").where("y <> z").select(F.col("y").alias("subject_id"), F.col("z").alias("object_id"))
 
     return build
 
 
-def partners_share(pair: str, held: str) -> Callable[[DataFrame], DataFrame]:
+def partners_share(pair: str, held: str) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
     """`pair`(x, y) and `held`(x or y, z) give the other partner and z: a union of two equality joins."""
 
-    def build(fact: DataFrame) -> DataFrame:
-        p = fact.where(F.col("predicate") == pair).select("subject_id", "object_id")
-        h = fact.where(F.col("predicate") == held).select(F.col("subject_id").alias("owner"), F.col("object_id").alias("z"))
+    def build(fact: DataFrame, excluded: DataFrame, cap: int) -> DataFrame:
+        p = fact.where(F.col("predicate") == pair).select("subject_id", "object_id").distinct()
+        h = fact.where(F.col("predicate") == held).select(F.col("subject_id").alias("owner"), F.col("object_id").alias("z")).distinct()
         ways = [p.join(h, F.col(own) == F.col("owner")).select(F.col(other).alias("subject_id"), F.col("z").alias("object_id")) for own, other in (("subject_id", "object_id"), ("object_id", "subject_id"))]
         return ways[0].union(ways[1]).where("subject_id <> object_id")
 
@@ -266,12 +282,13 @@ def run_rule(rule: Rule, fact: DataFrame, candidate: DataFrame, cap: int = 25) -
     `candidate` is (proposer, predicate, subject_id, object_id) of all candidates so far.
     """
     live = fact.where(fn.is_live())
-    drawn = rule.build(live.where("polarity = 'positive'")).select("subject_id", "object_id").distinct()
     known = live.where(F.col("predicate") == rule.predicate).select("subject_id", "object_id")
     if rule.symmetric:
         known = known.union(known.select("object_id", "subject_id"))
     asked = candidate.where((F.col("proposer") == f"rule:{rule.name}") & (F.col("predicate") == rule.predicate)).select("subject_id", "object_id")
-    fresh = drawn.join(known.distinct(), ["subject_id", "object_id"], "left_anti").join(asked.distinct(), ["subject_id", "object_id"], "left_anti")
+    excluded = known.union(asked).distinct()
+    drawn = rule.build(live.where("polarity = 'positive'"), excluded, cap).select("subject_id", "object_id").distinct()
+    fresh = drawn.join(excluded, ["subject_id", "object_id"], "left_anti")
     top = fresh.orderBy("subject_id", "object_id").limit(cap)
     return top.select(F.lit(f"rule:{rule.name}").alias("proposer"), F.lit(rule.predicate).alias("predicate"), "subject_id", "object_id", F.lit(rule.confidence).alias("confidence"))
 

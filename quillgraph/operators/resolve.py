@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
+from ..session import written
 
 PRIORITY = ("person", "project", "org", "topic", "place", "task", "goal", "tool", "event", "series", "document", "artifact")
 
@@ -26,21 +27,43 @@ def resolve_all(wanted: DataFrame, nodes: DataFrame, alias: DataFrame, identifie
     """
     w = wanted.select("query_id", fn.canonicalize(F.col("name")).alias("want"))
     named = nodes.select("node_id", "node_type", "access_count", fn.canonicalize(F.col("name")).alias("label"))
-    exact = w.join(named, F.col("want") == F.col("label")).select("query_id", "node_id", F.lit(0).alias("how"))
+    kinds = named.drop("label")
+    exact = w.join(named, F.col("want") == F.col("label")).select("query_id", "node_id", F.lit(0).alias("how"), "node_type", "access_count")
     by_alias = w.join(alias, F.col("want") == F.col("alias")).select("query_id", "node_id", F.lit(1).alias("how"))
     by_id = w.join(identifier, F.col("want") == F.lower("value")).select("query_id", "node_id", F.lit(2).alias("how"))
-    found = exact.union(by_alias).union(by_id).groupBy("query_id", "node_id").agg(F.min("how").alias("how")).join(named.drop("label"), "node_id")
+    others = by_alias.union(by_id).join(kinds, "node_id").select(*exact.columns)
+    found = written(exact.union(others).groupBy("query_id", "node_id", "node_type", "access_count").agg(F.min("how").alias("how")), "resolve-found")
     strong = found.where(~F.col("node_type").isin(*fn.ANCHOR_LAST)).select("query_id").distinct()
     weak = w.join(strong, "query_id", "left_anti").where(F.char_length("want") >= 3)
-    loose = weak.join(named, F.contains(F.col("label"), F.col("want"))).select("node_id", "query_id", F.lit(3).alias("how"), "node_type", "access_count")
     order = [priority(F.col("node_type")), F.desc("access_count"), F.col("node_id")]
+    loose = infix_matches(weak, named).withColumn("how", F.lit(3))
     loose = loose.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("r") <= fuzzy).drop("r")
-    every = found.select("node_id", "query_id", "how", "node_type", "access_count").union(loose).groupBy("query_id", "node_id", "node_type", "access_count").agg(F.min("how").alias("how"))
+    every = found.unionByName(loose.select(*found.columns)).groupBy("query_id", "node_id", "node_type", "access_count").agg(F.min("how").alias("how"))
     has_strong = F.max(~F.col("node_type").isin(*fn.ANCHOR_LAST)).over(Window.partitionBy("query_id"))
     kept = every.withColumn("s", has_strong).where(~F.col("s") | ~F.col("node_type").isin(*fn.ANCHOR_LAST))
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).select("query_id", "node_id", "how", "rank")
 
 
+def trigrams(text: Column) -> Column:
+    """The distinct runs of three characters."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(text) - 2))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(3))))
+
+
+def infix_matches(wanted: DataFrame, named: DataFrame) -> DataFrame:
+    """(query_id, node_id, node_type, access_count): labels that have a wanted text of three characters or more inside.
+
+    A label with the text has each of its trigrams, so labels are joined by equality on the text's
+    rarest one, and then compared.
+    """
+    grams = named.select("node_id", F.explode(trigrams(F.col("label"))).alias("gram"))
+    asked = wanted.select("query_id", "want", F.explode(trigrams(F.col("want"))).alias("gram"))
+    counted = grams.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    anchor = asked.join(counted, "gram", "left").groupBy("query_id", "want").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
+    maybe = anchor.join(grams, "gram").join(named, "node_id").where(F.contains("label", "want"))
+    return maybe.select("query_id", "node_id", "node_type", "access_count")
+
+
 def resolve_unique(resolved: DataFrame) -> DataFrame:
     """(query_id, node_id) of the names that mean one node."""
     return resolved.groupBy("query_id").agg(F.min("node_id").alias("node_id"), F.count("*").alias("n")).where("n = 1").drop("n")

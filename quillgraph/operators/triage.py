@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
 from .aggregates import SINGLE_VALUED
+from .facts import assert_facts, close
 
 #: That something was talked about is what its episode says already.
 EPHEMERAL = ("discussed", "discussed_with", "discusses", "discussing", "mentioned", "mentions", "said", "shared", "spoke_about", "talked_about", "talked_to")
@@ -127,15 +128,50 @@ def score_verdicts(verdict: DataFrame, candidate: DataFrame) -> DataFrame:
     return verdict.join(done, "candidate_id", "left").withColumn("outcome", outcome).drop("_status")
 
 
-def apply_corrections(correction: DataFrame, fact: DataFrame) -> DataFrame:
-    """(episode_id, fact_id, right, action) for `facts.corrections`: by identifier, else by the one
-    live fact whose statement has the wrong words; what fits no fact or several is left unresolved."""
-    live = fact.where(fn.is_live()).select("fact_id", "statement")
-    by_id = correction.where("fact_uid IS NOT NULL").join(live.select(F.col("fact_id").alias("fact_uid"), F.col("fact_id").alias("hit")), "fact_uid", "left")
-    by_id = by_id.select("episode_id", "wrong", "right", F.col("hit").alias("fact_id"))
-    loose = correction.where("fact_uid IS NULL AND wrong IS NOT NULL AND trim(wrong) <> ''")
-    # Few corrections against many facts: the words of each fact's statement are matched by broadcast when they are few.
-    hits = loose.join(live, fn.lexically_supports(F.col("statement"), F.col("wrong"))).groupBy("episode_id", "wrong").agg(F.min("fact_id").alias("fact_id"), F.count("*").alias("n")).where("n = 1")
-    by_words = loose.join(hits.select("episode_id", "wrong", "fact_id"), ["episode_id", "wrong"], "left").select("episode_id", "wrong", "right", "fact_id")
-    action = F.when(F.col("fact_id").isNull(), "unresolved").when(F.col("right").isNotNull(), "replace").otherwise("retract")
-    return by_id.union(by_words).withColumn("action", action)
+def correction_targets(correction: DataFrame, fact: DataFrame, about: DataFrame | None = None) -> DataFrame:
+    """`correction` with fact_id and target, live, closed or unresolved, for `facts.corrections`.
+
+    By identifier, else by the one live fact of the same statement, case aside; of several only where
+    `about` (about, node_id), names that mean one node, leaves one.  Where only closed facts say so the
+    correction was made before.  All by equality.
+    """
+    c = correction.withColumn("_wrong", F.lower(F.trim("wrong")))
+    if about is not None:
+        c = c.join(about.select(fn.canonicalize(F.col("about")).alias("_about"), F.col("node_id").alias("_node")).dropDuplicates(["_about"]), fn.canonicalize(F.col("about")) == F.col("_about"), "left").drop("_about")
+    else:
+        c = c.withColumn("_node", F.lit(None).cast("string"))
+    f = fact.select("fact_id", "subject_id", F.lower(F.trim("statement")).alias("_said"), fn.is_live().alias("_live"))
+    key = ["episode_id", "fact_uid", "wrong", "right", "about"]
+    by_id = c.where("fact_uid IS NOT NULL").join(f, F.col("fact_uid") == F.col("fact_id"), "left")
+    by_id = by_id.select(*key, F.when(F.col("_live"), F.col("fact_id")).alias("fact_id"), F.when(F.col("_live"), "live").when(F.col("fact_id").isNotNull(), "closed").otherwise("unresolved").alias("target"))
+    said = (F.col("_wrong") == F.col("_said")) & (F.col("_node").isNull() | (F.col("_node") == F.col("subject_id")))
+    loose = c.where("fact_uid IS NULL").join(f, said, "left").groupBy(*key).agg(F.min(F.when(F.col("_live"), F.col("fact_id"))).alias("_one"), F.count_if("_live").alias("_n"), F.count_if(~F.col("_live")).alias("_closed"))
+    one = F.col("_n") == 1
+    loose = loose.select(*key, F.when(one, F.col("_one")).alias("fact_id"), F.when(one, "live").when((F.col("_n") == 0) & (F.col("_closed") > 0), "closed").otherwise("unresolved").alias("target"))
+    return by_id.union(loose)
+
+
+def apply_corrections(targets: DataFrame, fact: DataFrame, at: Column, sweep: int = 25) -> dict[str, DataFrame]:
+    """What the corrections of :func:`correction_targets` change.
+
+    ``fact``: the table with the corrected facts superseded, and where nothing is put in their place
+    their negation; ``observation``: a corrected one for each; ``candidate``: the replacement, or the
+    unresolved correction, for a reviewer; ``demotion``: the classes that produced the facts;
+    ``sweep``: at most `sweep` other live facts of each such class, to be asked about.
+    """
+    pinned = targets.where("target = 'live'").select("fact_id", F.col("episode_id").alias("said_in"), F.nullif(F.trim("right"), F.lit("")).alias("right"))
+    live = pinned.join(fact.drop("episode_id"), "fact_id")
+    ended = close(fact, live, "supersede", at)
+    denied = live.where("right IS NULL").select(
+        "subject_id", "predicate", "object_id", "object_value", F.lit("negative").alias("polarity"), F.concat(F.lit("It is not the case that: "), "statement").alias("statement"), F.col("said_in").alias("episode_id"),
+        F.lit(0.95).alias("confidence"), "sensitivity", F.lit("correction").alias("extractor"), at.alias("at"),
+    )
+    observation = live.select("fact_id", F.lit("corrected").alias("kind"), F.lit("user").alias("method"), F.col("said_in").alias("episode_id"), at.alias("observed_at"))
+    staged = live.where("right IS NOT NULL").select(F.lit("correction").alias("proposer"), "predicate", F.col("subject_id").alias("subject"), F.col("right").alias("statement"), F.lit(0.95).alias("confidence"), F.col("said_in").alias("episode_id"))
+    unknown = targets.where("target = 'unresolved'")
+    words = F.concat(F.lit("UNRESOLVED CORRECTION: wrong: "), F.coalesce("wrong", "fact_uid", F.lit("?")), F.lit(" | right: "), F.coalesce("right", F.lit("(rejection)")), F.lit(" | about: "), F.coalesce("about", F.lit("?")))
+    asked = unknown.select(F.lit("correction").alias("proposer"), F.lit("correction").alias("predicate"), F.coalesce("about", F.lit("")).alias("subject"), words.alias("statement"), F.lit(0.95).alias("confidence"), "episode_id")
+    demotion = live.where("extractor IS NOT NULL AND extractor <> ''").select(F.col("extractor").alias("proposer"), "predicate").distinct()
+    peers = fact.where(fn.is_live() & (F.col("polarity") == "positive")).join(live.select("fact_id"), "fact_id", "left_anti").join(demotion.withColumnRenamed("proposer", "extractor"), ["extractor", "predicate"], "left_semi")
+    swept = peers.withColumn("_r", F.row_number().over(Window.partitionBy("extractor", "predicate").orderBy("fact_id"))).where(F.col("_r") <= sweep).select(F.col("extractor").alias("proposer"), "predicate", "fact_id")
+    return {"fact": assert_facts(ended, denied), "observation": observation, "candidate": staged.union(asked), "demotion": demotion, "sweep": swept}

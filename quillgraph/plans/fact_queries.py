@@ -121,6 +121,7 @@ def _(g):
     return retrieval.suggest("a", g.nodes, g.nodes.where("false").select("node_id", F.col("name").alias("alias")), 25)
 
 
+_TIER = "CASE {c} WHEN 'public' THEN 0 WHEN 'personal' THEN 1 WHEN 'private' THEN 2 ELSE 3 END"
 _F = "fact_id, subject_id, predicate, object_id, polarity"
 _L = "valid_to IS NULL AND invalidated_at IS NULL"
 _FC = [c.strip() for c in _F.split(",")]
@@ -161,16 +162,39 @@ def _(g):
     return facts.duplicate_facts(g.fact)
 
 
-@query("ver1_verdicts", _CLOCK + f""", stale AS (SELECT fact_id FROM clock JOIN {_DECAY_SQL} USING (predicate) WHERE decay > 0 AND decay * ((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(seen_at)) / 86400e6 / 365.25) > ln(2)),
- con AS (SELECT subject_id, predicate FROM fact WHERE {_L} AND polarity = 'positive' AND predicate IN ('works_at', 'located_in', 'assigned_to', 'pursued_via', 'has_role') GROUP BY ALL HAVING count(DISTINCT object_id) > 1),
- t AS (SELECT fact_id, count(episode_id) AS rooted, count(*) FILTER (WHERE kind IN ('verified', 'corroborated')) AS backed FROM observation GROUP BY fact_id),
- den AS (SELECT DISTINCT subject_id, predicate, object_id FROM fact WHERE {_L} AND polarity = 'negative')
- SELECT f.fact_id, CASE WHEN NOT (f.{_L.replace('AND ', 'AND f.')}) THEN 'missing' WHEN f.polarity = 'positive' AND (f.subject_id, f.predicate) IN (SELECT subject_id, predicate FROM con) THEN 'contradicted'
-  WHEN f.polarity = 'positive' AND (f.subject_id, f.predicate, f.object_id) IN (SELECT subject_id, predicate, object_id FROM den) THEN 'denied' WHEN f.fact_id IN (SELECT fact_id FROM stale) THEN 'stale'
-  WHEN coalesce(rooted, 0) = 0 THEN 'unrooted' WHEN backed > 0 THEN 'supported' ELSE 'residue' END AS verdict FROM fact f LEFT JOIN t USING (fact_id)""", "fact", "observation", "episode")
+_VERIFY = """, ep AS (SELECT episode_id, source, sensitivity, occurred_at, concat(body, ' supplier#', lpad(CAST(episode_id % 10 AS STRING), 9, '0')) AS body FROM episode WHERE episode_id % 5 <> 0),
+ vf AS (SELECT fact_id, subject_id, predicate, object_id, CASE WHEN object_id IS NULL THEN 'entry click' END AS object_value, statement, valid_from, valid_to, ingested_at, invalidated_at, confidence, polarity, sensitivity, extractor, observations, episode_id
+   FROM (SELECT * REPLACE (CASE WHEN fact_id LIKE '%3' THEN NULL ELSE object_id END AS object_id, CASE WHEN extractor = 'linker:npmi' THEN 'npmi' ELSE extractor END AS extractor, CASE predicate WHEN 'has_role' THEN 'uses' WHEN 'works_at' THEN 'authored' ELSE predicate END AS predicate) FROM fact))"""
+
+
+def _verified(g):
+    episode = g.episode.where("episode_id % 5 <> 0").withColumn("body", F.concat("body", F.lit(" supplier#"), F.lpad((F.col("episode_id") % 10).cast("string"), 9, "0")))
+    f = g.fact.withColumns({
+        "object_id": F.when(F.endswith("fact_id", F.lit("3")), None).otherwise(F.col("object_id")), "extractor": F.when(F.col("extractor") == "linker:npmi", "npmi").otherwise(F.col("extractor")),
+        "predicate": F.when(F.col("predicate") == "has_role", "uses").when(F.col("predicate") == "works_at", "authored").otherwise(F.col("predicate")),
+    })
+    return f.withColumn("object_value", F.when(F.col("object_id").isNull(), "entry click")), episode
+
+
+@query("ver1_verdicts", _VERIFY + _CLOCK.replace("FROM fact f", "FROM vf f").replace("LEFT JOIN episode e", "LEFT JOIN ep e") + f""", stale AS (SELECT fact_id FROM clock JOIN {_DECAY_SQL} USING (predicate) WHERE decay > 0 AND decay * ((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(seen_at)) / 86400e6 / 365.25) > ln(2)),
+ cited AS (SELECT fact_id, episode_id FROM vf WHERE episode_id IS NOT NULL UNION SELECT fact_id, episode_id FROM observation WHERE kind IN ('asserted', 'corroborated', 'verified') AND episode_id IS NOT NULL),
+ read AS (SELECT c.fact_id, ep.body, concat(' ', trim(regexp_replace(lower(ep.body), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS words, trim(regexp_replace(lower(CASE WHEN vf.object_id IS NULL THEN vf.object_value ELSE n.name END), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS sought
+   FROM cited c JOIN vf USING (fact_id) LEFT JOIN ep ON ep.episode_id = c.episode_id LEFT JOIN nodes n ON n.node_id = vf.object_id),
+ t AS (SELECT fact_id, count(*) AS n_cited, count(body) AS n_alive, count(*) FILTER (WHERE body IS NOT NULL AND sought <> '' AND contains(words, concat(' ', sought, ' '))) AS n_supporting FROM read GROUP BY fact_id),
+ m AS (SELECT DISTINCT episode_id, node_id FROM mention), u AS (SELECT count(DISTINCT episode_id) AS u FROM m), cnt AS (SELECT node_id, count(*) AS n FROM m GROUP BY node_id),
+ co AS (SELECT x.node_id AS a, y.node_id AS b, count(*) AS co FROM m x JOIN m y ON x.episode_id = y.episode_id AND x.node_id < y.node_id GROUP BY ALL HAVING count(*) >= 3),
+ sc AS (SELECT co.a, co.b, ln(co::DOUBLE * u / (p.n::DOUBLE * q.n)) / -ln(co::DOUBLE / u) AS npmi FROM co JOIN cnt p ON p.node_id = co.a JOIN cnt q ON q.node_id = co.b, u),
+ lv AS (SELECT * FROM vf WHERE {_L})
+ SELECT f.fact_id, CASE WHEN NOT (f.valid_to IS NULL AND f.invalidated_at IS NULL) THEN 'missing'
+  WHEN f.predicate IN ('works_at', 'located_in', 'assigned_to', 'pursued_via', 'has_role') AND f.object_id IS NOT NULL AND EXISTS (SELECT 1 FROM lv WHERE lv.subject_id = f.subject_id AND lv.predicate = f.predicate AND lv.polarity = 'positive' AND lv.object_id IS NOT NULL AND lv.fact_id <> f.fact_id) THEN 'contradicted'
+  WHEN f.polarity = 'positive' AND EXISTS (SELECT 1 FROM lv WHERE lv.subject_id = f.subject_id AND lv.predicate = f.predicate AND lv.polarity = 'negative') THEN 'denied' WHEN f.fact_id IN (SELECT fact_id FROM stale) THEN 'stale'
+  WHEN f.extractor = 'npmi' AND f.object_id IS NOT NULL THEN CASE WHEN EXISTS (SELECT 1 FROM sc WHERE a = least(f.subject_id, f.object_id) AND b = greatest(f.subject_id, f.object_id) AND npmi >= -0.1) THEN 'rederived' ELSE 'refuted' END
+  WHEN coalesce(n_cited, 0) = 0 THEN 'unrooted' WHEN n_alive = 0 THEN 'unverifiable' WHEN n_supporting > 0 THEN 'supported' ELSE 'residue' END AS verdict,
+  coalesce(n_cited, 0) AS n_cited, coalesce(n_alive, 0) AS n_alive, coalesce(n_supporting, 0) AS n_supporting FROM vf f LEFT JOIN t USING (fact_id)""", "fact", "observation", "episode", "nodes", "mention")
 def _(g):
-    stale = agg.stale_facts(g.fact, g.observation, g.episode, half_lives(g), at(AS_OF))
-    return facts.verdicts(g.fact, g.observation, stale, agg.live_contradictions(g.fact))
+    fact, episode = _verified(g)
+    stale = agg.stale_facts(fact, g.observation, episode, half_lives(g), at(AS_OF))
+    return facts.verdicts(fact, g.observation, episode, g.nodes, g.mention, stale, threshold=-0.1).select("fact_id", "verdict", "n_cited", "n_alive", "n_supporting")
 
 
 _NORM = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
@@ -257,6 +281,44 @@ def _(g):
     return facts.pending(g.candidate, 30, "src1", "spoke_en", 0.5).select("candidate_id")
 
 
+_CORRECT = """, cor AS (SELECT event_id AS episode_id, CASE WHEN event_id % 3 = 0 THEN concat('fo', event_id % 700) END AS fact_uid, CASE WHEN event_id % 3 <> 0 THEN upper(concat('claim 1-URGENT by ', event_id % 90)) END AS wrong,
+  CASE WHEN event_id % 2 = 0 THEN concat('rather ', event_id) END AS right_, CASE WHEN event_id % 3 = 1 THEN concat('C', event_id % 90) END AS about FROM events WHERE event_id < 400),
+ hit AS (SELECT c.*, f.fact_id AS f, f.valid_to IS NULL AND f.invalidated_at IS NULL AS live FROM cor c LEFT JOIN fact f ON f.fact_id = c.fact_uid OR c.fact_uid IS NULL AND lower(f.statement) = lower(c.wrong) AND (c.about IS NULL OR f.subject_id = lower(c.about))),
+ tg AS (SELECT episode_id, fact_uid, any_value(right_) AS right_, count(f) FILTER (WHERE live) AS n, count(f) FILTER (WHERE NOT live) AS shut, min(f) FILTER (WHERE live) AS one FROM hit GROUP BY ALL),
+ done AS (SELECT episode_id, right_, CASE WHEN n = 1 THEN one END AS fact_id, CASE WHEN n = 1 THEN 'live' WHEN n = 0 AND shut > 0 THEN 'closed' ELSE 'unresolved' END AS target FROM tg)
+"""
+
+
+def _targets(g):
+    e = F.col("event_id")
+    c = g.events.where("event_id < 400").select(
+        e.alias("episode_id"), F.when(e % 3 == 0, F.concat(F.lit("fo"), e % 700)).alias("fact_uid"), F.when(e % 3 != 0, F.upper(F.concat(F.lit("claim 1-URGENT by "), e % 90))).alias("wrong"),
+        F.when(e % 2 == 0, F.concat(F.lit("rather "), e)).alias("right"), F.when(e % 3 == 1, F.concat(F.lit("C"), e % 90)).alias("about"),
+    )
+    names = g.customer.select(F.concat(F.lit("c"), "c_custkey").alias("about"), F.concat(F.lit("c"), "c_custkey").alias("node_id"))
+    return triage.correction_targets(c, g.fact, names)
+
+
+@query("cor1_targets", _CORRECT + "SELECT episode_id, fact_id, target FROM done", "fact")
+def _(g):
+    return _targets(g).select("episode_id", "fact_id", "target")
+
+
+@query("cor1_apply", _CORRECT + f""", gone AS (SELECT DISTINCT fact_id FROM done WHERE target = 'live'), neg AS (SELECT DISTINCT subject_id, predicate, object_id FROM done JOIN fact USING (fact_id) WHERE target = 'live' AND right_ IS NULL)
+ SELECT 'fact' AS part, subject_id AS a, predicate AS b, polarity AS c, count(*) AS n FROM (SELECT subject_id, predicate, polarity FROM fact WHERE {_L} AND fact_id NOT IN (SELECT fact_id FROM gone)
+   UNION ALL SELECT subject_id, predicate, 'negative' FROM neg WHERE NOT EXISTS (SELECT 1 FROM fact f WHERE f.{_L.replace("AND ", "AND f.")} AND f.subject_id = neg.subject_id AND f.predicate = neg.predicate AND f.object_id = neg.object_id AND f.polarity = 'negative' AND f.fact_id NOT IN (SELECT fact_id FROM gone))) GROUP BY ALL
+ UNION ALL SELECT 'demotion', extractor, predicate, NULL, 1 FROM (SELECT DISTINCT extractor, predicate FROM fact WHERE fact_id IN (SELECT fact_id FROM gone))
+ UNION ALL SELECT 'candidate', NULL, NULL, NULL, count(*) FROM done WHERE target = 'unresolved' OR target = 'live' AND right_ IS NOT NULL
+ UNION ALL SELECT 'observation', NULL, NULL, NULL, count(*) FROM done WHERE target = 'live'""", "fact")
+def _(g):
+    out = triage.apply_corrections(_targets(g), g.fact, at(AS_OF))
+    null = F.lit(None).cast("string")
+    live = out["fact"].where(fn.is_live()).groupBy(F.lit("fact").alias("part"), F.col("subject_id").alias("a"), F.col("predicate").alias("b"), F.col("polarity").alias("c")).agg(F.count("*").alias("n"))
+    demoted = out["demotion"].select(F.lit("demotion"), "proposer", "predicate", null, F.lit(1).cast("bigint"))
+    counts = [out[k].agg(F.count("*").alias("n")).select(F.lit(k), null, null, null, "n") for k in ("candidate", "observation")]
+    return live.union(demoted).union(counts[0]).union(counts[1])
+
+
 @query("gtd1_task_board", "SELECT node_id, status, due_at::VARCHAR AS due_at FROM task WHERE status <> 'done' ORDER BY CASE status WHEN 'next' THEN 0 WHEN 'waiting' THEN 1 WHEN 'scheduled' THEN 2 WHEN 'inbox' THEN 3 ELSE 4 END, task.due_at NULLS LAST, created LIMIT 200", "task")
 def _(g):
     return shown(facts.task_board(g.task, 200), "node_id", "status", "due_at")
@@ -277,13 +339,46 @@ def _(g):
     return shown(facts.memory_digest(g.fact))
 
 
-@query("fct1_assert", f""", c AS (SELECT subject_id, predicate, object_id, 'positive' AS polarity, count(DISTINCT o_orderkey) AS n FROM fact JOIN orders ON fact_id = concat('fo', o_orderkey) WHERE o_orderkey % 10 = 1 GROUP BY ALL)
- SELECT f.subject_id, f.predicate, f.object_id, f.observations + coalesce(c.n, 0)::INT AS observations FROM fact f LEFT JOIN c ON f.subject_id = c.subject_id AND f.predicate = c.predicate AND f.object_id = c.object_id AND f.polarity = c.polarity AND f.{_L.replace('AND ', 'AND f.')}
- UNION ALL SELECT c.subject_id, c.predicate, c.object_id, c.n::INT FROM c WHERE NOT EXISTS (SELECT 1 FROM fact f WHERE f.subject_id = c.subject_id AND f.predicate = c.predicate AND f.object_id = c.object_id AND f.polarity = 'positive' AND {_L})""", "fact")
+#: Facts of which some have literals, and a batch of claims with missing literals, episodes that are seen, unknown or an agent's, and none.
+_ASSERT = """, base AS (SELECT * REPLACE (CASE WHEN k % 13 = 0 THEN NULL ELSE object_id END AS object_id, CASE WHEN k % 13 = 0 THEN concat('v', k % 3) END AS object_value) FROM (SELECT *, CAST(substr(fact_id, 3) AS BIGINT) AS k FROM fact)),
+ inc AS (SELECT k, subject_id, predicate, object_id, CASE WHEN k % 4 <> 1 THEN object_value END AS object_value, statement, CASE WHEN k % 3 = 0 THEN NULL WHEN k % 3 = 1 THEN k % 1000 ELSE k + 1000000 END AS episode_id, ingested_at AS said_at FROM base WHERE k % 10 IN (1, 6)),
+ rows_ AS (SELECT inc.*, coalesce(inc.object_value, min(inc.object_value) OVER (PARTITION BY subject_id, predicate, object_id)) AS literal, coalesce(e.sensitivity, 'personal') AS tier, coalesce(e.episode_id % 7 = 0, false) AS agent FROM inc LEFT JOIN episode e ON e.episode_id = inc.episode_id),
+ live AS (SELECT * FROM base WHERE valid_to IS NULL AND invalidated_at IS NULL AND polarity = 'positive'),
+ hits AS (SELECT r.k, l.fact_id AS hit, row_number() OVER (PARTITION BY r.k ORDER BY CASE WHEN l.object_value IS NOT DISTINCT FROM r.literal THEN 0 ELSE 1 END, l.fact_id) AS place FROM rows_ r JOIN live l ON l.subject_id = r.subject_id AND l.predicate = r.predicate
+   AND l.object_id IS NOT DISTINCT FROM r.object_id AND (r.literal IS NULL OR l.object_value IS NULL OR r.literal = l.object_value)),
+ c AS (SELECT r.*, h.hit, coalesce(h.hit, concat_ws('|', subject_id, predicate, coalesce(object_id, '-'), coalesce(literal, '-'))) AS target, row_number() OVER (PARTITION BY coalesce(h.hit, concat_ws('|', subject_id, predicate, coalesce(object_id, '-'), coalesce(literal, '-'))) ORDER BY said_at, statement, r.episode_id NULLS LAST) AS nth
+   FROM rows_ r LEFT JOIN (SELECT * FROM hits WHERE place = 1) h ON h.k = r.k),
+ seen AS (SELECT fact_id, episode_id FROM fact WHERE episode_id IS NOT NULL UNION SELECT fact_id, episode_id FROM observation WHERE episode_id IS NOT NULL),
+ kinds AS (SELECT c.*, CASE WHEN c.hit IS NULL AND nth = 1 THEN 'asserted' ELSE 'corroborated' END AS kind, s.fact_id IS NULL AND NOT agent AS fresh FROM c LEFT JOIN seen s ON s.fact_id = c.target AND s.episode_id = c.episode_id),
+ tot AS (SELECT target, any_value(hit) AS hit, any_value(subject_id) AS subject_id, any_value(predicate) AS predicate, any_value(object_id) AS object_id, any_value(literal) AS literal, count(DISTINCT episode_id) FILTER (WHERE fresh) + count(*) FILTER (WHERE episode_id IS NULL) AS n,
+   max(CASE WHEN kind = 'asserted' AND (episode_id IS NULL OR NOT agent) THEN 1 ELSE 0 END) AS own, max(CASE tier WHEN 'public' THEN 0 WHEN 'personal' THEN 1 WHEN 'private' THEN 2 ELSE 3 END) AS rank FROM kinds GROUP BY target)
+"""
+
+
+def _claims_in(g):
+    k = F.regexp_extract("fact_id", r"(\d+)", 1).cast("bigint")
+    literal = k % 13 == 0
+    base = g.fact.withColumns({"object_id": F.when(~literal, F.col("object_id")), "object_value": F.when(literal, F.concat(F.lit("v"), k % 3))})
+    episode_id = F.when(k % 3 == 0, None).when(k % 3 == 1, k % 1000).otherwise(k + 1_000_000)
+    said = base.where((k % 10).isin(1, 6)).select(
+        "subject_id", "predicate", "object_id", F.when(k % 4 != 1, F.col("object_value")).alias("object_value"), F.lit("positive").alias("polarity"), "statement", episode_id.alias("episode_id"), "confidence", F.lit("llm").alias("extractor"), F.col("ingested_at").alias("at")
+    )
+    episode = g.episode.withColumn("source", F.when(F.col("episode_id") % 7 == 0, "agent:x").otherwise(F.col("source")))
+    return base, said, episode
+
+
+@query("fct1_assert", _ASSERT + f"""SELECT b.subject_id, b.predicate, b.object_id, b.object_value, b.polarity, (b.observations + coalesce(t.n, 0))::INT AS observations, ['public', 'personal', 'private', 'secret'][greatest(coalesce(t.rank, 0), {_TIER.format(c="b.sensitivity")}) + 1] AS sensitivity FROM base b LEFT JOIN tot t ON t.hit = b.fact_id
+ UNION ALL SELECT subject_id, predicate, object_id, literal, 'positive', (1 + n - own)::INT, ['public', 'personal', 'private', 'secret'][rank + 1] FROM tot WHERE hit IS NULL""", "fact", "observation", "episode")
+def _(g):
+    base, said, episode = _claims_in(g)
+    return facts.assert_facts(base, said, episode, g.observation).select("subject_id", "predicate", "object_id", "object_value", "polarity", "observations", "sensitivity")
+
+
+@query("fct2_observations", _ASSERT + "SELECT hit AS fact_id, kind, episode_id, strftime(said_at, '%Y-%m-%d %H:%M:%S') AS observed_at FROM kinds", "fact", "observation", "episode")
 def _(g):
-    key = F.regexp_extract("fact_id", r"(\d+)", 1).cast("bigint")
-    said = g.fact.where(key % 10 == 1).select("subject_id", "predicate", "object_id", F.lit("positive").alias("polarity"), "statement", (key + 1_000_000).alias("episode_id"), "confidence", "sensitivity", F.lit("user").alias("extractor"), F.col("ingested_at").alias("at"))
-    return facts.assert_facts(g.fact, said).select("subject_id", "predicate", "object_id", "observations")
+    base, said, episode = _claims_in(g)
+    out = facts.observations_of(base, said, episode).join(base.select("fact_id", F.lit(True).alias("old")), "fact_id", "left")
+    return shown(out.withColumn("fact_id", F.when(F.col("old"), F.col("fact_id"))), "fact_id", "kind", "episode_id", "observed_at")
 
 
 @query("fn20_wilson", "SELECT k, round((k / 30.0::DOUBLE + 3.8416 / 60 - 1.96 * sqrt(k / 30.0::DOUBLE * (1 - k / 30.0::DOUBLE) / 30 + 3.8416 / 3600)) / (1 + 3.8416 / 30), 6) AS low FROM range(1, 31) t(k)")

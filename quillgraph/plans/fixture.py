@@ -35,7 +35,7 @@ SELECT DISTINCT l_orderkey AS episode_id, concat('p', l_partkey) AS node_id FROM
     "fact": """
 SELECT concat('fo', o_orderkey) AS fact_id, concat('c', o_custkey) AS subject_id,
   CASE o_orderkey % 5 WHEN 0 THEN 'works_at' WHEN 1 THEN 'reports_to' WHEN 2 THEN 'has_role' WHEN 3 THEN 'knows' ELSE 'located_in' END AS predicate,
-  CASE o_orderkey % 5 WHEN 3 THEN concat('c', (o_custkey * 13 + o_orderkey) % 100) WHEN 4 THEN concat('n', o_orderkey % 25) ELSE concat('s', o_orderkey % 10) END AS object_id,
+  CASE o_orderkey % 5 WHEN 3 THEN concat('c', (o_custkey * 13 + o_orderkey) % 100) WHEN 4 THEN concat('n', o_orderkey % 25) ELSE concat('s', o_orderkey % 10) END AS object_id, CAST(NULL AS STRING) AS object_value,
   concat('claim ', o_orderpriority, ' by ', o_custkey) AS statement, o_orderdate AS valid_from,
   CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 90 DAY END AS valid_to,
   o_orderdate AS ingested_at, CASE WHEN o_orderstatus = 'P' THEN o_orderdate + INTERVAL 10 DAY END AS invalidated_at,

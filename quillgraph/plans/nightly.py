@@ -28,7 +28,7 @@ def nightly(tables: dict[str, DataFrame], as_of: Column, half_lives: DataFrame)
         "structural": link.link_structural(connected, connected),
         "rules": link.run_rules(t["fact"], resolved_candidates(t["candidate"], names)),
         "duplicates": facts.duplicate_facts(t["fact"]),
-        "verdicts": facts.verdicts(t["fact"], t["observation"], aggregates.stale_facts(t["fact"], t["observation"], t["episode"], half_lives, as_of), aggregates.live_contradictions(t["fact"])),
+        "verdicts": facts.verdicts(t["fact"], t["observation"], t["episode"], t["nodes"], mention, aggregates.stale_facts(t["fact"], t["observation"], t["episode"], half_lives, as_of)),
         "digest": facts.memory_digest(t["fact"]),
         "alerts": alerts(aggregates.health(t["episode"], t["nodes"], mention, t["fact"], t["candidate"], t["vector"])),
     }

@@ -10,7 +10,7 @@ ALIAS = "node_id string, alias string"
 IDENTIFIER = "node_id string, kind string, value string"
 MENTION = "episode_id bigint, node_id string, extractor string, confidence double"
 FACT = (
-    "fact_id string, subject_id string, predicate string, object_id string, statement string, valid_from timestamp_ntz, valid_to timestamp_ntz,"
+    "fact_id string, subject_id string, predicate string, object_id string, object_value string, statement string, valid_from timestamp_ntz, valid_to timestamp_ntz,"
     " ingested_at timestamp_ntz, invalidated_at timestamp_ntz, confidence double, polarity string, sensitivity string, extractor string, observations int, episode_id bigint"
 )
 OBSERVATION = "fact_id string, observation_id bigint, kind string, method string, episode_id bigint, observed_at timestamp_ntz, confidence double"

@@ -12,12 +12,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can reach.
 
     A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (tests, a
-    single machine) a temporary folder is chosen, and set for later calls.
+    single machine) a temporary folder is chosen, and set for later calls; with executors elsewhere that is
+    an error, as each would write to a disk of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='quillgraph-')}")
     return context.getCheckpointDir().rstrip("/")

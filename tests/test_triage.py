@@ -32,7 +32,7 @@ def candidates(spark):
 
 def test_lanes(spark):
     def live(i, p, o, s):
-        return (i, "a", p, o, s, T, None, T, None, 0.5, "positive", "public", "user", 1, 1)
+        return (i, "a", p, o, None, s, T, None, T, None, 0.5, "positive", "public", "user", 1, 1)
 
     fact = spark.createDataFrame([live("f1", "knows", "b", "old"), live("f2", "works_at", "o1", "at o1")], schema.FACT)
     resolved = spark.createDataFrame([("Ann", "a")], "subject string, node_id string")
@@ -70,10 +70,53 @@ def test_a_twin_survives_the_next_pass(spark):
 
 
 def test_corrections(spark):
-    fact = spark.createDataFrame([("f1", "a", "knows", "b", "Ann lives in Rome", T, None, T, None, 0.5, "positive", "public", "user", 1, 1)], schema.FACT)
-    episode = spark.createDataFrame([(1, '{"corrections": [{"wrong": "in rome", "right": "in Oslo"}, {"fact_uid": "f1"}, {"wrong": "in Paris"}]}'), (2, None)], "episode_id bigint, meta string")
-    got = sorted((r.action, r.fact_id or "") for r in triage.apply_corrections(facts.corrections(episode), fact).collect())
-    assert got == [("replace", "f1"), ("retract", "f1"), ("unresolved", "")]
+    def fact(i, statement, closed=None, extractor="llm", subject="a"):
+        return (i, subject, "lives_in", "b", None, statement, T, closed, T, closed, 0.5, "positive", "public", extractor, 1, 1)
+
+    rows = [fact("f1", "Ann lives in Rome"), fact("f2", "Old news", T), fact("f3", "twice"), fact("f4", "Twice", subject="c"), fact("f5", "peer"), fact("f6", "other class", extractor="user"), fact("f7", "by id")]
+    table = spark.createDataFrame(rows, schema.FACT)
+    meta = (
+        '{"corrections": [{"wrong": " ann LIVES in rome", "right": "Ann lives in Oslo"}, {"fact_uid": "f7"}, {"wrong": "in Paris", "about": "Bo"}, {"wrong": "old news"}, {"fact_uid": "f2"}, {"fact_uid": "f99"},'
+        ' {"wrong": "twice"}, {"wrong": "twice", "about": "Cy", "right": "once"}]}'
+    )
+    episode = spark.createDataFrame([(1, meta), (2, None)], "episode_id bigint, meta string")
+    about = spark.createDataFrame([("cy", "c")], "about string, node_id string")
+    targets = triage.correction_targets(facts.corrections(episode), table, about)
+    got = sorted((r.target, r.fact_id or "", r.wrong or r.fact_uid) for r in targets.collect())
+    assert got == [("closed", "", "f2"), ("closed", "", "old news"), ("live", "f1", " ann LIVES in rome"), ("live", "f4", "twice"), ("live", "f7", "f7"), ("unresolved", "", "f99"), ("unresolved", "", "in Paris"), ("unresolved", "", "twice")]
+    out = {k: v.collect() for k, v in triage.apply_corrections(targets, table, F.lit("2024-02-01").cast("timestamp_ntz")).items()}
+    by = {r.fact_id: r for r in out["fact"]}
+    assert all(by[k].valid_to and by[k].invalidated_at for k in ("f1", "f4", "f7")) and by["f3"].valid_to is None
+    (negation,) = [r for r in out["fact"] if r.polarity == "negative"]
+    assert negation.statement == "It is not the case that: by id" and negation.confidence == 0.95 and negation.object_id == "b"
+    assert sorted(r.fact_id for r in out["observation"]) == ["f1", "f4", "f7"] and {r.kind for r in out["observation"]} == {"corrected"}
+    assert sorted(r.statement for r in out["candidate"])[:2] == ["Ann lives in Oslo", "UNRESOLVED CORRECTION: wrong: f99 | right: (rejection) | about: ?"] and len(out["candidate"]) == 5
+    assert [(r.proposer, r.predicate) for r in out["demotion"]] == [("llm", "lives_in")]
+    assert sorted(r.fact_id for r in out["sweep"]) == ["f3", "f5"]
+
+
+def test_claims_with_literals(spark):
+    """Literals keep facts apart, a missing one fits any, and every sighting is observed."""
+    t = [dt.datetime(2024, 1, k) for k in range(1, 9)]
+
+    def claim(o, v, episode, at, extractor="llm", polarity="positive"):
+        return ("a", "born", o, v, polarity, f"born {v}", episode, 0.6, extractor, at)
+
+    columns = "subject_id string, predicate string, object_id string, object_value string, polarity string, statement string, episode_id bigint, confidence double, extractor string, at timestamp_ntz"
+    episode = spark.createDataFrame([(1, "email", "public"), (2, "email", "private"), (3, "probe:x", "public"), (4, "agent:y", "secret")], "episode_id bigint, source string, sensitivity string")
+    none = spark.createDataFrame([], schema.FACT)
+    first = spark.createDataFrame([claim(None, "1990", 1, t[0]), claim(None, "1991", None, t[1]), claim(None, "1990", 1, t[2]), claim(None, "1990", 2, t[3]), claim(None, "1990", 3, t[4]), claim("x", None, 4, t[5])], columns)
+    fact = facts.assert_facts(none, first, episode)
+    got = {(r.object_id, r.object_value): (r.observations, r.sensitivity, r.episode_id) for r in fact.collect()}
+    assert got == {(None, "1990"): (2, "private", 1), (None, "1991"): (1, "personal", None), ("x", None): (1, "secret", 4)}
+    seen = facts.observations_of(none, first, episode)
+    assert sorted((r.kind, r.episode_id or 0) for r in seen.collect()) == [("asserted", 0), ("asserted", 1), ("asserted", 4), ("corroborated", 1), ("corroborated", 2), ("corroborated", 3)]
+    more = spark.createDataFrame([claim(None, "1991", None, t[6]), claim(None, "1991", None, t[7]), claim(None, None, 2, t[6]), claim("x", "late", 1, t[6]), claim(None, "1990", 5, t[7], polarity="negative")], columns)
+    after = facts.assert_facts(fact, more, episode, seen)
+    got = {(r.object_id, r.object_value, r.polarity): r.observations for r in after.collect()}
+    # the claim without a literal joins the batch's least one, 1991, which episode 2 hadn't said yet
+    assert got == {(None, "1990", "positive"): 2, (None, "1991", "positive"): 4, ("x", None, "positive"): 2, (None, "1990", "negative"): 1}
+    assert facts.assert_facts(none, first.where("false"), episode).count() == 0
 
 
 def test_models_are_injected(spark):
