@@ -7,12 +7,15 @@ Candidate filters come before ranking, so that a hidden or foreign row can't pus
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
+from ..functions.porter import porter
+from ..session import written
 from .aggregates import stale_facts
 from .link import name_hits, rank_within, with_words
 
@@ -20,25 +23,45 @@ RRF_K = 60
 STOP_WORDS = tuple("about and did does for from has have how last many meet month much said say tell that the this time today told was week were what when who with year yesterday".split())
 
 
-def postings(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(id, term, tf, dl) of `docs` (id, text); dl counts all words, terms those of more than two bytes."""
+@dataclass(frozen=True)
+class Index:
+    """A written full-text index: postings (term, id, tf, dl) sorted by term, and one row of totals."""
+
+    postings: DataFrame
+    totals: DataFrame
+    stemmed: bool
+
+
+def _words(docs: DataFrame, text: str, stemmed: bool) -> DataFrame:
     words = with_words(docs.select("id", text), text).select("id", F.filter("words", lambda w: w != "").alias("words"))
-    each = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    return each.where(F.octet_length("term") > 2).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return words.select("id", porter(F.col("words")).alias("words")) if stemmed else words
+
+
+def postings(docs: DataFrame, text: str = "text", stemmed: bool = False) -> DataFrame:
+    """(term, id, tf, dl) of `docs` (id, text); dl counts all of a document's words, stemmed by Porter's rules or not."""
+    each = _words(docs, text, stemmed).select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    return each.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, text: str = "text") -> DataFrame:
-    """(query_id, id, score, rank): best k of `docs` for each of `queries` (query_id, text).
+def build_index(docs: DataFrame, text: str = "text", stemmed: bool = True) -> Index:
+    """Split and count the texts once, and keep the result in the shared folder.
 
-    The terms of the queries are joined to the postings before the counts by document, so that
-    only those postings are counted; of the whole corpus one row of totals is needed.
+    Rows are clustered by term, so that a search reads the row groups of its terms only.
     """
-    words = with_words(docs.select("id", text), text).select("id", F.filter("words", lambda w: w != "").alias("words"))
-    totals = words.agg(F.count("*").cast("double").alias("n_docs"), F.avg(F.size("words")).alias("avg_dl"))
-    terms = queries.select("query_id", F.explode(F.array_distinct(fn.query_terms(F.col("text")))).alias("term"))
-    wanted = terms.select("term").distinct()
-    hits = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(wanted, "term", "left_semi")
-    counted = hits.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    kept = written(postings(docs, text, stemmed).repartition("term").sortWithinPartitions("term", "id"), "postings")
+    n_docs = docs.agg(F.count("*").cast("double").alias("n_docs"))
+    totals = written(kept.agg(F.sum("tf").cast("double").alias("n_words")).crossJoin(F.broadcast(n_docs)).select("n_docs", (F.col("n_words") / F.col("n_docs")).alias("avg_dl")), "postings-totals")  # one row
+    return Index(kept, totals, stemmed)
+
+
+def _query_terms(queries: DataFrame, stemmed: bool) -> DataFrame:
+    terms = queries.select("query_id", F.explode(F.array(fn.query_terms(F.col("text")))).alias("terms"))
+    if stemmed:
+        terms = terms.select("query_id", porter(F.col("terms")).alias("terms"))
+    return terms.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+
+
+def _ranked(terms: DataFrame, counted: DataFrame, totals: DataFrame, k: int) -> DataFrame:
     df = counted.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     weighted = counted.join(df, "term").crossJoin(F.broadcast(totals))  # one row
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
@@ -47,14 +70,47 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, text: str = "text") -> Dat
     return rank_within(scores, ["query_id"], [F.desc(F.round("score", 9)), F.col("id")], k)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): best k for each of `queries` (query_id, text), from the postings of their terms."""
+    terms = _query_terms(queries, index.stemmed)
+    return _ranked(terms, index.postings.join(terms.select("term").distinct(), "term", "left_semi"), index.totals, k)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int, text: str = "text", stemmed: bool = True) -> DataFrame:
+    """:func:`search` in `docs` without an index: only the queries' terms are counted, and one row of totals."""
+    words = _words(docs, text, stemmed)
+    totals = words.agg(F.count("*").cast("double").alias("n_docs"), F.avg(F.size("words")).alias("avg_dl"))
+    terms = _query_terms(queries, stemmed)
+    hits = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    return _ranked(terms, hits.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), totals, k)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """(query_id, id, distance, rank): exact nearest k of `vectors` (id, embedding) for each query (query_id, qv).
 
-    Each partition of vectors keeps the best k of each query before the shuffle.
+    Vectors and queries are cut into blocks of about `block` rows, and each pair of blocks is one product
+    of matrices; of each the nearest k (and some more, as the product rounds) have their distance computed
+    from the differences, and the best of all blocks are ranked.
     """
-    both = vectors.crossJoin(queries)
-    scored = both.select("query_id", "id", fn.l2_distance(F.col("embedding"), F.col("qv")).alias("distance"))
-    return rank_within(scored, ["query_id"], [F.round("distance", 9), F.col("id")], k)
+    names = [vectors.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()]
+    n_left, n_right = (max(1, -(-n // block)) for n in (vectors.count(), queries.count()))
+    left = vectors.select(F.pmod(F.xxhash64("id"), F.lit(n_left)).alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("qb"), "id", F.col("embedding").cast("array<double>").alias("v"))
+    right = queries.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_left - 1).cast("bigint"))).alias("vb"), F.pmod(F.xxhash64("query_id"), F.lit(n_right)).cast("int").alias("qb"), "query_id", F.col("qv").cast("array<double>").alias("v"))
+
+    def best(a, b):
+        import numpy as np
+        import pandas as pd
+
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": b["query_id"][:0], "id": a["id"][:0], "distance": []})
+        x, y, n = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy()), min(k + 8, len(a))
+        square = (y * y).sum(1)[:, None] + (x * x).sum(1) - 2 * y @ x.T
+        near = np.argpartition(square, n - 1, 1)[:, :n]
+        distance = np.sqrt(((x[near] - y[:, None, :]) ** 2).sum(2))
+        return pd.DataFrame({"query_id": b["query_id"].to_numpy().repeat(n), "id": a["id"].to_numpy()[near.ravel()], "distance": distance.ravel()})
+
+    pairs = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(best, f"query_id {names[1]}, id {names[0]}, distance double")
+    return rank_within(pairs, ["query_id"], [F.round("distance", 9), F.col("id")], k)
 
 
 def fuse(lexical: DataFrame, vector: DataFrame, k: int) -> DataFrame:
@@ -83,12 +139,12 @@ def candidates(episode: DataFrame, mention: DataFrame | None = None, entity: str
     return out
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame | None, queries: DataFrame, query_vectors: DataFrame | None, k: int) -> DataFrame:
+def hybrid(docs: DataFrame, vectors: DataFrame | None, queries: DataFrame, query_vectors: DataFrame | None, k: int, stemmed: bool = True) -> DataFrame:
     """Best k of `docs` (id, text) for each query by fusion of both arms' best 3k, cut to 2k, then k.
 
     Without vectors or query vectors the lexical arm stands alone.
     """
-    lexical = bm25(docs, queries, 3 * k)
+    lexical = bm25(docs, queries, 3 * k, stemmed=stemmed)
     if vectors is None or query_vectors is None:
         vector = lexical.where("false").select("query_id", "id", "rank")
     else:
@@ -96,12 +152,12 @@ def hybrid(docs: DataFrame, vectors: DataFrame | None, queries: DataFrame, query
     return fuse(lexical, vector, 2 * k).where(F.col("rank") <= k)
 
 
-def hybrid_facts(fact: DataFrame, queries: DataFrame, k: int, include_private: bool = False) -> DataFrame:
-    """Live facts of both polarities by their statements; no filter but sensitivity."""
+def hybrid_facts(fact: DataFrame, queries: DataFrame, k: int, include_private: bool = False, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None) -> DataFrame:
+    """Live facts of both polarities by their statements and, with `vectors` (id, embedding), by these; no filter but sensitivity."""
     live = fact.where(fn.is_live())
     if not include_private:
         live = live.where(F.col("sensitivity").isin(*fn.SHOWN))
-    return hybrid(live.select(F.col("fact_id").alias("id"), F.col("statement").alias("text")), None, queries, None, k)
+    return hybrid(live.select(F.col("fact_id").alias("id"), F.col("statement").alias("text")), vectors, queries, query_vectors, k)
 
 
 def detect_entities(queries: DataFrame, names: DataFrame, longest: int = 5) -> DataFrame:

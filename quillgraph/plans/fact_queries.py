@@ -12,12 +12,12 @@ from .registry import query
 
 _BM25 = r"""WITH docs AS (SELECT doc_id AS id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS words FROM documents),
  w AS (SELECT id, unnest(words) AS term, len(words) AS dl FROM docs), tot AS (SELECT count(*)::DOUBLE AS n_docs, avg(len(words)) AS avg_dl FROM docs),
- q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: octet_length(encode(x)) > 2)) AS term FROM benchmark WHERE item_id < 8),
+ q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: octet_length(encode(x)) > 2)) AS term FROM benchmark),
  c AS (SELECT term, id, count(*) AS tf, any_value(dl) AS dl FROM w WHERE term IN (SELECT term FROM q) GROUP BY ALL), d AS (SELECT term, count(*)::DOUBLE AS df FROM c GROUP BY term),
  s AS (SELECT query_id, id, sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))) AS score FROM q JOIN c USING (term) JOIN d USING (term), tot GROUP BY ALL),
  lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s)
 """
-_VEC = """, qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id < 8),
+_VEC = """, qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings),
  v AS (SELECT query_id, vec_id AS id, sqrt(list_sum(list_transform(list_zip(embedding::DOUBLE[], qv), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS distance FROM embeddings, qv),
  vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank FROM v)
 """
@@ -28,11 +28,11 @@ def _docs(g):
 
 
 def _queries(g):
-    return g.benchmark.where("item_id < 8").select(F.col("item_id").alias("query_id"), "text")
+    return g.benchmark.select(F.col("item_id").alias("query_id"), "text")
 
 
 def _query_vectors(g):
-    return g.embeddings.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    return g.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
 
 
 def _vectors(g):
@@ -41,7 +41,12 @@ def _vectors(g):
 
 @query("ret2_bm25", _BM25 + "SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM lex WHERE rank <= 10")
 def _(g):
-    return shown(retrieval.bm25(_docs(g), _queries(g), 10))
+    return shown(retrieval.search(retrieval.build_index(_docs(g), stemmed=False), _queries(g), 10))
+
+
+@query("ret2_stemmed", None)
+def _(g):
+    return shown(retrieval.search(retrieval.build_index(_docs(g)), _queries(g), 10))
 
 
 @query("ret3_nearest", "WITH x AS (SELECT 1)" + _VEC + "SELECT query_id, id, round(distance, 6) AS distance, rank::INT AS rank FROM vec WHERE rank <= 10")
@@ -53,7 +58,7 @@ def _(g):
  fused AS (SELECT query_id, id, sum(1 / (60 + rank::DOUBLE)) AS score, CASE WHEN count(DISTINCT arm) = 2 THEN 'both' ELSE max(arm) END AS via FROM arms GROUP BY ALL)
  SELECT query_id, id, round(score, 6) AS score, via, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM fused) WHERE rank <= 10""")
 def _(g):
-    return shown(retrieval.hybrid(_docs(g), _vectors(g), _queries(g), _query_vectors(g), 10))
+    return shown(retrieval.hybrid(_docs(g), _vectors(g), _queries(g), _query_vectors(g), 10, stemmed=False))
 
 
 @query("ret5_candidates", "SELECT episode_id FROM episode WHERE sensitivity IN ('public', 'personal') AND (source LIKE 'email%' OR source LIKE 'bee%') AND episode_id IN (SELECT episode_id FROM mention WHERE node_id = 'c3')", "episode", "mention")
