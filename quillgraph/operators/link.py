@@ -142,15 +142,25 @@ def interval_overlaps(left: DataFrame, right: DataFrame, bin_seconds: int = 3600
     return both.select("l_id", "r_id", cover.alias("coverage"))
 
 
-def link_temporal(episode: DataFrame, mention: DataFrame, least: float = 0.25) -> DataFrame:
-    """(episode_id, node_id, confidence): recordings linked to the attendees of an event that they cover."""
+#: Extractors of the people that an event was sent to.
+INVITED = ("attendee", "deterministic")
+
+
+def link_temporal(episode: DataFrame, mention: DataFrame, nodes: DataFrame, least: float = 0.25) -> DataFrame:
+    """(episode_id, node_id, extractor, confidence): recordings linked to the people of an event that they cover.
+
+    Those invited get 0.35 and more; those that only the event's text names, and who weren't invited to
+    it, 0.20 and more, always less: a name in a title says that it was about someone, not with them.
+    """
     span = [F.col("episode_id").alias("id"), F.col("occurred_at").alias("start"), F.col("occurred_end").alias("end")]
     events = episode.where("source = 'calendar.event' AND occurred_end IS NOT NULL").select(*span)
     talks = episode.where("source = 'bee.conversation' AND occurred_end IS NOT NULL").select(*span)
     pairs = interval_overlaps(events, talks).where(F.col("coverage") >= least)
-    attendees = mention.select(F.col("episode_id").alias("l_id"), "node_id").distinct()
-    linked = pairs.join(attendees, "l_id").groupBy(F.col("r_id").alias("episode_id"), "node_id").agg(F.max("coverage").alias("w"))
-    return linked.select("episode_id", "node_id", (0.35 + 0.4 * F.col("w")).alias("confidence"))
+    people = mention.where(F.col("extractor").isin(*INVITED, "alias")).join(nodes.where("node_type = 'person'").select("node_id"), "node_id", "left_semi")
+    people = people.groupBy(F.col("episode_id").alias("l_id"), "node_id").agg(F.max(F.col("extractor") != "alias").alias("invited"))
+    linked = pairs.join(people, "l_id").groupBy(F.col("r_id").alias("episode_id"), "node_id").agg(F.max(F.struct("invited", "coverage")).alias("best"))
+    invited, w = F.col("best.invited"), F.col("best.coverage")
+    return linked.select("episode_id", "node_id", F.when(invited, "temporal_join").otherwise("temporal_title").alias("extractor"), F.when(invited, 0.35 + 0.4 * w).otherwise(0.20 + 0.25 * w).alias("confidence"))
 
 
 def temporal_report(episode: DataFrame, least: float = 0.25) -> DataFrame:

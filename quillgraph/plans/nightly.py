@@ -18,7 +18,7 @@ def nightly(tables: dict[str, DataFrame], as_of: Column, half_lives: DataFrame)
     names = aggregates.unique_names(t["nodes"], t["alias"].union(link_first_names(t["nodes"])).distinct())
     found = written(link.alias_scan(t["episode"], names), "nightly-alias")
     mention = written(link.relink(t["mention"], found), "nightly-mention")
-    temporal = link.link_temporal(t["episode"], mention).select("episode_id", "node_id", F.lit("temporal").alias("extractor"), "confidence")
+    temporal = link.link_temporal(t["episode"], mention, t["nodes"])
     mention = written(ingest.add_mentions(mention, temporal), "nightly-mention")
     connected = link.live_pairs(t["fact"])
     return {

@@ -20,10 +20,13 @@ TOMBSTONE = "source string, source_id string"
 ANNOTATION = "episode_id bigint, kind string, body string"
 VECTOR = "episode_id bigint, embedding array<float>"
 CURSOR = "source string, cursor timestamp_ntz, items_seen bigint"
+RAW = "episode_id bigint, content string"
+CONTEXT = "node_id string, instruction string, summary string, summary_at timestamp_ntz, summary_stale boolean"
+LOG = "kind string, subject string, payload string, at timestamp_ntz"
 TASK = "node_id string, name string, status string, due_at date, project_id string, created bigint"
 TABLES = {
     "episode": EPISODE, "nodes": NODE, "alias": ALIAS, "identifier": IDENTIFIER, "mention": MENTION, "fact": FACT, "observation": OBSERVATION, "candidate": CANDIDATE,
-    "verdict": VERDICT, "tombstone": TOMBSTONE, "annotation": ANNOTATION, "vector": VECTOR, "cursor": CURSOR, "task": TASK,
+    "verdict": VERDICT, "tombstone": TOMBSTONE, "annotation": ANNOTATION, "vector": VECTOR, "cursor": CURSOR, "task": TASK, "raw": RAW, "context": CONTEXT, "log": LOG,
 }
 NODE_TYPES = ("artifact", "document", "event", "goal", "org", "person", "place", "project", "series", "task", "tool", "topic")
 OBSERVATION_KINDS = ("asserted", "corrected", "corroborated", "disputed", "verified")
