@@ -217,3 +217,24 @@ def best_label(name: Column, longest_alias: Column) -> Column:
 
 
 LN2 = math.log(2)
+
+
+_VERBS = "is are was were has have had will would should can could may might must does do did needs went goes comes came includes involves requires remains became becomes seems appears gets got".split()
+_PRONOUNS = "he she they it we i you there this that these those someone somebody everyone".split()
+
+
+def subject_phrase(text: Column) -> Column:
+    """The one to four words before a statement's first verb, without an article; null where it begins with a pronoun or no verb follows."""
+    words = F.split(F.trim(text), r"\s+")
+    words = F.when(F.lower(F.get(words, F.lit(0))).isin("the", "a", "an"), F.slice(words, 2, 100_000)).otherwise(words)
+    bare = F.transform(F.slice(words, 1, 5), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}'-]", ""))
+    verb = F.array_position(F.transform(bare, lambda w: F.lower(w).isin(*_VERBS)), True)
+    phrase = F.slice(bare, F.lit(1), F.greatest(F.lit(0), verb - 1).cast("int"))
+    fits = (verb > 1) & ~F.lower(F.get(bare, F.lit(0))).isin(*_PRONOUNS) & ~F.array_contains(phrase, "")
+    return F.when(fits & (F.octet_length(F.array_join(phrase, " ")) >= 3), F.array_join(phrase, " "))
+
+
+def json_set(doc: Column, key: str, value: Column) -> Column:
+    """A JSON object of strings with one key set; a text that isn't an object counts as an empty one."""
+    old = F.coalesce(F.from_json(doc, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return F.to_json(F.map_concat(F.map_filter(old, lambda k, v: k != F.lit(key)), F.create_map(F.lit(key), value.cast("string"))))

@@ -35,6 +35,40 @@ def extract(episode: DataFrame, done: DataFrame, version: str, model: Callable[[
     return some.mapInPandas(run, CLAIM)
 
 
+#: What a model is asked for: claims as JSON, of known kinds, each with the words that it rests on.
+EXTRACTION_SCHEMA = {
+    "type": "object",
+    "required": ["claims"],
+    "properties": {
+        "claims": {
+            "type": "array",
+            "items": {
+                "type": "object",
+                "required": ["kind", "subject", "predicate", "statement", "confidence"],
+                "properties": {
+                    "kind": {"enum": ["fact", "commitment"]}, "subject": {"type": "string"}, "predicate": {"type": "string"}, "object": {"type": ["string", "null"]},
+                    "statement": {"type": "string"}, "confidence": {"type": "number", "minimum": 0, "maximum": 1},
+                },
+            },
+        }
+    },
+}
+
+
+def system_prompt(predicates: list[str]) -> str:
+    """Instructions for a model that reads one episode."""
+    return (
+        "Read the text and list the lasting facts and the promises that it states. Use only what it says. Name people as it does. "
+        f"Prefer these predicates: {', '.join(sorted(predicates))}. Leave out small talk and what was merely mentioned. Answer with JSON of the given schema."
+    )
+
+
+def reextract(episode: DataFrame, episode_id: int, model: Callable[[list[str]], list[list[dict]]]) -> DataFrame:
+    """Claims of one episode, whatever has been read before."""
+    one = episode.where(F.col("episode_id") == episode_id)
+    return extract(one, one.where("false").select("episode_id", F.lit("").alias("version")), "", model, 1)
+
+
 def hash_embedder(width: int = 64) -> Callable[[list[str]], list[list[float]]]:
     """An embedder for tests: signed word hashes, of length 1."""
 
@@ -52,24 +86,29 @@ def hash_embedder(width: int = 64) -> Callable[[list[str]], list[list[float]]]:
     return embed
 
 
-def embed_pending(table: DataFrame, done: DataFrame, key: str, text: str, model: Callable[[list[str]], list[list[float]]], most_chars: int = 8_000) -> DataFrame:
-    """(key, embedding) of rows without one.  A batch that the model refuses is halved, down to single texts, which are cut in half."""
+def embed_pending(table: DataFrame, done: DataFrame, key: str, text: str, model: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """(key, embedding, error) of rows without one, each text whole.
+
+    A batch that the model refuses is halved, down to single texts; a text that it refuses by itself has
+    no embedding and the model's error, so that nothing is embedded but in part.
+    """
 
-    def safely(texts: list[str]) -> list[list[float] | None]:
+    def safely(texts: list[str]) -> list[tuple[list[float] | None, str | None]]:
         try:
-            return model(texts)
-        except ValueError:
+            return [(v, None) for v in model(texts)]
+        except ValueError as e:
             if len(texts) > 1:
                 mid = len(texts) // 2
                 return safely(texts[:mid]) + safely(texts[mid:])
-            return safely([texts[0][: len(texts[0]) // 2]]) if len(texts[0]) > 1 else [None]
+            return [(None, str(e) or type(e).__name__)]
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({key: batch[key], "embedding": safely([t[:most_chars] for t in batch[text].fillna("")])})
+            found = safely(batch[text].fillna("").tolist()) if len(batch) else []
+            yield pd.DataFrame({key: batch[key], "embedding": pd.Series([v for v, _ in found], batch.index, object), "error": pd.Series([e for _, e in found], batch.index, object)})
 
     kind = table.schema[key].dataType.simpleString()
-    return table.join(done.select(key), key, "left_anti").select(key, text).mapInPandas(run, f"`{key}` {kind}, embedding array<float>")
+    return table.join(done.select(key), key, "left_anti").select(key, text).mapInPandas(run, f"`{key}` {kind}, embedding array<float>, error string")
 
 
 def summary_evidence(stale: DataFrame, mention: DataFrame, episode: DataFrame, fact: DataFrame, facts_each: int = 15, snippets_each: int = 8) -> DataFrame:

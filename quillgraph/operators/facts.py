@@ -123,6 +123,15 @@ def confidences(fact: DataFrame, observation: DataFrame, candidate_rates: DataFr
     return f.select("fact_id", fn.posterior_mean(alpha, beta, s, F.coalesce("disputes", F.lit(0))).alias("posterior"))
 
 
+def fact_by_id(fact: DataFrame, fact_id: str) -> DataFrame:
+    return fact.where(F.col("fact_id") == fact_id)
+
+
+def user_verified(observation: DataFrame) -> DataFrame:
+    """(fact_id) of the facts that the user verified."""
+    return observation.where("kind = 'verified' AND method = 'user'").select("fact_id").distinct()
+
+
 def facts_for_node(fact: DataFrame, node_id: str) -> DataFrame:
     return fact.where((F.col("subject_id") == node_id) | (F.col("object_id") == node_id)).where(fn.is_live())
 
@@ -281,7 +290,7 @@ def queue_duplicates(candidate: DataFrame) -> DataFrame:
     return candidate.where("status = 'proposed'").select("candidate_id", F.row_number().over(w).alias("rank"))
 
 
-def pending(candidate: DataFrame, k: int, proposer: str | None = None, predicate: str | None = None, least: float | None = None, text: str | None = None) -> DataFrame:
+def pending(candidate: DataFrame, k: int, proposer: str | None = None, predicate: str | None = None, least: float | None = None, text: str | None = None, most: float | None = None) -> DataFrame:
     out = candidate.where("status = 'proposed'")
     if proposer is not None:
         out = out.where(F.contains("proposer", F.lit(proposer)))
@@ -289,6 +298,8 @@ def pending(candidate: DataFrame, k: int, proposer: str | None = None, predicate
         out = out.where(F.col("predicate") == predicate)
     if least is not None:
         out = out.where(F.col("confidence") >= least)
+    if most is not None:
+        out = out.where(F.col("confidence") <= most)
     if text is not None:
         out = out.where(F.contains(F.lower("statement"), F.lit(text.lower())))
     return out.orderBy(F.desc("confidence"), F.desc("candidate_id")).limit(k)
@@ -348,8 +359,13 @@ def stalled_projects(projects: DataFrame, mention: DataFrame, episode: DataFrame
     return projects.join(recent.select("node_id").distinct(), "node_id", "left_anti")
 
 
-def memory_digest(fact: DataFrame, k: int = 20) -> DataFrame:
-    """The most salient live positive facts that may be shown."""
+def memory_digest(fact: DataFrame, k: int = 20, budget: int | None = None) -> DataFrame:
+    """The most salient live positive facts that may be shown, those within a token budget where there is one."""
     live = fact.where(fn.is_live() & (F.col("polarity") == "positive") & F.col("sensitivity").isin(*fn.SHOWN))
     salience = F.col("confidence") * (1 + 0.1 * F.least("observations", F.lit(10)))
-    return live.withColumn("salience", salience).orderBy(F.desc(F.round("salience", 9)), "fact_id").limit(k).select("fact_id", "statement", "salience")
+    order = [F.desc(F.round("salience", 9)), F.col("fact_id")]
+    top = live.withColumn("salience", salience).orderBy(*order).limit(k).select("fact_id", "statement", "salience")
+    if budget is None:
+        return top
+    spent = F.sum(fn.estimate_tokens(F.col("statement"))).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # at most k rows
+    return top.withColumn("_spent", spent).where(F.col("_spent") <= budget).drop("_spent")

@@ -33,6 +33,22 @@ def apply_upsert(old: DataFrame, outcomes: DataFrame) -> DataFrame:
     return old.join(delta.select(*key), key, "left_anti").unionByName(delta.select(*old.columns))
 
 
+def lift_tombstones(tombstone: DataFrame, ids: DataFrame) -> DataFrame:
+    """`tombstone` without those of `ids` (source, source_id), which the next run reads again."""
+    return tombstone.join(ids.select("source", "source_id").distinct(), ["source", "source_id"], "left_anti")
+
+
+def list_tombstones(tombstone: DataFrame, source: str | None = None) -> DataFrame:
+    return (tombstone if source is None else tombstone.where(F.col("source") == source)).orderBy("source", "source_id")
+
+
+def store_enrichment(old: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Enrichments (episode_id, kind, version, content): one of an episode and kind, the last of `incoming` by version."""
+    key = ["episode_id", "kind"]
+    new = incoming.groupBy(*key).agg(F.max(F.struct("version", "content")).alias("e")).select(*key, "e.version", "e.content")
+    return old.join(new.select(*key), key, "left_anti").unionByName(new.select(*old.columns))
+
+
 def stale_derivatives(outcomes: DataFrame, derived: DataFrame) -> DataFrame:
     """Rows of vectors or enrichments whose episode changed and which must be made anew."""
     changed = outcomes.where("outcome = 'updated'").select("source", "source_id")

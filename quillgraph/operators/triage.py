@@ -110,14 +110,78 @@ def bumped(fact: DataFrame, lanes: DataFrame) -> DataFrame:
     return fact.join(n, "fact_id", "left").withColumn("observations", (F.col("observations") + F.coalesce("_n", F.lit(0))).cast("int")).select(*fact.columns)
 
 
+def propose(candidate: DataFrame, incoming: DataFrame, at: Column) -> DataFrame:
+    """`candidate` with `incoming` (proposer, predicate, subject, statement, confidence, ...) pending.
+
+    Missing columns are null; the identifier is a hash of the claim, its proposer and its episode, so
+    that proposing twice changes nothing.
+    """
+    have = set(incoming.columns)
+    columns = {c: F.col(c) if c in have else F.lit(None) for c in candidate.columns}
+    claim = [F.coalesce(columns.get(c, F.lit(None)).cast("string"), F.lit("")) for c in ("proposer", "predicate", "subject", "object_id", "object_value", "statement", "episode_id")]
+    made = {"candidate_id": F.xxhash64(*claim), "status": F.lit("proposed"), "kind": F.coalesce(columns.get("kind", F.lit(None)), F.lit("fact")), "created_at": at}
+    rows = incoming.select(*[made.get(c, columns[c]).cast(candidate.schema[c].dataType).alias(c) for c in candidate.columns]).dropDuplicates(["candidate_id"])
+    return candidate.unionByName(rows.join(candidate.select("candidate_id"), "candidate_id", "left_anti").select(*candidate.columns))
+
+
+def update_payload(candidate: DataFrame, change: DataFrame, key: str) -> DataFrame:
+    """`candidate` with `key` of the payload of those in `change` (candidate_id, value) set."""
+    both = candidate.join(change.select("candidate_id", F.col("value").alias("_value")), "candidate_id", "left")
+    return both.withColumn("payload", F.when(F.col("_value").isNotNull(), fn.json_set(F.col("payload"), key, F.col("_value"))).otherwise(F.col("payload"))).select(*candidate.columns)
+
+
+def pending_about(candidate: DataFrame, resolved: DataFrame, node_id: str) -> DataFrame:
+    """Pending candidates whose subject means the node or whose object it is, the surest first."""
+    names = resolved.where(F.col("node_id") == node_id).select(fn.canonicalize(F.col("subject")).alias("_key")).distinct()
+    own = candidate.where("status = 'proposed'").join(names.withColumn("_hit", F.lit(True)), fn.canonicalize(F.col("subject")) == F.col("_key"), "left")
+    return own.where(F.col("_hit") | (F.col("object_id") == node_id)).orderBy(F.desc("confidence"), F.desc("candidate_id")).select(*candidate.columns)
+
+
+def pending_in_class(candidate: DataFrame, proposer: str, predicate: str, k: int) -> DataFrame:
+    """The oldest k pending candidates of a class."""
+    own = candidate.where((F.col("status") == "proposed") & (F.col("proposer") == proposer) & (F.col("predicate") == predicate))
+    return own.orderBy(*(["created_at"] if "created_at" in candidate.columns else []), "candidate_id").limit(k)
+
+
+def headed(candidate: DataFrame, detected: DataFrame, owner_name: str | None = None) -> DataFrame:
+    """Pending candidates without a subject get one, and `marker` says how.
+
+    `detected` is (candidate_id, name, node_type) of entities in the statement: a person, else the least
+    name; else the statement's own noun phrase; else, for facts that a wearable suggests, its owner.
+    """
+    first = detected.groupBy("candidate_id").agg(F.min(F.struct((F.col("node_type") != "person").alias("_p"), F.col("name"))).alias("_d"))
+    both = candidate.join(first, "candidate_id", "left")
+    bare = (F.col("status") == "proposed") & (F.coalesce(F.trim("subject"), F.lit("")) == "")
+    phrase = fn.subject_phrase(F.col("statement"))
+    implied = F.when(F.col("proposer") == "bee:suggested", F.lit(owner_name))
+    marker = F.when(bare, F.when(F.col("_d.name").isNotNull(), "subject_backfilled").when(phrase.isNotNull(), "subject_phrase").when(implied.isNotNull(), "subject_implied"))
+    subject = F.when(bare, F.coalesce(F.col("_d.name"), phrase, implied, "subject")).otherwise(F.col("subject"))
+    return both.select(*[subject.alias("subject") if c == "subject" else F.col(c) for c in candidate.columns], marker.alias("marker"))
+
+
 def accepted_claims(candidate: DataFrame, lanes: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Claims for `facts.assert_facts` of the candidates that are accepted."""
+    """Claims for `facts.assert_facts` of the candidates that are accepted.
+
+    An object that isn't a node is a name: of one node (`resolved` as for subjects) or else a literal.
+    """
     ok = candidate.join(lanes.where("lane = 'accept'").select("candidate_id"), "candidate_id", "left_semi").withColumn("subject_key", fn.canonicalize(F.col("subject")))
     key = resolved.select(fn.canonicalize(F.col("subject")).alias("subject_key"), F.col("node_id").alias("subject_id")).dropDuplicates(["subject_key"])
     both = ok.join(key, "subject_key")
+    value = F.col("object_value") if "object_value" in candidate.columns else F.lit(None).cast("string")
+    both = both.withColumn("_value", value).join(key.select(F.col("subject_key").alias("_name"), F.col("subject_id").alias("_object")), fn.canonicalize(F.col("_value")) == F.col("_name"), "left")
+    object_id = F.coalesce("object_id", "_object")
     return both.select(
-        "subject_id", "predicate", "object_id", F.lit("positive").alias("polarity"), "statement", "episode_id", "confidence", F.lit("personal").alias("sensitivity"), F.col("proposer").alias("extractor"), F.col("created_at").alias("at")
-    )
+        "subject_id", "predicate", object_id.alias("object_id"), F.when(object_id.isNull(), F.col("_value")).alias("object_value"), F.lit("positive").alias("polarity"), "statement", "episode_id", "confidence",
+        F.lit("personal").alias("sensitivity"), F.col("proposer").alias("extractor"), F.col("created_at").alias("at"),
+    )
+
+
+def record_verdicts(verdict: DataFrame, incoming: DataFrame) -> DataFrame:
+    """`verdict` with `incoming` (candidate_id, mechanism, verdict, basis) open; one of a mechanism replaces its last open one."""
+    key = ["candidate_id", "mechanism"]
+    new = incoming.groupBy(*key).agg(F.max(F.struct("verdict", "basis")).alias("v")).select(*key, "v.verdict", "v.basis", F.lit(None).cast("string").alias("outcome"))
+    kept = verdict.join(new.select(*key, F.lit(True).alias("_again")), key, "left").where(~(F.coalesce("_again", F.lit(False)) & F.col("outcome").isNull()))
+    return kept.select(*verdict.columns).unionByName(new.select(*verdict.columns))
 
 
 def score_verdicts(verdict: DataFrame, candidate: DataFrame) -> DataFrame:

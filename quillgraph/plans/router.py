@@ -7,10 +7,11 @@ import datetime as dt
 import re
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, facts, retrieval
+from ..session import written
 
 MONTHS = "january february march april may june july august september october november december".split()
 ITEMS = "query_id string, kind string, id string, text string, score double, push_order bigint"
@@ -85,17 +86,25 @@ def extract_tags(text: str, vocabulary: set[str]) -> tuple[str, tuple[str, ...]]
     return " ".join(rest.split()), tags
 
 
+LOOKUP = ("when did i last", "when was the last", "last time i", "last meet", "last spoke", "last talk", "last email", "how long since")
+AGGREGATE = (
+    "how many", "how much", "how often", "count ", "per week", "per month", "trend", "most frequent", "which projects", "stalled", "with the most", "to the most", "most often", "most interactions", "most time with",
+)
+PEOPLE = ("who ", "people", "person", "with the most", "to the most", "most interactions", "most time with")
+#: (cues, channel) in the order in which a lookup tries them.
+CHANNELS = ((("meet", "met ", "saw"), "meeting"), (("email",), "email"), (("spoke", "talk", "conversation"), "spoken"), (("slack",), "slack"), (("text", "message"), "message"))
+
+
 def classify(text: str) -> tuple[str, str | None]:
-    """(intent, channel): lookup of a last contact, a count, a ranking of people, or recall."""
-    low = f" {text.lower()} "
-    if re.search(r"\b(when|last)\b.*\b(talk|spoke|speak|met|meet|meeting|email|emailed|message|messaged|text|texted|contact|heard)\b", low) or "last time" in low:
-        for word, channel in (("email", "email"), ("messag", "message"), ("text", "message"), ("slack", "slack"), ("met", "meeting"), ("meet", "meeting"), ("talk", "spoken"), ("spoke", "spoken")):
-            if word in low:
-                return "lookup", channel
-        return "lookup", None
-    if re.search(r"\bwho\b.*\b(most|often|frequently)\b|\btop people\b", low):
-        return "people", None
-    if re.search(r"\bhow (many|often)\b|\bcount\b|\bnumber of\b", low):
+    """(intent, channel): lookup of a last contact, an aggregate (people, stalled projects, counts), or recall."""
+    low = text.lower()
+    if any(m in low for m in LOOKUP):
+        return "lookup", next((channel for cues, channel in CHANNELS if any(c in low for c in cues)), None)
+    if any(m in low for m in AGGREGATE):
+        if "stalled" in low or "which projects" in low:
+            return "projects", None
+        if "most" in low and any(m in low for m in PEOPLE):
+            return "people", None
         return "count", None
     return "recall", None
 
@@ -129,11 +138,18 @@ def _items(df: DataFrame, kind: str, id_: str, text, score, order) -> DataFrame:
     return df.select(F.lit("q").alias("query_id"), F.lit(kind).alias("kind"), F.col(id_).cast("string").alias("id"), text.alias("text"), score.cast("double").alias("score"), order.cast("bigint").alias("push_order"))
 
 
-def ask(spark: SparkSession, store: Store, text: str, now: dt.datetime, k: int = 10, budget: int = 4000, lens: Lens = Lens(), include_private: bool = False, query_vector: list[float] | None = None) -> tuple[Question, DataFrame]:
+LABELS = {"meeting": "last met", "email": "last email", "spoken": "last spoken", "slack": "last slack", "message": "last message", None: "last seen"}
+
+
+def ask(
+    spark: SparkSession, store: Store, text: str, now: dt.datetime, k: int = 10, budget: int = 4000, lens: Lens = Lens(), include_private: bool = False, query_vector: list[float] | None = None,
+    types: tuple[str, ...] | None = None, touch: DataFrame | None = None,
+) -> tuple[Question, DataFrame]:
     """(how the question was read, items of its pack).
 
     The entities named are found on the driver, as they decide the shape of the plan; all else is
-    one plan.  A name of several nodes and no other entity gives no items: the caller must ask.
+    one plan.  A name of several nodes and no other entity gives no items: the caller must ask.  `types`
+    keeps items of these kinds only; `touch` (id, touches, first_at) lets what was shown often rank higher.
     """
     vocabulary = {r.tag for r in store.tagged.select("tag").distinct().collect()} if store.tagged is not None else set()
     q = read(text, now, vocabulary, lens)
@@ -146,10 +162,18 @@ def ask(spark: SparkSession, store: Store, text: str, now: dt.datetime, k: int =
     start, end = _literal(q.start), _literal(q.end)
     as_of = _literal(now)
     if q.intent == "lookup" and entity and lens.scope != "evidence":
-        rollup = aggregates.person_interactions(store.episode, store.mention.where(F.col("node_id") == entity), store.nodes, as_of)
-        column = {"spoken": F.greatest("last_meeting_at", "last_spoken_at"), "meeting": F.greatest("last_meeting_at", "last_spoken_at")}.get(q.channel, F.col(f"last_{q.channel}_at") if q.channel else F.col("last_at"))
-        said = F.concat(F.lit("last "), F.lit(q.channel or "contact"), F.lit(": "), F.date_format(column, "yyyy-MM-dd HH:mm:ss"))
-        return q, _items(rollup.where(column.isNotNull()), "aggregate", "node_id", said, F.lit(1.0), F.lit(0))
+        ids = [r.node_id for r in found if not r.ambiguous]
+        asked = store.nodes.where(F.col("node_id").isin(*ids)).select("node_id", "name")
+        rollup = aggregates.person_interactions(store.episode, store.mention.where(F.col("node_id").isin(*ids)), store.nodes, as_of)
+        column = F.greatest("last_meeting_at", "last_spoken_at") if q.channel == "meeting" else F.col(f"last_{q.channel}_at") if q.channel else F.col("last_at")
+        label = LABELS[q.channel]
+        known = F.concat(F.col("name"), F.lit(f": {label}: "), F.date_format(column, "yyyy-MM-dd HH:mm:ss"), F.lit(" ("), F.col("interactions").cast("string"), F.lit(" interactions, last channel "), "last_channel", F.lit(")"))
+        said = F.when(column.isNotNull(), known).otherwise(F.concat(F.col("name"), F.lit(f": no recorded {label}")))
+        place = F.array_position(F.array(*[F.lit(i) for i in ids]), F.col("node_id"))
+        return q, _items(asked.join(rollup, "node_id", "left"), "person_interaction", "node_id", said, F.lit(1.0), place)
+    if q.intent == "projects" and lens.scope != "evidence":
+        idle = facts.stalled_projects(store.nodes.where("node_type = 'project'"), store.mention, store.episode, as_of)
+        return q, _items(idle, "aggregate", "node_id", F.concat(F.lit("stalled: "), "name"), F.lit(1.0), F.row_number().over(Window.orderBy("node_id")))  # projects are few
     if q.intent == "people" and lens.scope != "evidence":
         if start is not None and end is not None:
             top = aggregates.people_ranking_in_range(store.episode, store.mention, store.nodes, start, end, k)
@@ -178,9 +202,47 @@ def ask(spark: SparkSession, store: Store, text: str, now: dt.datetime, k: int =
     items = parts[0]
     for p in parts[1:]:
         items = items.union(p)
+    if types is not None:
+        items = items.where(F.col("kind").isin(*types))
+    if touch is not None:
+        items = retrieval.with_activation(items, touch.select("id", "touches", "first_at"), as_of).select(*[c.split()[0] for c in ITEMS.split(", ")])
     return q, retrieval.pack(items, budget).orderBy(F.desc("score"), "push_order")
 
 
+@dataclass(frozen=True)
+class Pack:
+    """An answer: its items, warnings about their facts, how well the question was covered, and what is to be logged."""
+
+    question: Question
+    items: DataFrame
+    flags: DataFrame | None
+    coverage: DataFrame
+    ledger: DataFrame  # kind, subject, payload, at: empty for a probe's lens or without a tool
+
+
+def answer(
+    spark: SparkSession, store: Store, text: str, now: dt.datetime, tool: str | None = None, observation: DataFrame | None = None, half_lives: DataFrame | None = None, lens: Lens = Lens(), **options,
+) -> Pack:
+    """The whole pack of a question; with `observation` and `half_lives` its facts are checked.
+
+    Only questions of a tool without a lens are logged: one row for each item and flag, and one for the question.
+    """
+    question, items = ask(spark, store, text, now, lens=lens, **options)
+    items = written(items, "pack")
+    as_of = _literal(now)
+    flags = None
+    if observation is not None and half_lives is not None:
+        named = items.where("kind = 'fact'").select("query_id", F.col("id").alias("fact_id"))
+        flags = retrieval.flag_pack(named, store.fact, observation, store.episode, half_lives, as_of)
+    coverage = retrieval.coverage_status(items, spark.createDataFrame([("q",)], "query_id string"))
+    payload = [F.to_json(F.struct(F.lit(tool).alias("tool"), F.lit(text).alias("query"), *more)).alias("payload") for more in ([F.col("score")], [F.col("n"), F.col("status")], [F.col("kind"), F.col("predicate"), F.col("detail")])]
+    log = items.select(F.concat(F.lit("shown:"), "kind").alias("kind"), F.col("id").alias("subject"), payload[0]).union(coverage.select(F.lit("question"), F.lit(question.intent), payload[1]))
+    if flags is not None:
+        log = log.union(flags.select(F.lit("flag_shown"), "subject_id", payload[2]))
+    log = log.withColumn("at", as_of)
+    return Pack(question, items, flags, coverage, log if tool and lens.is_default else log.where("false"))
+
+
 def ask_as_of(store: Store, spark: SparkSession, text: str, t: dt.datetime, k: int = 25) -> DataFrame:
     """Facts about the entities of a question that held at a time."""
     row = spark.createDataFrame([("q", text)], "query_id string, text string")

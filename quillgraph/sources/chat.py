@@ -86,21 +86,59 @@ class RepositoryEvents(Source):
         return out.where(F.to_date("occurred_at") >= F.to_date(F.lit(since))) if since else out
 
 
+def project_root(path: Column) -> Column:
+    """The folder of a repository that a path lies in, null where it lies in none."""
+    return F.nullif(F.regexp_extract(path, r"/(?:Github|src|repos|code)/([^/]+)", 1), F.lit(""))
+
+
+def touched_paths(content: Column) -> Column:
+    """The absolute paths that tool calls in a message's JSON parts name."""
+    parts = F.from_json(content, "array<struct<type: string, input: map<string,string>>>")
+    used = F.filter(parts, lambda p: p["type"] == "tool_use")
+    values = F.flatten(F.transform(used, lambda p: F.coalesce(F.map_values(F.map_filter(p["input"], lambda k, v: k.isin("file_path", "path", "notebook_path"))), F.array().cast("array<string>"))))
+    return F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.startswith(v, F.lit("/")))
+
+
+def session_tables(session: DataFrame, message: DataFrame) -> DataFrame:
+    """Episodes of an agent's database: session(id, title, started_at, ended_at, cwd), message(session_id, role, content, at).
+
+    The body is the title and what the user asked, in order; a session without a question isn't one.
+    """
+    asked = message.where("role = 'user' AND trim(content) <> ''").groupBy(F.col("session_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("at", "content"))).alias("asked"), F.max("at").alias("last"))
+    s = session.join(asked, "id")
+    body = F.concat_ws("\n\n", F.nullif(F.trim("title"), F.lit("")), F.array_join(F.transform("asked", lambda x: x["content"]), "\n\n"))
+    return s.select(
+        F.lit("agent.session").alias("source"), F.col("id").alias("source_id"), F.substring(body, 1, 8_000).alias("body"), F.col("started_at").alias("occurred_at"), F.coalesce("ended_at", "last").alias("occurred_end"), F.lit("personal").alias("sensitivity"),
+        F.lit(None).cast("array<struct<email: string, name: string>>").alias("people"), F.to_json(F.struct(F.array_compact(F.array(project_root(F.col("cwd")))).alias("projects"), F.size("asked").alias("asked"))).alias("meta"),
+    ).select(*COLUMNS)
+
+
+def repository_projects(episode: DataFrame, nodes: DataFrame, alias: DataFrame) -> DataFrame:
+    """(episode_id, node_id): the one project that a repository's episode is about, by its full or last name."""
+    repo = episode.where("source = 'github'").select("episode_id", F.lower(F.regexp_replace("source_id", "#[^#]*$", "")).alias("full"))
+    names = repo.select("episode_id", F.explode(F.array("full", F.substring_index("full", "/", -1))).alias("name"))
+    project = nodes.where("node_type = 'project'").select("node_id", F.lower(F.trim("name")).alias("name"))
+    known = project.union(alias.join(project.select("node_id"), "node_id", "left_semi").select("node_id", F.col("alias").alias("name"))).distinct()
+    hits = names.join(known, "name").groupBy("episode_id").agg(F.min("node_id").alias("node_id"), F.countDistinct("node_id").alias("n"))
+    return hits.where("n = 1").select("episode_id", "node_id")
+
+
 class AgentSessions(Source):
     """JSON lines of coding sessions, one file a session."""
 
     id = "agent.session"
 
     def fetch(self, spark: SparkSession, since: str | None = None) -> DataFrame:
-        schema = "type string, timestamp string, cwd string, gitBranch string, message struct<role: string, content: string>"
+        schema = "type string, timestamp string, cwd string, gitBranch string, message struct<role: string, content: string>"  # a list of parts is read as its JSON
         rows = spark.read.schema(schema).json(self.path).select("*", F.col("_metadata.file_name").alias("file"), F.to_timestamp("timestamp").cast("timestamp_ntz").alias("at"))
-        asked = (F.col("type") == "user") & F.col("message.content").isNotNull() & ~F.startswith(F.ltrim("message.content"), F.lit("<"))
+        asked = (F.col("type") == "user") & F.col("message.content").isNotNull() & ~F.rlike(F.ltrim("message.content"), F.lit(r"^(<|\[\{)"))
         one = rows.groupBy("file").agg(
-            F.min("at").alias("occurred_at"), F.max("at").alias("occurred_end"), F.min_by(F.when(asked, F.col("message.content")), F.when(asked, F.col("at"))).alias("first"), F.count_if(asked).alias("asked"), F.sort_array(F.collect_set("cwd")).alias("cwds")
+            F.min("at").alias("occurred_at"), F.max("at").alias("occurred_end"), F.min_by(F.when(asked, F.col("message.content")), F.when(asked, F.col("at"))).alias("first"), F.count_if(asked).alias("asked"), F.sort_array(F.collect_set("cwd")).alias("cwds"),
+            F.sort_array(F.array_distinct(F.flatten(F.collect_list(touched_paths(F.col("message.content")))))).alias("paths"),
         )
-        repo = F.array_distinct(F.array_compact(F.transform("cwds", lambda c: F.nullif(F.regexp_extract(c, r"/(?:Github|src|repos|code)/([^/]+)", 1), F.lit("")))))
+        repo = F.array_distinct(F.array_compact(F.transform(F.concat("cwds", "paths"), project_root)))
         out = one.where("asked > 0").select(
             F.lit(self.id).alias("source"), F.regexp_replace("file", r"\.jsonl$", "").alias("source_id"), F.substring("first", 1, 2000).alias("body"), "occurred_at", "occurred_end", F.lit("personal").alias("sensitivity"),
-            F.lit(None).cast("array<struct<email: string, name: string>>").alias("people"), F.to_json(F.struct(repo.alias("projects"), "asked")).alias("meta"),
+            F.lit(None).cast("array<struct<email: string, name: string>>").alias("people"), F.to_json(F.struct(repo.alias("projects"), "asked", F.slice("paths", 1, 50).alias("paths"))).alias("meta"),
         ).select(*COLUMNS)
         return out.where(F.col("occurred_end") >= F.lit(since).cast("timestamp_ntz")) if since else out

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,23 +20,104 @@ def title(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, r"(?m)^# (.+)$", 1)), F.lit(""))
 
 
+def attribute_values(text: Column) -> Column:
+    """(key, value) of `- Key: value` bullets, and of `- Key:` bullets with a row for each indented bullet under them, in order."""
+    lines = F.filter(F.split(F.regexp_replace(text, "\r", ""), "\n"), lambda x: F.rlike(x, F.lit(r"^\s*[-*] \S")))
+    top = F.transform(lines, lambda x, i: F.struct(F.rlike(x, F.lit(r"^[-*] ")).alias("top"), F.lower(F.trim(F.regexp_extract(x, r"^[-*] ([^:]{1,40}):", 1))).alias("k"), F.trim(F.regexp_replace(x, r"^\s*[-*] (?:[^:]{1,40}:(?= |$))?", "")).alias("v"), F.trim(F.regexp_replace(x, r"^\s*[-*] ", "")).alias("whole")))
+    start = F.struct(F.lit("").alias("key"), F.array().cast("array<struct<key: string, value: string>>").alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        key = F.when(x["top"], x["k"]).otherwise(state["key"])
+        value = F.when(x["top"], x["v"]).otherwise(x["whole"])
+        out = F.when((key != "") & (value != ""), F.concat(state["out"], F.array(F.struct(key.alias("key"), value.alias("value"))))).otherwise(state["out"])
+        return F.struct(key.alias("key"), out.alias("out"))
+
+    return F.aggregate(top, start, step)["out"]
+
+
 def attributes(text: Column) -> Column:
-    """`- Key: value` bullets as a map; of equal keys the last counts."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"^- [^:]{1,40}: \S")))
-    pairs = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, r"^- ([^:]+): ", 1))).alias("k"), F.trim(F.regexp_extract(x, r"^- [^:]+: (.*)$", 1)).alias("v")))
-    kept = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(kept)
+    """The bullets of :func:`attribute_values` as a map; of equal keys the last counts."""
+    pairs = attribute_values(text)
+    return F.map_from_entries(F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"])))
+
+
+def zipped_notes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value) of the Markdown files in zip archives, in the form of `whole_texts`; each archive is read by one task."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    rows = [(f"{name}!/{m.filename}", archive.read(m).decode("utf-8", "replace")) for m in archive.infolist() if m.filename.endswith(".md")]
+                yield pd.DataFrame(rows, columns=["path", "value"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, value string")
+
+
+def linked_nodes(episode: DataFrame, names: DataFrame) -> DataFrame:
+    """(episode_id, node_id): the nodes of one name (name, node_id) that a note's backlinks name."""
+    links = episode.select("episode_id", F.explode(F.from_json(F.get_json_object("meta", "$.links"), "array<string>")).alias("link"))
+    return links.join(names, F.lower(F.trim("link")) == F.col("name")).select("episode_id", "node_id").distinct()
+
+
+def promoted(episode: DataFrame) -> dict[str, DataFrame]:
+    """What typed notes say, for the writes of `graph` and `facts`.
+
+    ``person`` (episode_id, name, emails, phones), ``org`` (episode_id, name, domains), ``document``
+    (episode_id, name), by the note's `Type`; ``claim`` (episode_id, subject, predicate, object, object_type,
+    object_value, statement, confidence); ``untyped`` (episode_id, name) attach to a node of that name.
+    Subjects and objects are names.
+    """
+    n = episode.select("episode_id", title(F.col("body")).alias("name"), F.explode(F.array(attribute_values(F.col("body")))).alias("a")).where("name IS NOT NULL")
+
+    def values(key: str) -> Column:
+        return F.transform(F.filter("a", lambda p: p["key"] == key), lambda p: p["value"])
+
+    kind = F.lower(F.regexp_replace(F.get(values("type"), F.lit(0)), "^#+", ""))
+    n = n.withColumn("type", kind)
+    person, org, document = n.where("type IN ('person', 'author')"), n.where("type = 'company'"), n.where("type = 'book'")
+    bare = lambda c: F.trim(F.regexp_replace(c, r"\[\[|\]\]", ""))
+    phones = F.filter(F.transform(values("phone"), lambda v: F.regexp_replace(v, "[^0-9+]", "")), lambda v: F.length(v) >= 7)
+
+    def claims(rows: DataFrame, key: str, predicate: str, says: str, confidence: float, object_type: str | None = None, turned: bool = False) -> DataFrame:
+        each = rows.select("episode_id", "name", F.explode(values(key)).alias("v")).withColumn("v", bare(F.col("v")) if object_type or turned else F.col("v")).where("v <> ''")
+        subject, other = ("v", "name") if turned else ("name", "v")
+        null = F.lit(None).cast("string")
+        return each.select(
+            "episode_id", F.col(subject).alias("subject"), F.lit(predicate).alias("predicate"), (F.col(other) if object_type else null).alias("object"), F.lit(object_type).cast("string").alias("object_type"),
+            (null if object_type else F.col(other)).alias("object_value"), F.concat(F.col(subject), F.lit(f" {says} "), F.col(other), F.lit(".")).alias("statement"), F.lit(confidence).alias("confidence"),
+        )
+
+    every = claims(person, "company", "works_at", "works at", 0.9, "org").union(claims(person, "title", "has_role", "is", 0.9)).union(claims(person, "location", "located_in", "is located in", 0.8)).union(claims(document, "author", "authored", "authored", 0.9, "document", True))
+    return {
+        "person": person.select("episode_id", "name", F.filter(F.transform(values("email"), F.lower), lambda v: F.contains(v, F.lit("@"))).alias("emails"), phones.alias("phones")),
+        "org": org.select("episode_id", "name", F.filter(F.transform(values("domain"), lambda v: F.lower(bare(v))), lambda v: F.contains(v, F.lit("."))).alias("domains")),
+        "document": document.select("episode_id", "name"), "claim": every, "untyped": n.where("type IS NULL OR type NOT IN ('person', 'author', 'company', 'book')").select("episode_id", "name"),
+    }
+
+
+def written_note(spark: SparkSession, body: str, at: str, tags: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(episode, annotations) of a note that the user writes; its identifier is a hash of time and text."""
+    row = spark.createDataFrame([(body.strip(), at)], "body string, at string").where("body <> ''")
+    key = F.substring(F.sha2(F.concat_ws("\u0001", "at", "body"), 256), 1, 16)
+    episode = row.select(
+        F.lit("note").alias("source"), key.alias("source_id"), "body", F.col("at").cast("timestamp_ntz").alias("occurred_at"), F.lit(None).cast("timestamp_ntz").alias("occurred_end"), F.lit("personal").alias("sensitivity"),
+        F.lit(None).cast(NO_PEOPLE).alias("people"), F.lit(None).cast("string").alias("meta"),
+    ).select(*COLUMNS)
+    tag = row.select(key.alias("source_id"), F.explode(F.array(*[F.lit(t) for t in tags]).cast("array<string>")).alias("body")).select("source_id", F.lit("tag").alias("kind"), "body")
+    return episode, tag
 
 
 class Notes(Source):
-    """A folder of notes; files named YYYY-MM-DD.md are daily."""
+    """A folder or zip archive of notes; files named YYYY-MM-DD.md are daily."""
 
     id = "notes"
 
     def fetch(self, spark: SparkSession, since: str | None = None) -> DataFrame:
         name = F.regexp_extract("path", r"([^/]+)\.md$", 1)
         day = F.try_to_timestamp(F.nullif(F.regexp_extract(name, r"^(\d{4}-\d{2}-\d{2})$", 1), F.lit("")), F.lit("yyyy-MM-dd")).cast("timestamp_ntz")
-        n = whole_texts(spark, self.path).select(name.alias("name"), day.alias("day"), F.col("value").alias("body"))
+        texts = zipped_notes(spark, self.path) if self.path.endswith(".zip") else whole_texts(spark, self.path)
+        n = texts.select(name.alias("name"), day.alias("day"), F.col("value").alias("body"))
         key = F.coalesce(F.date_format("day", "yyyy-MM-dd"), slugify(F.coalesce(title(F.col("body")), F.col("name"))))
         out = n.select(
             F.when(F.col("day").isNotNull(), "notes.daily").otherwise("notes.page").alias("source"), key.alias("source_id"), "body", F.col("day").alias("occurred_at"), F.lit(None).cast("timestamp_ntz").alias("occurred_end"),

@@ -23,6 +23,6 @@ def test_tasks(spark):
 
 
 def test_commitments(spark):
-    rows = [(1, "accepted", "commitment", '{"what": "send plan", "who": "Ann", "when": "today", "direction": "theirs"}'), (2, "accepted", "commitment", '{"what": "pay"}'), (3, "proposed", "commitment", '{"what": "x"}'), (4, "accepted", "commitment", "{}")]
+    rows = [(1, "accepted", "commitment", '{"what": "send plan", "who": "Ann", "when": "today", "direction": "owed_to_me"}'), (2, "accepted", "commitment", '{"what": "pay"}'), (3, "proposed", "commitment", '{"what": "x"}'), (4, "accepted", "commitment", "{}")]
     got = tasks.commitments(spark.createDataFrame(rows, "candidate_id bigint, status string, kind string, payload string")).collect()
     assert sorted((r.name, r.status, r.due) for r in got) == [("pay", "next", None), ("send plan", "waiting", "today")]

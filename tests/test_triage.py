@@ -138,7 +138,7 @@ def test_models_are_injected(spark):
         return base(texts)
 
     vectors = enrich.embed_pending(episode, done, "episode_id", "body", picky).collect()
-    assert {r.episode_id for r in vectors} == {1, 2} and all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in vectors)
+    assert {r.episode_id for r in vectors} == {1, 2} and all(r.error is None and abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in vectors)
 
 
 def test_nightly_on_an_empty_graph(spark):
