@@ -36,8 +36,8 @@ def test_porter(word, want):
 
 
 def test_assertion_corroborates(spark):
-    columns = "fact_id string, subject_id string, predicate string, object_id string, statement string, valid_from timestamp_ntz, valid_to timestamp_ntz, ingested_at timestamp_ntz, invalidated_at timestamp_ntz, confidence double, polarity string, sensitivity string, extractor string, observations int, episode_id bigint"
-    fact = spark.createDataFrame([("f1", "a", "knows", "b", "s", None, None, None, None, 0.5, "positive", "public", "user", 1, 7)], columns)
+    columns = "fact_id string, subject_id string, predicate string, object_id string, object_value string, statement string, valid_from timestamp_ntz, valid_to timestamp_ntz, ingested_at timestamp_ntz, invalidated_at timestamp_ntz, confidence double, polarity string, sensitivity string, extractor string, observations int, episode_id bigint"
+    fact = spark.createDataFrame([("f1", "a", "knows", "b", None, "s", None, None, None, None, 0.5, "positive", "public", "user", 1, 7)], columns)
     said = spark.sql("SELECT 'a' AS subject_id, 'knows' AS predicate, o AS object_id, p AS polarity, 's' AS statement, e AS episode_id, 0.9D AS confidence, t AS sensitivity, x AS extractor, TIMESTAMP_NTZ '2024-01-01' AS at FROM VALUES ('b', 'positive', 7L, 'private', 'user'), ('b', 'positive', 8L, 'public', 'user'), ('b', 'positive', 9L, 'public', 'agent:x'), ('b', 'negative', 8L, 'public', 'user'), ('c', 'positive', 8L, 'public', 'user') AS v(o, p, e, t, x)")
     got = {(r.object_id, r.polarity): r for r in facts.assert_facts(fact, said).collect()}
     assert got["b", "positive"].observations == 2 and got["b", "positive"].sensitivity == "private" and got["b", "positive"].fact_id == "f1"

@@ -20,7 +20,7 @@ def test_time(text, start, end):
     assert [x and x.date().isoformat() for x in (a, b)] == [start, end]
 
 
-@pytest.mark.parametrize("text, intent", [("when did I last email Ann", ("lookup", "email")), ("who do I talk to most", ("people", None)), ("how many meetings", ("count", None)), ("plans for the garden", ("recall", None))])
+@pytest.mark.parametrize("text, intent", [("when did I last email Ann", ("lookup", "email")), ("who do I talk to most often", ("people", None)), ("how long since I saw Ann", ("lookup", "meeting")), ("which projects are stalled", ("projects", None)), ("messages per week", ("count", None)), ("what do we talk about", ("recall", None)), ("how many meetings", ("count", None)), ("plans for the garden", ("recall", None))])
 def test_intent(text, intent):
     assert router.classify(text) == intent
 
@@ -51,7 +51,7 @@ def test_ask(spark, store):
     assert q.intent == "recall" and [(r.kind, r.id) for r in got] == [("fact", "f1"), ("episode", "1")]
     assert [(r.kind, r.id) for r in router.ask(spark, store, "garden roses", NOW, lens=router.Lens(scope="evidence"))[1].collect()] == [("episode", "1")]
     assert router.ask(spark, store, "boats with sam", NOW)[0].intent == "ambiguous"
-    assert router.ask(spark, store, "when did I last email ann roe", NOW)[1].collect()[0].text == "last email: 2024-03-12 10:00:00"
+    assert router.ask(spark, store, "when did I last email ann roe", NOW)[1].collect()[0].text == "Ann Roe: last email: 2024-03-12 10:00:00 (2 interactions, last channel email)"
     assert {r.id: r.score for r in router.ask(spark, store, "how many things with ann roe", NOW)[1].collect()} == {"email": 1.0, "slack": 1.0}
     assert router.ask(spark, store, "who do I talk to most", NOW)[1].collect()[0].id == "a"
     fallback = router.ask(spark, store, "zzz ann roe", NOW, lens=router.Lens(scope="evidence"))[1].collect()
