@@ -24,6 +24,11 @@ class Source(ABC):
         """Episodes with the columns of EPISODE, those before `since` left out."""
 
 
+def pieces(spark: SparkSession, path: str, before: str) -> DataFrame:
+    """(value): the text after each `before` and before the next; a file is cut by several tasks, whatever its size."""
+    return spark.read.text(path, lineSep=before)
+
+
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, value): each file as one row."""
     return spark.read.text(path, wholetext=True).selectExpr("_metadata.file_path AS path", "value")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import normalize_subject
-from .base import COLUMNS, Source, whole_texts
+from .base import COLUMNS, Source, pieces
 
 MESSAGE = "id string, parent string, subject string, at timestamp_ntz, people array<struct<email: string, name: string>>, text string, bulk boolean"
 
@@ -78,7 +78,9 @@ class Mbox(Source):
         self.owner = owner.lower()
 
     def messages(self, spark: SparkSession) -> DataFrame:
-        raw = whole_texts(spark, self.path).select(F.explode(split_mbox(F.col("value"))).alias("raw"))
+        # A message begins at a line that starts with "From "; the file's first one still has it.
+        text = F.when(F.startswith("value", F.lit("From ")), F.col("value")).otherwise(F.concat(F.lit("From "), "value"))
+        raw = pieces(spark, self.path, "\nFrom ").select(text.alias("raw"))
         m = raw.select(parse_message(F.col("raw")).alias("m")).select("m.*").where("NOT bulk")
         root = F.coalesce("parent", "id", F.concat(F.lit("subject:"), normalize_subject(F.col("subject"))))
         return m.withColumn("root", root)

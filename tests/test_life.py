@@ -11,7 +11,7 @@ from quillgraph import schema
 from quillgraph.functions import scalar as fn
 from quillgraph.operators import facts, graph, ingest, link, retrieval, tasks, triage
 from quillgraph.plans import ingestion, router
-from quillgraph.session import shared_dir
+from quillgraph.session import clear, shared_dir, written
 from quillgraph.sources import chat, notes
 from quillgraph.sources.base import EPISODE
 
@@ -206,6 +206,14 @@ def test_pack_is_checked_and_logged(spark):
     assert q.intent == "lookup" and said == ["Ann Roe: last email: 2024-01-01 00:00:00 (1 interactions, last channel email)", "Bo Li: no recorded last email"]
 
 
+def test_written_tables_are_cleared(spark):
+    df = written(spark.range(5), "some")
+    (path,) = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    assert df.count() == 5 and clear(spark) >= 1 and clear(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_shared_folder_is_named(spark):
     assert shared_dir(spark).startswith("file:")
 

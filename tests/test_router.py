@@ -53,7 +53,7 @@ def test_ask(spark, store):
     assert router.ask(spark, store, "boats with sam", NOW)[0].intent == "ambiguous"
     assert router.ask(spark, store, "when did I last email ann roe", NOW)[1].collect()[0].text == "Ann Roe: last email: 2024-03-12 10:00:00 (2 interactions, last channel email)"
     assert {r.id: r.score for r in router.ask(spark, store, "how many things with ann roe", NOW)[1].collect()} == {"email": 1.0, "slack": 1.0}
-    assert router.ask(spark, store, "who do I talk to most", NOW)[1].collect()[0].id == "a"
+    assert router.ask(spark, store, "who do I talk to most often", NOW)[1].collect()[0].id == "a"
     fallback = router.ask(spark, store, "zzz ann roe", NOW, lens=router.Lens(scope="evidence"))[1].collect()
     assert [r.id for r in fallback] == ["1", "2"] and fallback[0].score == 0.01
     assert [r.fact_id for r in router.ask_as_of(store, spark, "ann roe", NOW).collect()] == ["f1"]
