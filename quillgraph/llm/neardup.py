@@ -37,7 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -226,8 +226,8 @@ def _merge_lists(settings: Settings):
 def matching_pairs(entries: DataFrame, settings: Settings) -> DataFrame:
     """(a, b, matches): pairs that span the groups of `entries` (id, sig)."""
     posts = entries.select("id", F.explode("sig").alias("key"))
-    lists = posts.groupBy("key").agg(F.collect_list("id").alias("ids")).where(F.size("ids") > 1)
-    common = lists.select("key", F.size("ids").alias("df"), F.explode("ids").alias("id"))
+    # A window spills where a list, which may have any length, doesn't fit in memory.
+    common = posts.withColumn("df", F.count("*").over(Window.partitionBy("key"))).where("df > 1")
     t = settings.matches
     ranked = common.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("posts")).where(F.size("posts") >= t)
     prefix = ranked.select("id", F.slice("posts", F.lit(1), F.size("posts") - (t - 1)).alias("posts"))

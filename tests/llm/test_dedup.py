@@ -182,6 +182,13 @@ def test_passages_cases(spark):
     assert passages(spark, once, PASSAGES) == Counter()
 
 
+def test_passages_of_one_doc_id_with_several_texts(spark):
+    shared = prose(31, 70)
+    some = [(1, prose(1, 40) + " " + shared, *[None] * 6), (1, shared + " " + prose(2, 40), *[None] * 6), (2, prose(3, 20) + " " + shared, *[None] * 6)]
+    # The SQL has one text a doc_id.
+    assert sorted(k[:4] for k in passages(spark, some, PASSAGES).elements()) == [(1, "first", 0, 70), (1, "repeat", 40, 70), (2, "repeat", 20, 70)]
+
+
 def test_suffix_order_is_that_of_the_words():
     rng = random.Random(9)
     texts = [" ".join(rng.choice("ab") for _ in range(rng.randrange(1, 12))) for _ in range(30)]

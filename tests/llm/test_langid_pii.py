@@ -342,6 +342,15 @@ def test_long_dense_texts():
     assert len(pii.scan("-----BEGIN PRIVATE KEY----- " * n)) == n
 
 
+def test_columns_of_any_name_are_kept(spark, model):
+    extra = "keep lang_share spans n_words kind start end source_text normalised _h".split()
+    read = docs(spark, [(1, "mail a@b.org " + EN, *[None] * 6), (2, None, *[None] * 6)]).drop("keep").selectExpr("*", *[f"doc_id AS `{c}`" for c in extra])
+    for out, texts in ((langid.accepted(read, model), ["mail a@b.org " + EN]), (pii.redacted(read), ["mail [EMAIL] " + EN, None])):
+        got = out.collect()
+        assert out.schema == read.schema and sorted(r.text or "" for r in got) == sorted(t or "" for t in texts)
+        assert all(r[c] == r.doc_id for r in got for c in extra)
+
+
 def test_pii_cases(spark):
     some = rows() + [(50, "a@b.org and a@b.org", None, None, None, None, None, None), (None, "c@d.org", None, None, 3, None, None, None)]
     got = pii.find(docs(spark, some)).collect()
