@@ -135,7 +135,7 @@ def staleness_clock(fact: DataFrame, observation: DataFrame, episode: DataFrame)
 
 def stale_facts(fact: DataFrame, observation: DataFrame, episode: DataFrame, half_lives: DataFrame, as_of: Column) -> DataFrame:
     """Live facts whose predicate's decay rate (per year) times their age exceeds ln 2."""
-    clock = staleness_clock(fact.where(fn.is_live()), observation, episode).join(F.broadcast(half_lives), "predicate")  # a row a predicate of the closed vocabulary
+    clock = staleness_clock(fact.where(fn.is_live()), observation, episode).join(half_lives, "predicate")
     age = fn.days_between(as_of, F.col("seen_at")) / 365.25
     return clock.withColumn("age_years", age).where((F.col("decay") > 0) & (F.col("decay") * F.col("age_years") > fn.LN2))
 

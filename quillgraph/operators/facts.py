@@ -151,13 +151,13 @@ def timeline(fact: DataFrame, node_id: str, start: Column | None = None, end: Co
 
 def normalize_predicates(rows: DataFrame, vocabulary: DataFrame, alias: DataFrame) -> DataFrame:
     """`rows` with `canonical` added: the alias's predicate, else a known one, else the only known
-    one of the same stem, else the predicate as it is.  The vocabularies are small, closed tables."""
+    one of the same stem, else the predicate as it is."""
     p = F.regexp_replace(fn.canonicalize(F.col("predicate")), r"[\s-]+", "_")
     out = rows.withColumn("_p", p)
-    out = out.join(F.broadcast(alias.select(F.col("alias").alias("_p"), F.col("predicate").alias("_by_alias"))), "_p", "left")
-    out = out.join(F.broadcast(vocabulary.select(F.col("predicate").alias("_p"), F.col("predicate").alias("_known"))), "_p", "left")
+    out = out.join(alias.select(F.col("alias").alias("_p"), F.col("predicate").alias("_by_alias")), "_p", "left")
+    out = out.join(vocabulary.select(F.col("predicate").alias("_p"), F.col("predicate").alias("_known")), "_p", "left")
     stems = vocabulary.select(fn.stem_predicate(F.col("predicate")).alias("_stem"), "predicate").groupBy("_stem").agg(F.min("predicate").alias("_by_stem"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
-    out = out.withColumn("_stem", fn.stem_predicate(F.col("_p"))).join(F.broadcast(stems), "_stem", "left")
+    out = out.withColumn("_stem", fn.stem_predicate(F.col("_p"))).join(stems, "_stem", "left")
     return out.withColumn("canonical", F.coalesce("_by_alias", "_known", "_by_stem", "_p")).drop("_p", "_by_alias", "_known", "_by_stem", "_stem")
 
 
@@ -275,7 +275,7 @@ def phantoms(claims: DataFrame, mention: DataFrame) -> DataFrame:
 
 def probe_targets(nodes: DataFrame, slots: DataFrame, fact: DataFrame, touches: DataFrame, stale: DataFrame, k: int = 200) -> DataFrame:
     """(node_id, missing, stale, score): what to ask about: ln(1 + touches) times missing slots and stale facts."""
-    wanted = nodes.select("node_id", "node_type").join(F.broadcast(slots.where("required")), "node_type")  # a closed table
+    wanted = nodes.select("node_id", "node_type").join(slots.where("required"), "node_type")
     have = fact.where(fn.is_live()).select(F.col("subject_id").alias("node_id"), F.col("predicate").alias("slot")).distinct()
     missing = wanted.join(have, ["node_id", "slot"], "left_anti").groupBy("node_id").agg(F.count("*").alias("missing"))
     old = stale.groupBy(F.col("subject_id").alias("node_id")).agg(F.count("*").alias("stale"))

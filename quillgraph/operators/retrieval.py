@@ -7,9 +7,11 @@ Candidate filters come before ranking, so that a hidden or foreign row can't pus
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,15 +34,27 @@ class Index:
     stemmed: bool
 
 
+def _counts(words: pd.Series) -> pd.Series:
+    return words.map(lambda ws: [{"term": t, "tf": n} for t, n in Counter(ws).items()])
+
+
+def word_counts(words: Column) -> Column:
+    """(term, tf) of the distinct words of an array."""
+    return F.pandas_udf(_counts, "array<struct<term: string, tf: int>>")(words)
+
+
 def _words(docs: DataFrame, text: str, stemmed: bool) -> DataFrame:
     words = with_words(docs.select("id", text), text).select("id", F.filter("words", lambda w: w != "").alias("words"))
     return words.select("id", porter(F.col("words")).alias("words")) if stemmed else words
 
 
 def postings(docs: DataFrame, text: str = "text", stemmed: bool = False) -> DataFrame:
-    """(term, id, tf, dl) of `docs` (id, text); dl counts all of a document's words, stemmed by Porter's rules or not."""
-    each = _words(docs, text, stemmed).select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    return each.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """(term, id, tf, dl) of `docs` (id, text), whose identifiers are unique; dl counts all of a document's words, stemmed or not.
+
+    A document's words are counted within its row, so that nothing is shuffled.
+    """
+    each = _words(docs, text, stemmed).select("id", F.size("words").alias("dl"), F.explode(word_counts(F.col("words"))).alias("c"))
+    return each.select("c.term", "id", "c.tf", "dl")
 
 
 def build_index(docs: DataFrame, text: str = "text", stemmed: bool = True) -> Index:

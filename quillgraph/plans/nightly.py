@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalar as fn
 from ..operators import aggregates, facts, ingest, link, triage
 from ..session import written
 
@@ -21,11 +22,19 @@ def nightly(tables: dict[str, DataFrame], as_of: Column, half_lives: DataFrame)
     temporal = link.link_temporal(t["episode"], mention, t["nodes"])
     mention = written(ingest.add_mentions(mention, temporal), "nightly-mention")
     connected = link.live_pairs(t["fact"])
+    claims = cooccurrence_claims(t["fact"])
+    by_node = t["vector"].join(mention.select("episode_id", "node_id"), "episode_id").select("episode_id", "node_id", "embedding")
+    one_name = names.select(F.col("name").alias("subject"), "node_id")
     return {
         "mention": mention,
         "person_interaction": aggregates.person_interactions(t["episode"], mention, t["nodes"], as_of),
         "npmi": link.link_npmi(mention, connected),
         "structural": link.link_structural(connected, connected),
+        "knn": link.link_knn(by_node, t["nodes"], connected),
+        "decay": facts.npmi_decay(claims, mention),
+        "phantoms": facts.phantoms(claims, mention),
+        "lanes": triage.precheck(t["candidate"], t["fact"], one_name, facts.ladder(reviewed(t["candidate"]))),
+        "summaries": aggregates.stale_summaries(mention, t["episode"], t["context"].select("node_id", "summary_at"), 5),
         "rules": link.run_rules(t["fact"], resolved_candidates(t["candidate"], names)),
         "duplicates": facts.duplicate_facts(t["fact"]),
         "verdicts": facts.verdicts(t["fact"], t["observation"], t["episode"], t["nodes"], mention, aggregates.stale_facts(t["fact"], t["observation"], t["episode"], half_lives, as_of)),
@@ -40,6 +49,19 @@ def resolved_candidates(candidate: DataFrame, names: DataFrame) -> DataFrame:
     return c.join(names, "name", "left").select("proposer", "predicate", F.coalesce("node_id", "subject").alias("subject_id"), "object_id")
 
 
+def cooccurrence_claims(fact: DataFrame) -> DataFrame:
+    """(fact_id, a, b, stated) of live facts that were computed from co-occurrence, with the value that they state."""
+    live = fact.where(fn.is_live() & F.col("object_id").isNotNull() & F.col("extractor").isin("npmi", "linker:npmi"))
+    stated = fn.parse_cooccurrence(F.col("statement"))[1]
+    return live.select("fact_id", F.col("subject_id").alias("a"), F.col("object_id").alias("b"), stated.alias("stated")).where("stated IS NOT NULL")
+
+
+def reviewed(candidate: DataFrame) -> DataFrame:
+    """(proposer, predicate, seq, accepted): the verdicts of reviewers, commitments aside."""
+    done = candidate.where("status IN ('accepted', 'rejected') AND coalesce(kind, 'fact') <> 'commitment'").where(triage.by_reviewer(candidate))
+    return done.select("proposer", "predicate", F.coalesce("reviewed_at", "candidate_id").alias("seq"), (F.col("status") == "accepted").alias("accepted"))
+
+
 def link_first_names(nodes: DataFrame) -> DataFrame:
     from ..operators.resolve import first_name_aliases
 

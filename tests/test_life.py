@@ -226,3 +226,24 @@ def test_shared_folder_is_named(spark):
 
     with pytest.raises(RuntimeError):
         shared_dir(Elsewhere)
+
+
+def test_nightly_sequence(spark):
+    """Names become mentions, and what they support is decided in one run."""
+    from quillgraph.plans import nightly
+
+    g = schema.empty_graph(spark)
+    rows = [(k, "email", str(k), "Ann Roe met Bo Li" if k < 6 else "nobody", T + dt.timedelta(k), None, "public", None, None) for k in range(30)]
+    g["episode"] = spark.createDataFrame(rows, schema.EPISODE)
+    g["nodes"] = spark.createDataFrame([("a", "person", "Ann Roe", 0), ("b", "person", "Bo Li", 0), ("c", "person", "Cy", 0)], schema.NODE)
+    g["mention"] = spark.createDataFrame([(k, f"x{k}", "attendee", 1.0) for k in range(30)], schema.MENTION)
+    said = [("f1", "a", "co_occurs", "b", None, "Ann Roe and Bo Li co-occur (9 shared episodes, NPMI 0.20)"), ("f2", "a", "co_occurs", "c", None, "Ann Roe and Cy co-occur (3 shared episodes, NPMI 0.50)")]
+    g["fact"] = spark.createDataFrame([(*f, T, None, T, None, 0.9, "positive", "public", "npmi", 1, 1) for f in said], schema.FACT)
+    pending = [(1, "llm", "knows", "ann roe", "c", None, "Ann knows Cy", 0.9, "proposed", None, None, "fact", None), (2, "llm", "discussed", "ann roe", None, None, "the plan", 0.9, "proposed", None, None, "fact", None)]
+    g["candidate"] = spark.createDataFrame(pending, schema.CANDIDATE)
+    out = nightly.nightly(g, now(), spark.createDataFrame([("co_occurs", 0.0)], "predicate string, decay double"))
+    assert {(r.episode_id, r.node_id) for r in out["mention"].where("extractor = 'alias'").collect()} == {(k, n) for k in range(6) for n in "ab"}
+    assert {r.fact_id: r.action for r in out["decay"].collect()} == {"f1": "rewrite", "f2": "close"} and [r.fact_id for r in out["phantoms"].collect()] == ["f2"]
+    assert {r.candidate_id: r.lane for r in out["lanes"].collect()} == {1: "review", 2: "ephemeral"}
+    assert {r.fact_id: r.verdict for r in out["verdicts"].collect()} == {"f1": "rederived", "f2": "refuted"}
+    assert {r.node_id for r in out["summaries"].collect()} == {"a", "b"} and out["knn"].count() == 0
