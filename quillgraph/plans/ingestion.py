@@ -81,6 +81,25 @@ def ingest_run(tables: dict[str, DataFrame], incoming: DataFrame, retention: str
     return out
 
 
+def event_claims(run: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, mentions, claims) of the calendar events that a run inserted or updated.
+
+    An event is a node named after its source's identifier, with the first line as its name; each of the
+    people invited attended it.
+    """
+    changed = run["outcome"].where("outcome IN ('inserted', 'updated') AND source = 'calendar.event'").select("episode_id", F.concat(F.lit("event-"), F.substring(F.sha2("source_id", 256), 1, 16)).alias("event_id"))
+    e = changed.join(run["episode"].select("episode_id", "body", "occurred_at"), "episode_id")
+    name = F.coalesce(F.nullif(F.trim(F.substring_index("body", "\n", 1)), F.lit("")), F.lit("(untitled event)"))
+    e = e.withColumn("title", name)
+    people = run["mention"].where("extractor = 'attendee'").join(run["nodes"].where("node_type = 'person'").select("node_id", F.col("name").alias("who")), "node_id")
+    claims = e.join(people.select("episode_id", "node_id", "who"), "episode_id").select(
+        F.col("node_id").alias("subject_id"), F.lit("attended").alias("predicate"), F.col("event_id").alias("object_id"), F.lit(None).cast("string").alias("object_value"), F.lit("positive").alias("polarity"),
+        F.concat("who", F.lit(' attended "'), "title", F.lit('" on '), fn.ts_text(F.col("occurred_at"))).alias("statement"), "episode_id", F.lit(0.9).alias("confidence"), F.lit("attendee").alias("extractor"), F.col("occurred_at").alias("at"),
+    )
+    nodes = e.select(F.col("event_id").alias("node_id"), F.lit("event").alias("node_type"), F.col("title").alias("name"))
+    return nodes, e.select("episode_id", F.col("event_id").alias("node_id"), F.lit("attendee").alias("extractor"), F.lit(1.0).alias("confidence")), claims
+
+
 def sync(tables: dict[str, DataFrame], sources: dict, spark, retention: str = "keep") -> dict[str, DataFrame]:
     """The tables after a run of each of `sources` ({identifier: Source}), from its cursor on.
 

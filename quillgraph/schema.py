@@ -45,3 +45,27 @@ def violations(nodes: DataFrame, observation: DataFrame) -> DataFrame:
     bad_nodes = nodes.where(~F.col("node_type").isin(*NODE_TYPES)).select(F.lit("nodes").alias("table"), F.col("node_id").alias("key"), F.col("node_type").alias("value"))
     bad = observation.where(~F.col("kind").isin(*OBSERVATION_KINDS)).select(F.lit("observation"), F.col("fact_id"), F.col("kind"))
     return bad_nodes.union(bad)
+
+
+#: What each version added to the tables of the one before: (table, column, type, value of old rows).
+MIGRATIONS: tuple[tuple[tuple[str, str, str, str], ...], ...] = (
+    (("fact", "object_value", "string", "CAST(NULL AS STRING)"), ("fact", "polarity", "string", "'positive'"), ("fact", "sensitivity", "string", "'personal'")),
+    (("candidate", "object_id", "string", "CAST(NULL AS STRING)"), ("candidate", "object_value", "string", "CAST(NULL AS STRING)"), ("candidate", "reject_reason", "string", "CAST(NULL AS STRING)")),
+    (("nodes", "access_count", "int", "0"), ("episode", "meta", "string", "CAST(NULL AS STRING)")),
+)
+
+
+def migrate(tables: dict[str, DataFrame], version: int = 0) -> tuple[dict[str, DataFrame], int]:
+    """(tables of the newest version, its number): missing tables are empty, missing columns have their old rows' value."""
+    from pyspark.sql import functions as F
+
+    spark = next(iter(tables.values())).sparkSession
+    out = dict(tables)
+    for step in MIGRATIONS[version:]:
+        for name, column, kind, value in step:
+            if name in out and column not in out[name].columns:
+                out[name] = out[name].withColumn(column, F.expr(value).cast(kind))
+    for name, columns in TABLES.items():
+        wanted = [c.split()[0] for c in columns.replace("array<struct<", "array<").split(", ")]
+        out[name] = out[name].select(*wanted) if name in out else spark.createDataFrame([], columns)
+    return out, len(MIGRATIONS)

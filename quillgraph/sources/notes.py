@@ -152,6 +152,47 @@ class Conversations(Source):
         return out.where(F.col("occurred_at") > F.lit(since).cast("timestamp_ntz")) if since else out
 
 
+PAGE = "conversations array<struct<id: string, start_time: string, end_time: string, short_summary: string, summary: string, state: string, primary_location: struct<address: string, latitude: double, longitude: double>>>"
+
+
+def conversation_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Episodes of a folder of JSON pages that list conversations; of several listings of one the longest counts."""
+    c = spark.read.option("multiLine", True).schema(PAGE).json(path).select(F.explode("conversations").alias("c")).select("c.*").where("id IS NOT NULL")
+    body = F.concat_ws("\n\n", "short_summary", "summary")
+    one = c.withColumn("body", body).groupBy("id").agg(F.max_by(F.struct("body", "start_time", "end_time", "state", "primary_location"), F.struct(F.length("body"), F.col("body"))).alias("c"))
+    place = F.struct(F.col("c.primary_location.address").alias("place"), F.col("c.primary_location.latitude").alias("latitude"), F.col("c.primary_location.longitude").alias("longitude"), F.col("c.state").alias("state"))
+    return one.select(
+        F.lit("bee.conversation").alias("source"), F.col("id").alias("source_id"), "c.body", F.try_to_timestamp("c.start_time").cast("timestamp_ntz").alias("occurred_at"), F.try_to_timestamp("c.end_time").cast("timestamp_ntz").alias("occurred_end"),
+        F.lit("private").alias("sensitivity"), F.lit(None).cast(NO_PEOPLE).alias("people"), F.to_json(place).alias("meta"),
+    ).select(*COLUMNS)
+
+
+def lacking(episode: DataFrame, pages: DataFrame) -> DataFrame:
+    """(source, source_id) of recorded conversations whose page says more than their episode does: what to fetch in full."""
+    key = ["source", "source_id"]
+    return pages.select(*key, F.length("body").alias("n")).join(episode.select(*key, F.length("body").alias("have")), key, "left").where("have IS NULL OR have < n").select(*key)
+
+
+def suggested_facts(fact: DataFrame) -> DataFrame:
+    """Candidates for `triage.propose` of a wearable's facts (id, text, tags): unvetted, and with the identifier to answer to."""
+    payload = F.to_json(F.struct(F.col("id").cast("string").alias("bee_fact_id"), F.array_join("tags", ",").alias("tags")))
+    return fact.select(F.lit("bee:suggested").alias("proposer"), F.lit("related_to").alias("predicate"), F.lit("").alias("subject"), F.col("text").alias("statement"), F.lit(0.5).alias("confidence"), payload.alias("payload"))
+
+
+def pending_pushes(candidate: DataFrame) -> DataFrame:
+    """(candidate_id, bee_fact_id, confirmed) of the decided ones that the wearable hasn't been told of."""
+    fact_id, pushed = (F.get_json_object("payload", f"$.{k}") for k in ("bee_fact_id", "bee_pushed"))
+    done = candidate.where(F.col("status").isin("accepted", "rejected")).where(fact_id.isNotNull() & pushed.isNull())
+    return done.select("candidate_id", fact_id.alias("bee_fact_id"), (F.col("status") == "accepted").alias("confirmed"))
+
+
+def resolve_expect(gold: DataFrame, episode: DataFrame) -> DataFrame:
+    """(query, job, expect): each expected identifier, `source:source_id` as its episode's where there is one."""
+    each = gold.select("query", "job", F.explode("expect_ids").alias("expect"))
+    known = episode.select(F.concat_ws(":", "source", "source_id").alias("expect"), F.col("episode_id").cast("string").alias("own"))
+    return each.join(known, "expect", "left").select("query", "job", F.coalesce("own", "expect").alias("expect"))
+
+
 def gold_set(spark: SparkSession, path: str) -> DataFrame:
     """(query, job, expect_ids, expect_contains, note) of JSON lines; lines that begin with # are comments."""
     lines = spark.read.text(path).where("trim(value) <> '' AND NOT startswith(ltrim(value), '#')")

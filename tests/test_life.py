@@ -247,3 +247,60 @@ def test_nightly_sequence(spark):
     assert {r.candidate_id: r.lane for r in out["lanes"].collect()} == {1: "review", 2: "ephemeral"}
     assert {r.fact_id: r.verdict for r in out["verdicts"].collect()} == {"f1": "rederived", "f2": "refuted"}
     assert {r.node_id for r in out["summaries"].collect()} == {"a", "b"} and out["knn"].count() == 0
+
+
+def test_wearable_pages_and_facts(spark, tmp_path):
+    page = {"conversations": [{"id": "1", "start_time": "2024-01-01T10:00:00", "short_summary": "s", "summary": "longer", "primary_location": {"address": "Home", "latitude": 1.5}}, {"id": "1", "short_summary": "s"}, {"id": "2", "summary": "x"}, {"summary": "none"}]}
+    (tmp_path / "p1.json").write_text(json.dumps(page))
+    pages = notes.conversation_pages(spark, str(tmp_path))
+    got = {r.source_id: r for r in pages.collect()}
+    assert set(got) == {"1", "2"} and got["1"].body == "s\n\nlonger" and json.loads(got["1"].meta)["latitude"] == 1.5 and got["1"].occurred_at == dt.datetime(2024, 1, 1, 10)
+    episode = pages.where("source_id = '1'").withColumn("body", F.lit("s"))
+    assert sorted(r.source_id for r in notes.lacking(episode, pages).collect()) == ["1", "2"]
+    suggested = notes.suggested_facts(spark.createDataFrame([(7, "likes tea", ["a"])], "id bigint, text string, tags array<string>"))
+    c = triage.propose(spark.createDataFrame([], CANDIDATE), suggested, now())
+    assert notes.pending_pushes(c).count() == 0
+    refused = triage.reject(c, c, "no")
+    assert [(r.bee_fact_id, r.confirmed) for r in notes.pending_pushes(refused).collect()] == [("7", False)]
+    pushed = triage.update_payload(refused, refused.select("candidate_id", F.lit("1").alias("value")), "bee_pushed")
+    assert notes.pending_pushes(pushed).count() == 0
+    gold = spark.createDataFrame([("q", "j", ["email:m1", "other"])], "query string, job string, expect_ids array<string>")
+    known = spark.createDataFrame([(5, "email", "m1")], "episode_id bigint, source string, source_id string")
+    assert sorted(r.expect for r in notes.resolve_expect(gold, known).collect()) == ["5", "other"]
+
+
+def test_calls_of_a_front_end(spark):
+    from quillgraph.plans import tools
+
+    t = schema.empty_graph(spark)
+    t["nodes"] = spark.createDataFrame([("a", "person", "Ann Roe", 0), ("b", "org", "Acme", 0)], schema.NODE)
+    for _ in range(2):
+        t = tools.upsert_fact(t, {"subject": "ann roe", "predicate": "works_at", "object": "Acme", "statement": "Ann works at Acme"}, now())
+    t = tools.upsert_fact(t, {"subject": "Ann Roe", "predicate": "born", "object": "1990", "statement": "Ann was born in 1990"}, now())
+    t = tools.upsert_fact(t, {"subject": "Nobody", "predicate": "born", "object": "1990", "statement": "x"}, now())
+    assert {(r.object_id, r.object_value, r.observations) for r in t["fact"].collect()} == {("b", None, 2), (None, "1990", 1)}
+    assert sorted(r.kind for r in t["observation"].collect()) == ["asserted", "asserted", "corroborated"]
+    t = tools.upsert_alias(t, "Ann Roe", " Annie ")
+    assert sorted((r.part, r.text) for r in tools.entity(t, "a").collect()) == [("alias", "annie"), ("fact", "Ann was born in 1990"), ("fact", "Ann works at Acme"), ("name", "person: Ann Roe")]
+    assert tools.entity(t, "a", F.lit("2020-01-01").cast("timestamp_ntz")).where("part = 'fact'").count() == 0
+    rows = [(1, "llm", "uses", "annie", None, "Tool", "Annie uses Tool", 0.9, "proposed", None, None, "fact", None), (2, "llm", "knows", "annie", None, None, "no", 0.9, "proposed", None, None, "fact", None)]
+    t["candidate"] = spark.createDataFrame(rows, schema.CANDIDATE)
+    assert [r.candidate_id for r in tools.review(t, 5).collect()] == [2, 1] and tools.review(t, 5, "llm", "uses").count() == 1
+    t = tools.decide(t, [1], [2], "wrong")
+    assert {r.candidate_id: (r.status, r.reject_reason) for r in t["candidate"].collect()} == {1: ("accepted", None), 2: ("rejected", "wrong")}
+    assert tools.live_statement(t["fact"], "annie USES tool!").count() == 1 and tools.status(t).count() == 0
+
+
+def test_events_and_migrations(spark):
+    tables = schema.empty_graph(spark)
+    rows = [("calendar.event", "u1", "Planning\nWith: Ann", T, T + dt.timedelta(hours=1), "personal", [{"email": "ann@x.org", "name": "Ann Roe"}], None)]
+    run = ingestion.ingest_run(tables, spark.createDataFrame(rows, EPISODE))
+    nodes, mentions, claims = ingestion.event_claims(run)
+    assert [(r.node_type, r.name) for r in nodes.collect()] == [("event", "Planning")] and mentions.count() == 1
+    assert [(r.predicate, r.statement) for r in claims.collect()] == [("attended", 'Ann Roe attended "Planning" on 2024-01-01 00:00:00')]
+    fact = facts.assert_facts(run["fact"], claims, run["episode"])
+    assert fact.first().object_id == nodes.first().node_id and fact.first().sensitivity == "personal"
+    old = {"nodes": tables["nodes"].drop("access_count"), "fact": fact.drop("object_value", "polarity")}
+    new, version = schema.migrate(old)
+    assert version == len(schema.MIGRATIONS) and set(new) == set(schema.TABLES) and new["fact"].first().polarity == "positive"
+    assert all(new[k].columns == v.columns for k, v in tables.items()) and schema.migrate(new, version)[0]["fact"].count() == 1
