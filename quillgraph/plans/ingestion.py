@@ -65,8 +65,8 @@ def ingest_run(tables: dict[str, DataFrame], incoming: DataFrame, retention: str
     out |= {"nodes": written(nodes, "ingest-nodes"), "alias": written(alias, "ingest-alias"), "identifier": identifier}
 
     found = link.alias_scan(changed.select("episode_id", "body"), aggregates.unique_names(out["nodes"], out["alias"]))
-    more = links.distinct().withColumn("confidence", F.lit(1.0)).union(found.select("episode_id", "node_id", F.lit("alias"), F.lit(0.8)))
-    more = written(ingest.add_mentions(more.where("false"), more), "ingest-mention")
+    by_name = found.select("episode_id", "node_id", F.lit("alias").alias("extractor"), F.lit(0.8).alias("confidence"))
+    more = written(ingest.add_mentions(links.distinct().withColumn("confidence", F.lit(1.0)), by_name), "ingest-mention")
     out["mention"] = ingest.add_mentions(tables["mention"], more)
     if "person_interaction" in tables:
         unseen = more.join(tables["mention"].select("episode_id", "node_id"), ["episode_id", "node_id"], "left_anti")
