@@ -304,3 +304,12 @@ def test_events_and_migrations(spark):
     new, version = schema.migrate(old)
     assert version == len(schema.MIGRATIONS) and set(new) == set(schema.TABLES) and new["fact"].first().polarity == "positive"
     assert all(new[k].columns == v.columns for k, v in tables.items()) and schema.migrate(new, version)[0]["fact"].count() == 1
+
+
+def test_intervals_that_meet_in_a_part_of_a_second(spark):
+    """An end less than a second after a bin's edge still touches that bin; so does all before 1970."""
+    text = [(1, "2024-01-01 09:30:00", "2024-01-01 10:00:00.5"), (2, "1969-12-31 22:30:00", "1969-12-31 23:00:00.000001")]
+    other = [(3, "2024-01-01 10:00:00.2", "2024-01-01 10:30:00"), (4, "1969-12-31 23:00:00", "1969-12-31 23:00:01"), (5, "2024-01-01 10:00:00.5", "2024-01-01 11:00:00")]
+    a, b = (spark.createDataFrame(x, "id int, start string, end string").selectExpr("id", "CAST(start AS TIMESTAMP_NTZ) AS start", "CAST(end AS TIMESTAMP_NTZ) AS end") for x in (text, other))
+    got = {(r.l_id, r.r_id) for r in link.interval_overlaps(a, b).collect()}
+    assert got == {(1, 3), (2, 4)}
