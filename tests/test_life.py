@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import schema
 from quillgraph.functions import scalar as fn
-from quillgraph.operators import facts, graph, ingest, link, retrieval, tasks, triage
+from quillgraph.operators import facts, graph, ingest, link, resolve, retrieval, tasks, triage
 from quillgraph.plans import ingestion, router
 from quillgraph.session import clear, shared_dir, written
 from quillgraph.sources import chat, notes
@@ -313,3 +313,10 @@ def test_intervals_that_meet_in_a_part_of_a_second(spark):
     a, b = (spark.createDataFrame(x, "id int, start string, end string").selectExpr("id", "CAST(start AS TIMESTAMP_NTZ) AS start", "CAST(end AS TIMESTAMP_NTZ) AS end") for x in (text, other))
     got = {(r.l_id, r.r_id) for r in link.interval_overlaps(a, b).collect()}
     assert got == {(1, 3), (2, 4)}
+
+
+def test_persons_of_one_name_are_a_class(spark):
+    """A name of many persons gives a row each, not a row a pair; punctuation and case don't part them."""
+    rows = [(f"p{k:04}", "person", "Ann  Lee" if k % 2 else "ann. LEE") for k in range(3000)] + [("q1", "person", "Bo Li"), ("q2", "org", "Bo Li"), ("q3", "person", "Ann"), ("q4", "person", "Ann")]
+    got = resolve.duplicate_persons(spark.createDataFrame(rows, "node_id string, node_type string, name string")).collect()
+    assert len(got) == 3000 and {(r["class"], r.links) for r in got} == {("p0000", 2999)}
