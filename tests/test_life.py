@@ -320,3 +320,14 @@ def test_persons_of_one_name_are_a_class(spark):
     rows = [(f"p{k:04}", "person", "Ann  Lee" if k % 2 else "ann. LEE") for k in range(3000)] + [("q1", "person", "Bo Li"), ("q2", "org", "Bo Li"), ("q3", "person", "Ann"), ("q4", "person", "Ann")]
     got = resolve.duplicate_persons(spark.createDataFrame(rows, "node_id string, node_type string, name string")).collect()
     assert len(got) == 3000 and {(r["class"], r.links) for r in got} == {("p0000", 2999)}
+
+
+@pytest.mark.parametrize("light", [2, 5, 64])
+def test_strong_scores_are_those_of_all_pairs(spark, light):
+    """Hubs' wedges are left out only where no pair can reach a floor."""
+    rows = [(f"u{k}", f"h{(k * k + j * 7) % 9}") for k in range(60) for j in range(k % 6)] + [("u1", "u2"), ("u3", "u2"), ("h1", "h2"), ("h3", "h2")]
+    edges = spark.createDataFrame(rows, "a string, b string")
+    for aa, ra in ((1.2, 0.3), (0.6, 0.1)):
+        want = {(r.a, r.b, round(r.aa, 9), round(r.ra, 9)) for r in link.neighbour_scores(edges).where(f"aa >= {aa} OR ra >= {ra}").collect()}
+        got = [(r.a, r.b, round(r.aa, 9), round(r.ra, 9)) for r in link.strong_scores(edges, aa, ra, light).collect()]
+        assert len(got) == len(want) > 20 and set(got) == want
