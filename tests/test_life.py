@@ -11,7 +11,7 @@ from quillgraph import schema
 from quillgraph.functions import scalar as fn
 from quillgraph.operators import facts, graph, ingest, link, resolve, retrieval, tasks, triage
 from quillgraph.plans import ingestion, router
-from quillgraph.session import clear, shared_dir, written
+from quillgraph.session import clear, parts, shared_dir, written
 from quillgraph.sources import chat, notes
 from quillgraph.sources.base import EPISODE
 
@@ -331,3 +331,22 @@ def test_strong_scores_are_those_of_all_pairs(spark, light):
         want = {(r.a, r.b, round(r.aa, 9), round(r.ra, 9)) for r in link.neighbour_scores(edges).where(f"aa >= {aa} OR ra >= {ra}").collect()}
         got = [(r.a, r.b, round(r.aa, 9), round(r.ra, 9)) for r in link.strong_scores(edges, aa, ra, light).collect()]
         assert len(got) == len(want) > 20 and set(got) == want
+
+
+def test_pair_counts_of_chosen_pairs_and_many_partitions(spark, tmp_path):
+    """Counts of chosen pairs are those of all pairs, and partitions are as many as the table's size asks for."""
+    m = spark.createDataFrame([(k, f"n{(k * j) % 7}") for k in range(40) for j in range(4)], "episode_id long, node_id string")
+    every = {(r.a, r.b): tuple(r) for r in link.pair_counts(m, 1).collect()}
+    only = spark.createDataFrame([("n1", "n2"), ("n0", "n3"), ("n8", "n9"), ("n1", "n2")], "a string, b string")
+    got = {(r.a, r.b): tuple(r) for r in link.pair_counts(m, 1, only).collect()}
+    assert got == {k: every[k] for k in (("n1", "n2"), ("n0", "n3")) if k in every} and len(got) == 2
+    m.repartition(1).write.parquet(f"{tmp_path}/m")
+    stored = spark.read.parquet(f"{tmp_path}/m")
+    assert parts(stored) == 2 and parts(stored, 0.0001) > 2 and parts(m) == 2
+
+
+def test_scores_of_asked_nodes(spark):
+    edges = spark.createDataFrame([("a", "h"), ("b", "h"), ("c", "h"), ("b", "i"), ("a", "i")], "a string, b string")
+    every = {frozenset((r.a, r.b)): round(r.aa, 9) for r in link.neighbour_scores(edges).collect()}
+    got = {(r.query_id, r.id): round(r.aa, 9) for r in link.neighbour_scores(edges, spark.createDataFrame([("b",), ("b",)], "node_id string")).collect()}
+    assert got == {("b", x): every[frozenset(("b", x))] for x in ("a", "c")}
