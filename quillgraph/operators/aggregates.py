@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
+from ..session import parts
 
 CHANNELS = {"calendar.event": "meeting", "bee.conversation": "spoken", "email": "email", "sms": "message", "slack": "slack"}
 #: Predicates of which a subject has one object at a time.
@@ -128,9 +129,12 @@ def unique_names(nodes: DataFrame, alias: DataFrame, least: int = 3) -> DataFram
 def staleness_clock(fact: DataFrame, observation: DataFrame, episode: DataFrame) -> DataFrame:
     """The newest evidence of each fact: of its supporting observations, the episode's time or else the observation's; without any, when it began to hold or was ingested."""
     seen = observation.where(F.col("kind").isin("asserted", "corroborated", "verified")).select("fact_id", "episode_id", "observed_at")
-    dated = seen.join(episode.select("episode_id", "occurred_at"), "episode_id", "left")
-    newest = dated.groupBy("fact_id").agg(F.max(F.coalesce("occurred_at", "observed_at")).alias("evidence_at"))
-    return fact.join(newest, "fact_id", "left").withColumn("seen_at", F.coalesce("evidence_at", "valid_from", "ingested_at"))
+    n = parts(observation)
+    # observations without an episode have no partner, and would all meet in one task
+    dated = seen.where("episode_id IS NOT NULL").repartition(n, "episode_id").join(episode.select("episode_id", "occurred_at").repartition(n, "episode_id"), "episode_id", "left")
+    every = dated.select("fact_id", F.coalesce("occurred_at", "observed_at").alias("at")).union(seen.where("episode_id IS NULL").select("fact_id", "observed_at"))
+    newest = every.repartition(n, "fact_id").groupBy("fact_id").agg(F.max("at").alias("evidence_at"))
+    return fact.repartition(n, "fact_id").join(newest, "fact_id", "left").withColumn("seen_at", F.coalesce("evidence_at", "valid_from", "ingested_at"))
 
 
 def stale_facts(fact: DataFrame, observation: DataFrame, episode: DataFrame, half_lives: DataFrame, as_of: Column) -> DataFrame:

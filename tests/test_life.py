@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import schema
 from quillgraph.functions import scalar as fn
-from quillgraph.operators import facts, graph, ingest, link, resolve, retrieval, tasks, triage
+from quillgraph.operators import aggregates, facts, graph, ingest, link, resolve, retrieval, tasks, triage
 from quillgraph.plans import ingestion, router
 from quillgraph.session import clear, parts, shared_dir, written
 from quillgraph.sources import chat, notes
@@ -350,3 +350,28 @@ def test_scores_of_asked_nodes(spark):
     every = {frozenset((r.a, r.b)): round(r.aa, 9) for r in link.neighbour_scores(edges).collect()}
     got = {(r.query_id, r.id): round(r.aa, 9) for r in link.neighbour_scores(edges, spark.createDataFrame([("b",), ("b",)], "node_id string")).collect()}
     assert got == {("b", x): every[frozenset(("b", x))] for x in ("a", "c")}
+
+
+def test_postings_of_a_common_word_lie_in_several_parts(spark):
+    docs = spark.createDataFrame([(k, "the runs  running, The" if k else None) for k in range(300)], "id bigint, text string")
+    index = retrieval.build_index(docs)
+    assert index.postings.where("term = 'the'").select(F.input_file_name()).distinct().count() > 1
+    assert {(r.term, r.tf, r.dl) for r in index.postings.collect()} == {("the", 2, 4), ("run", 2, 4)} and index.postings.count() == 598
+
+
+def test_names_longer_than_runs_are_compared_only_if_there_are_any(spark):
+    e = spark.createDataFrame([(1, "Ann Lee of the North met Bo"), (2, "")], "episode_id long, body string")
+    few, more = ([("bo li", "b"), ("bob", "x"), ("met", "m")], [("ann lee of the north", "a")])
+    plans = [link.alias_scan(e, spark.createDataFrame(x, "name string, node_id string"), 2) for x in (few, few + more)]
+    assert [sorted(r.node_id for r in p.collect()) for p in plans] == [["m"], ["a", "m"]]
+    assert ["contains(" in p._jdf.queryExecution().optimizedPlan().toString().lower() for p in plans] == [False, True]
+
+
+def test_observations_without_episode_join_nothing(spark):
+    """They'd all meet in one task; their own times count."""
+    when = [dt.datetime(2024, 1, d) for d in range(1, 5)]
+    fact = spark.createDataFrame([("f", when[0], when[0]), ("g", when[0], when[0])], "fact_id string, valid_from timestamp_ntz, ingested_at timestamp_ntz")
+    seen = spark.createDataFrame([("f", "asserted", None, when[3]), ("f", "asserted", 1, when[0]), ("g", "verified", 1, when[0])], "fact_id string, kind string, episode_id long, observed_at timestamp_ntz")
+    clock = aggregates.staleness_clock(fact, seen, spark.createDataFrame([(1, when[2])], "episode_id long, occurred_at timestamp_ntz"))
+    assert {r.fact_id: r.seen_at for r in clock.collect()} == {"f": when[3], "g": when[2]}
+    assert "episode_id IS NULL" in clock._jdf.queryExecution().analyzed().toString() or "isnull(episode_id" in clock._jdf.queryExecution().analyzed().toString()
