@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 import zipfile
 
 import pytest
@@ -375,3 +376,25 @@ def test_observations_without_episode_join_nothing(spark):
     clock = aggregates.staleness_clock(fact, seen, spark.createDataFrame([(1, when[2])], "episode_id long, occurred_at timestamp_ntz"))
     assert {r.fact_id: r.seen_at for r in clock.collect()} == {"f": when[3], "g": when[2]}
     assert "episode_id IS NULL" in clock._jdf.queryExecution().analyzed().toString() or "isnull(episode_id" in clock._jdf.queryExecution().analyzed().toString()
+
+
+def hash_partitions(df):
+    """The numbers of partitions that the plan hashes rows to."""
+    return {int(n) for n in re.findall(r"hashpartitioning\(.*?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())}
+
+
+MENTIONS = [(k, f"n{k * j % 7}") for k in range(40) for j in range(4)] + [(None, "n1"), (None, "n2"), (3, None), (5, "n2"), (5, "n2")]
+
+
+def test_chosen_pairs_lie_in_partitions_by_size(spark, monkeypatch):
+    """Mentions pass the chosen nodes, and pairs the chosen pairs, in as many partitions as the size asks for, unsorted."""
+    monkeypatch.setattr(link, "parts", lambda df: 7)
+    m = spark.createDataFrame(MENTIONS, "episode_id long, node_id string")
+    only = spark.createDataFrame([("n1", "n2"), ("n0", "n3"), ("n8", "n9"), ("n1", "n2"), (None, "n4")], "a string, b string")
+    got = link.shared_counts(m, 1, only)
+    assert hash_partitions(got) == {7} and got._jdf.queryExecution().executedPlan().toString().count("ShuffledHashJoin") == 2
+    boxes = {}
+    for k, x in MENTIONS:
+        boxes.setdefault(k, set()).add(x)
+    want = {(a, b, n) for a, b in (("n1", "n2"), ("n0", "n3")) if (n := sum({a, b} <= v for k, v in boxes.items() if k is not None))}
+    assert len(want) == 2 and sorted(tuple(r) for r in got.collect()) == sorted(want)
