@@ -398,3 +398,19 @@ def test_chosen_pairs_lie_in_partitions_by_size(spark, monkeypatch):
         boxes.setdefault(k, set()).add(x)
     want = {(a, b, n) for a, b in (("n1", "n2"), ("n0", "n3")) if (n := sum({a, b} <= v for k, v in boxes.items() if k is not None))}
     assert len(want) == 2 and sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_derivation_lies_in_partitions_by_size(spark, monkeypatch):
+    """A node's mentions aren't sorted in a task by the default number, and what pairs share is as counted by hand."""
+    monkeypatch.setattr(link, "parts", lambda df: 7)
+    m = spark.createDataFrame(MENTIONS, "episode_id long, node_id string")
+    tiers = ["public", "secret", "personal", "private"]
+    e = spark.createDataFrame([(k, tiers[k % 4 if k < 30 else 0], dt.datetime(2024, 1, 1 + k % 9)) for k in range(39)], "episode_id long, sensitivity string, occurred_at timestamp")
+    got = link.attach_derivation(spark.createDataFrame([("n1", "n2"), ("n0", "n3"), ("n1", "n9"), ("n0", "n3")], "a string, b string"), m, e)
+    assert hash_partitions(got) == {7}
+    want = []
+    for a, b in (("n0", "n3"), ("n1", "n2")):
+        both = [k for k in range(39) if all((k, x) in MENTIONS for x in (a, b))]
+        strictest = max((tiers[k % 4 if k < 30 else 0] for k in both), key=["public", "personal", "private", "secret"].index)
+        want.append((a, b, strictest, max(both, key=lambda k: (k % 9, k))))
+    assert sorted(tuple(r) for r in got.collect()) == want
