@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillgraph import schema
 from quillgraph.functions import scalar as fn
 from quillgraph.operators import aggregates, facts, graph, ingest, link, resolve, retrieval, tasks, triage
-from quillgraph.plans import ingestion, router
+from quillgraph.plans import catalogue, ingestion, router
 from quillgraph.session import clear, parts, shared_dir, written
 from quillgraph.sources import chat, notes
 from quillgraph.sources.base import EPISODE
@@ -414,3 +414,34 @@ def test_derivation_lies_in_partitions_by_size(spark, monkeypatch):
         strictest = max((tiers[k % 4 if k < 30 else 0] for k in both), key=["public", "personal", "private", "secret"].index)
         want.append((a, b, strictest, max(both, key=lambda k: (k % 9, k))))
     assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_few_claims_are_broadcast(spark, monkeypatch):
+    """Mentions of other nodes go before any shuffle, ids of episodes lie in partitions by size, and results are those of many claims."""
+    monkeypatch.setattr(link, "parts", lambda df, mb=0.5: 7 if mb == 0.5 else 5)
+    m = spark.createDataFrame(MENTIONS, "episode_id long, node_id string")
+    claims = spark.createDataFrame([("f", "n2", "n1", 0.3), ("g", "n0", "n3", 0.3), ("h", "n8", "n9", 0.3), ("i", "n1", "n2", 0.9), ("j", None, "n4", 0.3)], "fact_id string, a string, b string, stated double")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = {}
+    for most in (5, 4):
+        monkeypatch.setattr(link, "FEW", most)
+        few = link.are_few(claims)
+        decay, phantom = facts.npmi_decay(claims, m), facts.phantoms(claims, m)
+        assert [few, *("ShuffledHashJoin" not in plan(x) for x in (decay, phantom))] == [most == 5] * 3
+        assert (5 in hash_partitions(decay)) == few
+        claimed = claims.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        counts = link.pair_counts(m, 1, claimed, few).select("a", "b", "co", "n_a", "n_b", "universe")
+        found[most] = [sorted(map(tuple, x.collect())) for x in (decay, phantom, counts)]
+    assert found[4] == found[5] and found[5][1] == [("h",), ("j",)]
+    rows = set(MENTIONS)
+    boxes = {x: {k for k, y in rows if y == x} for _, x in rows}
+    universe = len({k for k, _ in rows} - {None})
+    want = [(a, b, len(boxes[a] & boxes[b] - {None}), len(boxes[a]), len(boxes[b]), universe) for a, b in (("n0", "n3"), ("n1", "n2"))]
+    assert found[5][2] == want
+
+
+def test_lines_of_nodes_without_claims_are_not_shuffled(spark):
+    """The joins of decay and phantoms with claimed nodes are right above the scan."""
+    for name in ("dec1_npmi_decay", "dec2_phantoms"):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "l_partkey" in plan and not re.search(r"Exchange hashpartitioning\(l_orderkey|ShuffledHashJoin", plan)
